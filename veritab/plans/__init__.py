@@ -1,5 +1,12 @@
 """Registered queries, grouped by area; importing the package fills the registry."""
 
 from . import (  # noqa: F401
+    ingest_plans,
+    quality_plans,
+    lookup_plans,
+    reference_plans,
     verify_plans,
+    mandate_plans,
+    lineage_plans,
+    status_plans,
 )

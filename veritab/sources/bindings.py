@@ -553,13 +553,118 @@ def pauses(d) -> str:
     FROM (SELECT DISTINCT user_id AS u FROM {d.raw('events')}) k"""
 
 
+def stored_versions(d) -> str:
+    return f"""
+    SELECT 'object:' || CAST(o_orderkey AS STRING) AS object_id, 1 AS version,
+           '0x' || {d.sha("'v1 ' || o_orderstatus")} AS root
+    FROM {d.raw('orders')}"""
+
+
+def version_batch(d) -> str:
+    return f"""
+    SELECT 'object:' || CAST(l_orderkey AS STRING) AS object_id, 1 + l_linenumber % 4 AS version,
+           {_line_key()} AS seq,
+           '0x' || {d.sha("'v' || CAST(1 + l_linenumber % 4 AS STRING) || ' ' || CASE WHEN l_linestatus = 'F' THEN 'P' ELSE l_returnflag END")} AS root
+    FROM {d.raw('lineitem')}"""
+
+
+def parties(d) -> str:
+    return f"""
+    SELECT 'party:' || CAST(c_custkey AS STRING) AS id, CASE WHEN c_custkey % 31 = 0 THEN '' ELSE 'HOLDER' END AS role,
+           CASE WHEN c_custkey % 37 = 0 THEN NULL ELSE c_name END AS name,
+           {d.arr("'claim:party:' || CAST(c_custkey AS STRING)", "CASE WHEN c_custkey % 41 = 0 THEN '' ELSE 'claim:role' END")} AS claim_refs
+    FROM {d.raw('customer')}"""
+
+
+def terms(d) -> str:
+    """Rights and obligations; `holder` is the holder or the obligor."""
+    return f"""
+    SELECT CASE WHEN p_partkey % 3 = 0 THEN 'obligation' ELSE 'right' END AS kind,
+           'term:' || CAST(p_partkey AS STRING) AS id, CASE WHEN p_size = 7 THEN '' ELSE p_type END AS type,
+           CASE WHEN p_size = 9 THEN '' WHEN p_size = 10 THEN NULL ELSE p_brand END AS holder,
+           CASE WHEN p_size = 11 THEN NULL ELSE '{{}}' END AS terms,
+           {d.arr("'claim:term'", "p_name")} AS claim_refs
+    FROM {d.raw('part')}"""
+
+
+def scopes(d) -> str:
+    return f"""
+    SELECT 'restriction:' || CAST(n_nationkey AS STRING) AS id, 'JURISDICTION' AS type,
+           CASE WHEN n_regionkey = 2 THEN '' ELSE n_name END AS scope,
+           {d.arr("'claim:scope'")} AS claim_refs,
+           CASE WHEN n_regionkey = 3 THEN {d.arr("''")} ELSE {d.arr("'evidence:scope'")} END AS evidence_refs
+    FROM {d.raw('nation')}"""
+
+
+def economics(d) -> str:
+    return f"""
+    SELECT 'object:' || CAST(o_orderkey AS STRING) AS object_id,
+           CASE WHEN o_totalprice < 5000 THEN CAST(-1 AS BIGINT) ELSE {d.ms('o_orderdate')} END AS as_of,
+           CASE WHEN o_totalprice > 490000 THEN NULL
+                ELSE '{{"total":' || CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS STRING) || '}}' END AS state_values,
+           {d.arr("'claim:total'")} AS claim_refs
+    FROM {d.raw('orders')}"""
+
+
+def reported_checks(d) -> str:
+    key = _line_key()
+    return f"""
+    SELECT 'check:' || {key} AS check_id, CASE WHEN l_discount > 0.095 THEN '' ELSE 'FRESHNESS' END AS check_type,
+           'claim:' || {key} AS subject,
+           CASE l_returnflag WHEN 'A' THEN 'PASS' WHEN 'N' THEN 'FAIL' ELSE CASE WHEN l_tax > 0.075 THEN 'MAYBE' ELSE 'UNRESOLVED' END END AS result,
+           {d.arr(f"'evidence:' || {key}")} AS evidence_refs,
+           CASE WHEN l_quantity = 1 THEN '' ELSE 'v1' END AS rule_version,
+           CASE WHEN l_quantity = 2 THEN CAST(-5 AS BIGINT) ELSE {d.ms('l_shipdate')} END AS timestamp
+    FROM {d.raw('lineitem')}"""
+
+
+def drafts(d) -> str:
+    """Proposed rights, restrictions, conflicts and issues with their proposal header."""
+    return f"""
+    SELECT 'draft:' || CAST(p_partkey AS STRING) AS id, 'rep:' || CAST(p_partkey AS STRING) AS subject,
+           CASE p_size % 5 WHEN 0 THEN 'LEGAL_OWNER' WHEN 1 THEN 'TOKEN_HOLDER' WHEN 2 THEN 'OWNER' ELSE 'RECORD_HOLDER' END AS holder_type,
+           CASE p_size % 7 WHEN 0 THEN 'INCOME' WHEN 1 THEN 'DIVIDEND' ELSE 'REDEMPTION' END AS right_type,
+           CASE WHEN p_size = 3 THEN '' ELSE p_name END AS terms,
+           CASE p_size % 4 WHEN 0 THEN 'TRANSFERABLE' WHEN 1 THEN 'LOCKED' ELSE 'RESTRICTED' END AS transferability,
+           p_retailprice / 1500 AS confidence,
+           CASE p_size % 6 WHEN 0 THEN 'ELIGIBILITY' WHEN 1 THEN 'LOCKUP' WHEN 2 THEN 'SANCTION' ELSE 'OTHER' END AS restriction_type,
+           'conflict:' || CAST(p_partkey AS STRING) AS conflict_id, CASE WHEN p_size = 4 THEN '' ELSE 'nav' END AS property,
+           CASE p_size % 3 WHEN 0 THEN 'STALE_SOURCE' WHEN 1 THEN 'NOISE' ELSE 'OTHER' END AS likely_cause,
+           CASE p_size % 8 WHEN 0 THEN 'FATAL' ELSE 'BLOCKING' END AS severity,
+           'issue:' || CAST(p_partkey AS STRING) AS issue_id,
+           CASE p_size % 9 WHEN 0 THEN 'LOST' ELSE 'EVIDENCE_MISSING' END AS issue_type,
+           'proposal:' || p_brand AS proposal_id, CASE WHEN p_size = 5 THEN '' ELSE 'run:1' END AS run_id,
+           'prompt-v1' AS prompt_version, 'schema-v1' AS schema_version,
+           CASE WHEN p_size % 10 = 1 THEN '0x12' ELSE '0x' || {d.sha('p_name')} END AS proposal_hash,
+           CAST(p_size - 2 AS BIGINT) AS created_at
+    FROM {d.raw('part')}"""
+
+
+def object_documents(d) -> str:
+    """Object documents as JSON text, with unknown keys and bad nested values in places."""
+    okey = "CAST(o_orderkey AS STRING)"
+    return f"""
+    SELECT 'object:' || {okey} AS object_id,
+           '{{"id":"' || CASE WHEN o_orderkey % 61 = 0 THEN '' ELSE 'object:' || {okey} END
+           || '","version":' || CAST(o_orderkey % 40 AS STRING)
+           || ',"status":"' || CASE o_orderstatus WHEN 'F' THEN 'RESOLVED' WHEN 'O' THEN 'STALE'
+                                    ELSE CASE WHEN o_totalprice > 400000 THEN 'OPEN' ELSE 'REVOKED' END END
+           || '","claims":[{{"id":"c1","state":"SOURCED"}},{{"id":"c2","state":"'
+           || CASE o_orderpriority WHEN '5-LOW' THEN 'GUESSED' ELSE 'VERIFIED' END || '"}}]'
+           || CASE WHEN o_totalprice < 20000 THEN '' ELSE ',"evidence":[{{"id":"e1","type":"' ||
+                   CASE WHEN o_totalprice < 40000 THEN 'RUMOUR' ELSE 'FILING' END || '"}}]' END
+           || CASE WHEN o_custkey % 19 = 0 THEN ',"comment":"x","tags":[]' ELSE '' END || '}}' AS json
+    FROM {d.raw('orders')}"""
+
+
 DEFINITIONS = {
     f.__name__: f
     for f in (
         objects, snapshots, evidence, claims, edges, attestations, attestors, signatures, contents,
         exceptions, mandates, required_claims, required_evidence, assignments, profiles, pairs,
         relationships, group_claims, proposed_claims, documents, feed, cases, runs, changes,
-        commit_calls, roles, pauses,
+        commit_calls, roles, pauses, stored_versions, version_batch, parties, terms, scopes, economics,
+        reported_checks, drafts, object_documents,
     )
 }
 
