@@ -9,4 +9,5 @@ from . import (  # noqa: F401
     mandate_plans,
     lineage_plans,
     status_plans,
+    document_plans,
 )
