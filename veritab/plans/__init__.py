@@ -10,4 +10,6 @@ from . import (  # noqa: F401
     lineage_plans,
     status_plans,
     document_plans,
+    relation_plans,
+    conflict_plans,
 )

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from ..sources.bindings import Tables, cte_prefix
+from ..sources.bindings import DEFINITIONS, Tables, cte_prefix
 
 RUNNERS: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,7 +36,7 @@ def query(name: str, oracle: str | None = None):
 
 def with_tables(sql: str) -> str:
     """Prefix the definitions of all domain tables `sql` names."""
-    names = sorted(set(_NAMED.findall(sql)))
+    names = sorted(set(_NAMED.findall(sql)) & set(DEFINITIONS))
     prefix, recursive = cte_prefix(names), False
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE"):

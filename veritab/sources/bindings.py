@@ -373,6 +373,7 @@ def pairs(d) -> str:
 def relationships(d) -> str:
     return f"""
     SELECT 'rel:' || CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) || ':' || CAST(l_partkey AS STRING) || ':' || CAST(l_suppkey AS STRING) AS relationship_id,
+           'proposal:' || CAST(l_orderkey AS STRING) AS proposal_id,
            'rep:' || CAST(l_partkey AS STRING) AS subject,
            CASE l_linenumber WHEN 1 THEN 'REPRESENTS' WHEN 2 THEN 'ISSUED_BY' WHEN 3 THEN 'SIMILAR_TO'
                 WHEN 4 THEN 'ECONOMICALLY_EQUIVALENT_TO' WHEN 5 THEN 'BACKED_BY' ELSE 'SUPERSEDES' END AS predicate,
@@ -470,7 +471,7 @@ def documents(d) -> str:
                 WHEN 5 THEN ' Offered under Regulation S.' WHEN 7 THEN ' Non-US persons only.' ELSE '' END"""
     return f"""
     SELECT doc_id, 'snap:doc:' || {did} AS snapshot_id, 'evidence:doc:' || {did} AS evidence_id,
-           'fund:' || source || ':' || CAST(doc_id % 997 AS STRING) AS subject,
+           'fund:' || source || ':' || CAST(doc_id % 13 AS STRING) AS subject,
            CASE WHEN doc_id % 3 = 0 THEN {structured} ELSE {prose} END AS body,
            CASE doc_id % 9 WHEN 0 THEN 'PRIMARY_SOURCE' WHEN 1 THEN 'REFERENCE_DATA' WHEN 2 THEN 'MARKET_DATA'
                 WHEN 3 THEN 'ONCHAIN_STATE' WHEN 4 THEN 'AUTHORIZED_ATTESTOR' WHEN 5 THEN 'DERIVED'
@@ -518,6 +519,7 @@ def changes(d) -> str:
            CASE event_type WHEN 'error' THEN 'EVIDENCE_REVOKED' WHEN 'click' THEN 'EVIDENCE_STALE'
                 WHEN 'signup' THEN 'SOURCE_UPDATED' WHEN 'purchase' THEN 'ATTESTATION_REVOKED'
                 ELSE 'MANUAL_REFRESH' END AS change_type,
+           CASE WHEN value < 8 THEN 'INFERRED' ELSE 'SOURCED' END AS update_state,
            {d.ms('ts')} AS ts_ms, ts, CAST(round(value * 100) AS BIGINT) AS value_cents, event_id AS seq,
            'corr:' || CAST(event_id AS STRING) AS correlation_id
     FROM {d.raw('events')}"""
