@@ -12,4 +12,6 @@ from . import (  # noqa: F401
     document_plans,
     relation_plans,
     conflict_plans,
+    promotion_plans,
+    digest_plans,
 )
