@@ -8,7 +8,7 @@ hot group spreads over many partitions; each partition is a *run*, windows work
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,32 +23,96 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return row[0] or 0
 
 
-def _runs(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    # The run number depends on sampled range bounds, so it is fixed by a checkpoint.
+def into_runs(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Range-partitioned rows with a run number.
+
+    The number depends on sampled range bounds, so it is fixed by a checkpoint.
+    """
     spread = df.repartitionByRange(*keys, *order)
     return pin(spread.withColumn("run", F.spark_partition_id()))
 
 
+class Ordered:
+    """Rows of `df` in `order` within `keys`; each method adds one column."""
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], limit: int = RUN_LIMIT):
+        self.keys, self.order = keys, order
+        self.split = largest_group(df, keys) > limit
+        self.df = into_runs(df, keys, order) if self.split else df
+        self.inner = [*keys, "run"] if self.split else keys
+
+    def _inside(self):
+        return W.partitionBy(*self.inner).orderBy(*self.order)
+
+    def _carry(self, tail: Column, carried: Column, name: str) -> DataFrame:
+        """One value per run, turned into what the runs before it hand over."""
+        tails = self.df.groupBy(*self.inner).agg(tail.alias("tail"))
+        return tails.withColumn(name, carried).drop("tail")
+
+    def _before(self):
+        return W.partitionBy(*self.keys).orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+
+    def row_number(self, out: str) -> Ordered:
+        """1-based position in the group."""
+        inside = F.row_number().over(self._inside()).cast("long")
+        if not self.split:
+            self.df = self.df.withColumn(out, inside)
+            return self
+        bases = self._carry(F.count("*"), F.coalesce(F.sum("tail").over(self._before()), F.lit(0)), "base")
+        self.df = self.df.withColumn(out, inside).join(bases, self.inner).withColumn(
+            out, F.col(out) + F.col("base")
+        ).drop("base")
+        return self
+
+    def previous(self, values: list[str], out: str) -> Ordered:
+        """Struct of `values` of the row before, null on the first row."""
+        packed = F.struct(*values)
+        inside = F.lag(packed).over(self._inside())
+        if not self.split:
+            self.df = self.df.withColumn(out, inside)
+            return self
+        step = F.lag("tail").over(W.partitionBy(*self.keys).orderBy("run"))
+        carry = self._carry(F.max_by(packed, F.struct(*self.order)), step, "carry")
+        self.df = self.df.withColumn(out, inside).join(carry, self.inner).withColumn(
+            out, F.coalesce(out, "carry")
+        ).drop("carry")
+        return self
+
+    def fill(self, value: str, out: str) -> Ordered:
+        """The last non-null `value` up to and including the row."""
+        inside = F.last(value, ignorenulls=True).over(self._inside().rowsBetween(W.unboundedPreceding, 0))
+        if not self.split:
+            self.df = self.df.withColumn(out, inside)
+            return self
+        place = F.when(F.col(value).isNotNull(), F.struct(*self.order))
+        step = F.last("tail", ignorenulls=True).over(self._before())
+        carry = self._carry(F.max_by(value, place), step, "carry")
+        self.df = self.df.withColumn(out, inside).join(carry, self.inner).withColumn(
+            out, F.coalesce(out, "carry")
+        ).drop("carry")
+        return self
+
+    def running_max(self, value: str, out: str) -> Ordered:
+        """Largest `value` up to and including the row."""
+        inside = F.max(value).over(self._inside().rowsBetween(W.unboundedPreceding, 0))
+        if not self.split:
+            self.df = self.df.withColumn(out, inside)
+            return self
+        carry = self._carry(F.max(value), F.max("tail").over(self._before()), "carry")
+        self.df = self.df.withColumn(out, inside).join(carry, self.inner).withColumn(
+            out, F.greatest(out, "carry")
+        ).drop("carry")
+        return self
+
+    def done(self) -> DataFrame:
+        return self.df.drop("run") if self.split else self.df
+
+
 def row_numbers(
     df: DataFrame, keys: list[str], order: list[str], out: str = "rn", limit: int = RUN_LIMIT
 ) -> DataFrame:
     """Add the 1-based position of each row in its group."""
-    if largest_group(df, keys) <= limit:
-        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
-    runs = _runs(df, keys, order)
-    earlier = W.partitionBy(*keys).orderBy("run").rowsBetween(W.unboundedPreceding, -1)
-    bases = (
-        runs.groupBy(*keys, "run").count()
-        .withColumn("base", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-        .drop("count")
-    )
-    inside = F.row_number().over(W.partitionBy(*keys, "run").orderBy(*order))
-    return (
-        runs.withColumn(out, inside.cast("long"))
-        .join(bases, [*keys, "run"])
-        .withColumn(out, F.col(out) + F.col("base"))
-        .drop("base", "run")
-    )
+    return Ordered(df, keys, order, limit).row_number(out).done()
 
 
 def with_previous(
@@ -56,19 +120,4 @@ def with_previous(
     out: str = "previous", limit: int = RUN_LIMIT,
 ) -> DataFrame:
     """Add a struct of `values` taken from the row before, null on the first row of a group."""
-    packed = F.struct(*values)
-    if largest_group(df, keys) <= limit:
-        return df.withColumn(out, F.lag(packed).over(W.partitionBy(*keys).orderBy(*order)))
-    runs = _runs(df, keys, order)
-    carried = (
-        runs.groupBy(*keys, "run").agg(F.max_by(packed, F.struct(*order)).alias("tail"))
-        .withColumn("carry", F.lag("tail").over(W.partitionBy(*keys).orderBy("run")))
-        .drop("tail")
-    )
-    inside = F.lag(packed).over(W.partitionBy(*keys, "run").orderBy(*order))
-    return (
-        runs.withColumn(out, inside)
-        .join(carried, [*keys, "run"])
-        .withColumn(out, F.coalesce(out, "carry"))
-        .drop("carry", "run")
-    )
+    return Ordered(df, keys, order, limit).previous(values, out).done()

@@ -9,9 +9,11 @@ from . import (  # noqa: F401
     mandate_plans,
     lineage_plans,
     status_plans,
+    version_plans,
     document_plans,
     relation_plans,
     conflict_plans,
     promotion_plans,
     digest_plans,
+    log_plans,
 )
