@@ -147,14 +147,27 @@ def event_history(outcomes: DataFrame, object_id: str | None = None) -> DataFram
     )
 
 
-def attestation_fold(calls: DataFrame) -> DataFrame:
+def registrations(outcomes: DataFrame) -> DataFrame:
+    """When each object entered the log."""
+    entered = (F.col("outcome") == "ACCEPTED") & (F.col("call") == "register")
+    return outcomes.filter(entered).select("object_id", F.col("seq").alias("registered_seq"))
+
+
+def _of_known_objects(calls: DataFrame, registered: DataFrame | None) -> DataFrame:
+    if registered is None:
+        return calls
+    return calls.join(registered, "object_id").filter(F.col("seq") > F.col("registered_seq")).drop("registered_seq")
+
+
+def attestation_fold(calls: DataFrame, registered: DataFrame | None = None) -> DataFrame:
     """Current attestation hash per (object, claim) and whether it is revoked.
 
-    Attesting sets the hash and clears its revocation, so only a revocation of the last hash
-    after the last attestation counts.
+    Attesting needs a registered object, sets the hash and clears its revocation, so only a
+    revocation of the last hash after the last attestation counts.
     """
     keys = ["object_id", "claim_id"]
-    attests = calls.filter((F.col("call") == "attest") & (F.col("attestation_hash") != ZERO_ROOT))
+    valid = (F.col("call") == "attest") & (F.col("attestation_hash") != ZERO_ROOT)
+    attests = _of_known_objects(calls.filter(valid), registered)
     last = attests.groupBy(*keys).agg(F.max(F.struct("seq", "attestation_hash")).alias("last")).select(
         *keys, F.col("last.attestation_hash").alias("attestation_hash"), F.col("last.seq").alias("attested_seq")
     )
@@ -168,9 +181,9 @@ def attestation_fold(calls: DataFrame) -> DataFrame:
     )
 
 
-def representation_log(calls: DataFrame) -> DataFrame:
-    """Last relationship hash per (object, representation)."""
-    kept = calls.filter(F.col("object_root") != ZERO_ROOT)
+def representation_log(calls: DataFrame, registered: DataFrame | None = None) -> DataFrame:
+    """Last relationship hash per (object, representation) of registered objects."""
+    kept = _of_known_objects(calls.filter(F.col("object_root") != ZERO_ROOT), registered)
     return kept.groupBy("object_id", "representation_id").agg(
         F.max_by("object_root", "seq").alias("relationship_hash"), F.max("seq").alias("seq")
     )

@@ -16,4 +16,5 @@ from . import (  # noqa: F401
     promotion_plans,
     digest_plans,
     log_plans,
+    stream_plans,
 )

@@ -34,24 +34,32 @@ def commitment_fold(t):
     return c.commitment_fold(c.commitment_outcomes(t.commit_calls))
 
 
-@query("t7_attestation_fold", """
-WITH logged AS (
-  SELECT *, last_value(CASE WHEN call = 'attest' THEN attestation_hash END IGNORE NULLS)
-              OVER (PARTITION BY object_id, claim_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current_hash,
-         max(CASE WHEN call = 'attest' THEN seq END) OVER (PARTITION BY object_id, claim_id) AS last_seq
-  FROM b_commit_calls WHERE call IN ('attest', 'revoke'))
+REGISTERED = """registered AS (SELECT object_id, min(seq) AS since FROM outcomes WHERE outcome = 'ACCEPTED' GROUP BY object_id)"""
+
+
+def registered(t):
+    return c.registrations(c.commitment_outcomes(t.commit_calls))
+
+
+@query("t7_attestation_fold", f"""WITH RECURSIVE {REPLAY}, {REGISTERED},
+logged AS (
+  SELECT l.*, last_value(CASE WHEN call = 'attest' AND seq > since THEN attestation_hash END IGNORE NULLS)
+                OVER (PARTITION BY l.object_id, claim_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current_hash,
+         max(CASE WHEN call = 'attest' AND seq > since THEN seq END) OVER (PARTITION BY l.object_id, claim_id) AS last_seq
+  FROM b_commit_calls l JOIN registered r ON l.object_id = r.object_id WHERE call IN ('attest', 'revoke'))
 SELECT object_id, claim_id, max(CASE WHEN seq = last_seq THEN attestation_hash END) AS attestation_hash, max(last_seq) AS attested_seq,
        bool_or(call = 'revoke' AND attestation_hash = current_hash AND seq > last_seq) AS revoked
 FROM logged WHERE last_seq IS NOT NULL GROUP BY object_id, claim_id""")
 def attestation_fold(t):
-    return c.attestation_fold(t.commit_calls)
+    return c.attestation_fold(t.commit_calls, registered(t))
 
 
-@query("t8_representation_log", f"""
-SELECT object_id, representation_id, object_root AS relationship_hash, seq FROM b_commit_calls WHERE object_root <> '{ZERO_ROOT}'
-QUALIFY row_number() OVER (PARTITION BY object_id, representation_id ORDER BY seq DESC) = 1""")
+@query("t8_representation_log", f"""WITH RECURSIVE {REPLAY}, {REGISTERED}
+SELECT l.object_id, representation_id, object_root AS relationship_hash, seq FROM b_commit_calls l
+JOIN registered r ON l.object_id = r.object_id AND l.seq > r.since WHERE object_root <> '{ZERO_ROOT}'
+QUALIFY row_number() OVER (PARTITION BY l.object_id, representation_id ORDER BY seq DESC) = 1""")
 def representation_log(t):
-    return c.representation_log(t.commit_calls)
+    return c.representation_log(t.commit_calls, registered(t))
 
 
 @query("t9_event_history", f"""WITH RECURSIVE {REPLAY}

@@ -698,3 +698,11 @@ def _escape(sql: str, names) -> str:
     """Double every brace that is not a table placeholder."""
     marked = re.sub(r"\{(%s)\}" % "|".join(names), "\x01\\1\x02", sql)
     return marked.replace("{", "{{").replace("}", "}}").replace("\x01", "{").replace("\x02", "}")
+
+
+class StreamTables(Tables):
+    """The same tables as unbounded file streams."""
+
+    def raw(self, name: str) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}*.parquet")
