@@ -79,6 +79,15 @@ QUALIFIED_PURCHASER = "Qualified Purchaser (QP) under Section 3(c)(7)"
 ACCREDITED_INVESTOR = "Accredited Investor under Regulation D"
 REGULATION_S = "Non-US (Regulation S)"
 
+# --- fixed values: legal moves between claim states ------------------------------------
+LEGAL_MOVES = [
+    ("UNKNOWN", "SOURCED"), ("UNKNOWN", "OBSERVED"), ("UNKNOWN", "INFERRED"),
+    ("SOURCED", "ATTESTED"), ("OBSERVED", "ATTESTED"), ("ATTESTED", "VERIFIED"),
+    ("SOURCED", "STALE"), ("ATTESTED", "STALE"), ("VERIFIED", "STALE"),
+    ("ATTESTED", "REVOKED"), ("VERIFIED", "REVOKED"),
+    ("SOURCED", "CONFLICTING"), ("ATTESTED", "CONFLICTING"), ("VERIFIED", "CONFLICTING"),
+]
+
 # --- fixed values: gate thresholds (metric, bound, kind) ------------------------------
 GATE_THRESHOLDS = [
     ("false_equivalence_rate", 0.0, "max"),

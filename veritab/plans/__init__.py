@@ -17,4 +17,5 @@ from . import (  # noqa: F401
     digest_plans,
     log_plans,
     stream_plans,
+    design_plans,
 )

@@ -39,7 +39,7 @@ def dedupe_replay(t):
 
 
 @query("t5_outbox_sink", f"""WITH {WATCH}
-SELECT watch_id || ':' || target AS outbox_id, watch_id, event_id, object_id, new_decision, severity, target
+SELECT watch_id || ':' || target AS outbox_id, watch_id, event_id, object_id, new_decision, severity, ts_ms, target
 FROM steps, (VALUES ('WEBHOOK'), ('DISCORD')) v(target)""")
 def outbox_sink(t):
     steps = scratch_path(t.spark, "steps")
@@ -47,11 +47,11 @@ def outbox_sink(t):
     schema = t.spark.read.parquet(steps).schema
     out, mark = scratch_path(t.spark, "outbox"), scratch_path(t.spark, "outbox-mark")
     feeds.outbox_sink(t.spark.readStream.schema(schema).parquet(steps), out, mark).awaitTermination()
-    return t.spark.read.parquet(out).drop("batch")
+    return t.spark.read.parquet(out).drop("batch", "day")
 
 
 @query("t5_outbox_rows", f"""WITH {WATCH}
-SELECT watch_id || ':' || target AS outbox_id, watch_id, event_id, object_id, new_decision, severity, target
+SELECT watch_id || ':' || target AS outbox_id, watch_id, event_id, object_id, new_decision, severity, ts_ms, target
 FROM steps, (VALUES ('WEBHOOK'), ('DISCORD')) v(target)""")
 def outbox_batch(t):
     return outbox_rows(watch_steps(t.changes))

@@ -299,7 +299,8 @@ def mandates(d) -> str:
            CASE WHEN c_nationkey % 9 = 0 THEN {NOW_MS} - 1 WHEN c_nationkey % 9 = 1 THEN {NOW_MS}
                 ELSE NULL END AS expires_at,
            CAST(c_nationkey * 10 AS DOUBLE) AS min_yield_bps,
-           CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE CAST(2000 AS BIGINT) * 86400000 END AS max_evidence_age_ms
+           CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE CAST(2000 AS BIGINT) * 86400000 END AS max_evidence_age_ms,
+           CASE WHEN c_nationkey % 6 < 4 THEN NULL ELSE c_nationkey END AS max_redemption_days
     FROM {d.raw('customer')}"""
 
 
@@ -659,6 +660,21 @@ def object_documents(d) -> str:
     FROM {d.raw('orders')}"""
 
 
+def log_rows(d) -> str:
+    """Deliveries of chain log rows; the same row may come again, or be taken back."""
+    return f"""
+    SELECT 1952 AS chain_id, 'tx:' || CAST(user_id AS STRING) AS tx_hash, CAST(floor(value) AS BIGINT) % 8 AS log_index,
+           event_id AS delivery, event_type = 'error' AS removed, 'data:' || event_type AS payload
+    FROM {d.raw('events')}"""
+
+
+def readings(d) -> str:
+    """Timed readings of sources, with stale and failed ones."""
+    return f"""
+    SELECT ts AS event_time, 'source:' || event_type AS source, value < 10 AS stale, value >= 60 AS failed
+    FROM {d.raw('events')}"""
+
+
 DEFINITIONS = {
     f.__name__: f
     for f in (
@@ -666,7 +682,7 @@ DEFINITIONS = {
         exceptions, mandates, required_claims, required_evidence, assignments, profiles, pairs,
         relationships, group_claims, proposed_claims, documents, feed, cases, runs, changes,
         commit_calls, roles, pauses, stored_versions, version_batch, parties, terms, scopes, economics,
-        reported_checks, drafts, object_documents,
+        reported_checks, drafts, object_documents, log_rows, readings,
     )
 }
 

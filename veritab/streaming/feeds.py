@@ -16,6 +16,7 @@ from ..operators.versions import VECTOR, outbox_rows, watch_state, watch_steps
 
 COMPACT_EVERY = 20
 STATE_SCHEMA = "object_id STRING, version BIGINT, " + ", ".join(f"{c} STRING" for c in VECTOR) + ", decision STRING"
+OUTBOX_KEYS = "outbox_id STRING, day DATE, batch BIGINT"
 
 
 def _batch(path: str, batch_id: int) -> str:
@@ -85,15 +86,25 @@ def watch_stream(changes: DataFrame, path: str, state_path: str, checkpoint: str
 
 
 def outbox_sink(steps: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Two outbox rows per watch event, each id written once over all batches."""
+    """Two outbox rows per watch event, each id written once over all batches.
+
+    A watch event sent again has the same time, so a batch is compared only with the days it
+    touches itself; a batch run again overwrites its own partitions.
+    """
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        rows = outbox_rows(batch).dropDuplicates(["outbox_id"])
+        rows = outbox_rows(batch).dropDuplicates(["outbox_id"]).withColumn("day", F.to_date(F.timestamp_millis("ts_ms")))
         if batch_id > 0:
-            earlier = [_batch(path, b) for b in range(batch_id)]
-            written = batch.sparkSession.read.parquet(*earlier).select("outbox_id")
+            first, last = batch.agg(*[
+                edge(F.to_date(F.timestamp_millis("ts_ms"))) for edge in (F.min, F.max)
+            ]).first()
+            earlier = batch.sparkSession.read.schema(OUTBOX_KEYS).parquet(path)
+            written = earlier.filter(F.col("day").between(first, last) & (F.col("batch") < batch_id)).select("outbox_id")
             rows = rows.join(written, "outbox_id", "left_anti")
-        rows.write.mode("overwrite").parquet(_batch(path, batch_id))
+        (
+            rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").partitionBy("day", "batch")
+            .option("partitionOverwriteMode", "dynamic").parquet(path)
+        )
 
     return (
         steps.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
@@ -101,12 +112,12 @@ def outbox_sink(steps: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def freshness_windows(evidence: DataFrame, now_ms: int, width: str = "1 hour", delay: str = "1 day") -> DataFrame:
+def freshness_windows(readings: DataFrame, width: str = "1 hour", delay: str = "1 day") -> DataFrame:
     """Stale and failed share per source and tumbling window; works on batch and stream alike.
 
     Input is (event_time, source, stale, failed) rows.
     """
-    rows = evidence.withWatermark("event_time", delay) if evidence.isStreaming else evidence
+    rows = readings.withWatermark("event_time", delay) if readings.isStreaming else readings
     return rows.groupBy(F.window("event_time", width).alias("w"), "source").agg(
         F.count("*").alias("rows"), F.count_if("stale").alias("stale_rows"), F.count_if("failed").alias("failed_rows")
     ).select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "source", "rows", "stale_rows", "failed_rows")
