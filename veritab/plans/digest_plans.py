@@ -7,6 +7,7 @@ from ..fixed import NOW_MS
 from ..functions.canonical import canonical
 from ..operators import digests as g
 from ..operators import lineage, status, verify
+from .lineage_plans import receipts
 from .mandate_plans import POLICY, REASONS, decision_receipts
 from .registry import query
 from .verify_plans import all_checks
@@ -119,10 +120,11 @@ def evidence_root(t):
     return roots(t)
 
 
-def object_roots(t):
+def object_roots(t, receipts=None):
+    if receipts is None:
+        receipts = verify.receipt_status(t.objects, all_checks(t))
     return g.object_roots(
-        t.objects, status.object_status(t.objects, t.claims, t.exceptions),
-        verify.receipt_status(t.objects, all_checks(t)), items(t), roots(t),
+        t.objects, status.object_status(t.objects, t.claims, t.exceptions), receipts, items(t), roots(t)
     )
 
 
@@ -183,10 +185,10 @@ FROM b_objects o JOIN object_states s ON o.object_id = s.object_id JOIN statuses
 JOIN object_roots x ON o.object_id = x.object_id JOIN decided d ON o.object_id = d.object_id
 JOIN reasons r ON d.object_id = r.object_id AND d.mandate_id = r.mandate_id""")
 def inspector_rows(t):
-    receipts = verify.verification_receipts(t.objects, all_checks(t), object_roots(t), NOW_MS)
-    receipts = receipts.join(object_roots(t).select("object_id", "object_root"), "object_id")
+    held = receipts(t)
     rows = lineage.inspector_rows(
-        t.objects, status.object_status(t.objects, t.claims, t.exceptions), receipts, decision_receipts(t)
+        t.objects, status.object_status(t.objects, t.claims, t.exceptions),
+        held.join(object_roots(t, held), ["object_id", "version"]), decision_receipts(t, held),
     )
     return rows.withColumn("secondary", F.array_join("secondary", ","))
 

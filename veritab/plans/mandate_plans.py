@@ -67,15 +67,16 @@ decided AS (SELECT object_id, version, mandate_id,
             FROM policy GROUP BY ALL)"""
 
 
-def cases(t):
-    receipts = verify.receipt_status(t.objects, all_checks(t))
+def cases(t, receipts=None):
+    if receipts is None:
+        receipts = verify.receipt_status(t.objects, all_checks(t))
     statuses = status.object_status(t.objects, t.claims, t.exceptions)
     return m.policy_cases(t.objects, t.assignments, t.mandates, statuses, receipts)
 
 
-def policy(t):
+def policy(t, receipts=None):
     return m.policy_checks(
-        cases(t), t.assignments, t.required_claims, t.required_evidence, t.claims, t.evidence, NOW_MS
+        cases(t, receipts), t.assignments, t.required_claims, t.required_evidence, t.claims, t.evidence, NOW_MS
     )
 
 
@@ -159,9 +160,9 @@ SELECT 'decision:' || d.mandate_id || ':' || d.object_id || ':v' || d.version AS
        '{POLICY_VERSION}' AS policy_version, {NOW_MS} AS created_at
 FROM decided d JOIN ({REASONS}) r USING (object_id, version, mandate_id)
 LEFT JOIN ({SUPPORT}) s USING (object_id, version, mandate_id)""")
-def decision_receipts(t):
-    receipts = m.decision_receipts(policy(t), NOW_MS)
-    return receipts.withColumn("reason_codes", F.array_join("reason_codes", ",")).withColumn(
+def decision_receipts(t, receipts=None):
+    decided = m.decision_receipts(policy(t, receipts), NOW_MS)
+    return decided.withColumn("reason_codes", F.array_join("reason_codes", ",")).withColumn(
         "supporting_claims", F.array_join("supporting_claims", ",")
     )
 

@@ -37,9 +37,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir`, or a local one if unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
     if named:
+        if not current:
+            spark.sparkContext.setCheckpointDir(named)
         return named
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     local = tempfile.mkdtemp(prefix="veritab-")

@@ -28,6 +28,11 @@ class SparkDialect:
     def arr(*items: str) -> str:
         return f"array({', '.join(items)})"
 
+    @staticmethod
+    def each(*items: str) -> str:
+        """One row per item."""
+        return f"explode(array({', '.join(items)}))"
+
     @staticmethod
     def empty() -> str:
         return "CAST(array() AS ARRAY<STRING>)"
@@ -58,6 +63,10 @@ class DuckDialect:
     def arr(*items: str) -> str:
         return f"list_value({', '.join(items)})"
 
+    @staticmethod
+    def each(*items: str) -> str:
+        return f"unnest(list_value({', '.join(items)}))"
+
     @staticmethod
     def empty() -> str:
         return "CAST([] AS VARCHAR[])"
@@ -152,77 +161,58 @@ def evidence(d) -> str:
     FROM {d.raw('orders')}"""
 
 
+def _keyed_lines(d, *kinds: str) -> str:
+    """Line items with their key, once per kind, from one scan."""
+    return f"(SELECT *, {_line_key()} AS k, {d.each(*kinds)} AS kind FROM {d.raw('lineitem')}) lines"
+
+
 def claims(d) -> str:
-    key = _line_key()
-    own = f"'evidence:' || {key}"
-    base = f"""
-           'object:' || CAST(l_orderkey AS STRING) AS object_id,
-           'object:' || CAST(l_orderkey AS STRING) AS subject"""
-    refs = f"""
-           CASE WHEN l_partkey % 47 = 0 THEN {d.empty()}
-                WHEN l_partkey % 43 = 0 THEN {d.arr("'snap:other'")}
-                WHEN l_suppkey % 17 = 3 THEN {d.arr("'snap:gone:' || CAST(l_suppkey AS STRING)")}
-                ELSE {d.arr("'snap:' || CAST(l_suppkey AS STRING)", "'manual'")} END AS source_refs"""
-    times = f"""
-           CASE WHEN l_discount > 0.095 THEN NULL ELSE 1 - l_discount * 5 END AS confidence,
-           {d.ms('l_shipdate')} AS observed_at,
-           CASE WHEN l_linenumber = 6 THEN {d.ms('l_shipdate')} + CAST(365 AS BIGINT) * 86400000 ELSE NULL END AS expires_at,
-           {d.ms('l_shipdate')} + 60000 AS created_at"""
-    return f"""
-    SELECT 'claim:' || {key} || ':nav' AS claim_id, {base}, 'nav' AS property,
-           'number' AS value_kind,
-           CAST(round(l_extendedprice * 100) AS BIGINT) / CAST(l_quantity * 100 AS BIGINT) AS value_num,
-           CAST(NULL AS STRING) AS value_str, 'USD' AS unit,
-           CASE WHEN (l_partkey + l_suppkey) % 61 = 0 THEN 'REVOKED'
+    own = "'evidence:' || k"
+    return f"""
+    SELECT 'claim:' || k || ':' || kind AS claim_id,
+           'object:' || CAST(l_orderkey AS STRING) AS object_id, 'object:' || CAST(l_orderkey AS STRING) AS subject,
+           CASE kind WHEN 'nav' THEN 'nav' WHEN 'yield' THEN 'yieldBps' ELSE 'shareClass' END AS property,
+           CASE kind WHEN 'class' THEN 'string' ELSE 'number' END AS value_kind,
+           CASE kind WHEN 'nav' THEN CAST(round(l_extendedprice * 100) AS BIGINT) / CAST(l_quantity * 100 AS BIGINT)
+                     WHEN 'yield' THEN round(l_discount * 10000) ELSE NULL END AS value_num,
+           CASE WHEN kind <> 'class' THEN NULL WHEN l_linenumber % 2 = 0 THEN ' ' || l_returnflag
+                ELSE lower(l_returnflag) END AS value_str,
+           CASE kind WHEN 'nav' THEN 'USD' WHEN 'yield' THEN 'bps' ELSE NULL END AS unit,
+           CASE WHEN kind = 'class' THEN 'SOURCED'
+                WHEN kind = 'yield' AND l_linenumber = 7 AND l_returnflag = 'R' THEN 'STALE'
+                WHEN kind = 'yield' AND l_partkey % 17 = 2 THEN 'UNKNOWN' WHEN kind = 'yield' THEN 'SOURCED'
+                WHEN (l_partkey + l_suppkey) % 61 = 0 THEN 'REVOKED'
                 WHEN (l_partkey + l_suppkey) % 67 = 1 THEN 'CONFLICTING'
                 WHEN l_partkey % 13 = 4 THEN 'INFERRED'
                 WHEN l_linestatus = 'F' AND l_linenumber > 4 THEN 'VERIFIED' ELSE 'SOURCED' END AS state,
-           {refs},
-           CASE WHEN (l_partkey + l_linenumber) % 89 = 0 THEN {d.empty()}
-                WHEN (l_partkey * 7 + l_suppkey) % 59 = 0 THEN {d.arr(f"'evidence:missing:' || {key}")}
+           CASE WHEN l_partkey % 47 = 0 THEN {d.empty()}
+                WHEN l_partkey % 43 = 0 THEN {d.arr("'snap:other'")}
+                WHEN l_suppkey % 17 = 3 THEN {d.arr("'snap:gone:' || CAST(l_suppkey AS STRING)")}
+                ELSE {d.arr("'snap:' || CAST(l_suppkey AS STRING)", "'manual'")} END AS source_refs,
+           CASE WHEN kind <> 'nav' THEN {d.arr(own)}
+                WHEN (l_partkey + l_linenumber) % 89 = 0 THEN {d.empty()}
+                WHEN (l_partkey * 7 + l_suppkey) % 59 = 0 THEN {d.arr("'evidence:missing:' || k")}
                 WHEN l_linenumber % 2 = 0
                 THEN {d.arr(own, "'evidence:order:' || CAST(l_orderkey AS STRING)")}
                 ELSE {d.arr(own)} END AS evidence_refs,
-           CASE WHEN l_linenumber = 3 AND l_partkey % 37 = 0 THEN {d.arr("'att:gone:' || CAST(l_orderkey AS STRING)")}
-                WHEN l_linenumber = 3 THEN {d.arr("'att:' || CAST(l_orderkey AS STRING)")}
-                ELSE {d.empty()} END AS attestation_refs,
-           {times}
-    FROM {d.raw('lineitem')}
-    UNION ALL
-    SELECT 'claim:' || {key} || ':yield', {base}, 'yieldBps',
-           'number', round(l_discount * 10000), CAST(NULL AS STRING), 'bps',
-           CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN 'STALE'
-                WHEN l_partkey % 17 = 2 THEN 'UNKNOWN' ELSE 'SOURCED' END,
-           {refs},
-           {d.arr(own)},
-           {d.empty()},
-           {times}
-    FROM {d.raw('lineitem')}
-    UNION ALL
-    SELECT 'claim:' || {key} || ':class', {base}, 'shareClass',
-           'string', CAST(NULL AS DOUBLE), CASE WHEN l_linenumber % 2 = 0 THEN ' ' || l_returnflag ELSE lower(l_returnflag) END,
-           CAST(NULL AS STRING), 'SOURCED', {refs}, {d.arr(own)}, {d.empty()},
-           {times}
-    FROM {d.raw('lineitem')}"""
+           CASE WHEN kind <> 'nav' OR l_linenumber <> 3 THEN {d.empty()}
+                WHEN l_partkey % 37 = 0 THEN {d.arr("'att:gone:' || CAST(l_orderkey AS STRING)")}
+                ELSE {d.arr("'att:' || CAST(l_orderkey AS STRING)")} END AS attestation_refs,
+           CASE WHEN l_discount > 0.095 THEN NULL ELSE 1 - l_discount * 5 END AS confidence,
+           {d.ms('l_shipdate')} AS observed_at,
+           CASE WHEN l_linenumber = 6 THEN {d.ms('l_shipdate')} + CAST(365 AS BIGINT) * 86400000 ELSE NULL END AS expires_at,
+           {d.ms('l_shipdate')} + 60000 AS created_at
+    FROM {_keyed_lines(d, "'nav'", "'yield'", "'class'")}"""
 
 
 def edges(d) -> str:
-    key = _line_key()
-    supports = " UNION ALL ".join(
-        f"""
-    SELECT 'edge:' || {key} || ':{kind}' AS edge_id, 'object:' || CAST(l_orderkey AS STRING) AS object_id,
-           'claim:' || {key} || ':{kind}' AS from_ref,
-           CASE WHEN l_partkey % 53 = 0 THEN 'evidence:elsewhere:' || {key}
-                ELSE 'evidence:' || {key} END AS to_ref,
-           'SUPPORTED_BY' AS relation
-    FROM {d.raw('lineitem')}"""
-        for kind in ("nav", "yield", "class")
-    )
-    return f"""{supports}
-    UNION ALL
-    SELECT 'edge:source:' || {key}, 'object:' || CAST(l_orderkey AS STRING), 'evidence:' || {key},
-           'snap:' || CAST(l_suppkey AS STRING), 'OBSERVED_FROM'
-    FROM {d.raw('lineitem')}"""
+    return f"""
+    SELECT 'edge:' || k || ':' || kind AS edge_id, 'object:' || CAST(l_orderkey AS STRING) AS object_id,
+           CASE kind WHEN 'source' THEN 'evidence:' || k ELSE 'claim:' || k || ':' || kind END AS from_ref,
+           CASE WHEN kind = 'source' THEN 'snap:' || CAST(l_suppkey AS STRING)
+                WHEN l_partkey % 53 = 0 THEN 'evidence:elsewhere:' || k ELSE 'evidence:' || k END AS to_ref,
+           CASE kind WHEN 'source' THEN 'OBSERVED_FROM' ELSE 'SUPPORTED_BY' END AS relation
+    FROM {_keyed_lines(d, "'nav'", "'yield'", "'class'", "'source'")}"""
 
 
 def attestations(d) -> str:
@@ -393,29 +383,21 @@ def relationships(d) -> str:
 
 def group_claims(d) -> str:
     """Claims on a (part, supplier) subject; several sources quote the same property."""
-    subject = "'offer:' || CAST(l_partkey AS STRING) || ':' || CAST(l_suppkey AS STRING)"
-    key = _line_key()
     return f"""
-    SELECT 'claim:' || {key} || ':class' AS claim_id, {subject} AS subject, 'shareClass' AS property,
-           'string' AS value_kind, CAST(NULL AS DOUBLE) AS value_num,
-           CASE WHEN l_linenumber % 2 = 0 THEN ' ' || l_returnflag ELSE lower(l_returnflag) END AS value_str,
-           '"' || l_returnflag || '"' AS value_json,
-           {d.arr(f"'evidence:' || {key}")} AS evidence_refs
-    FROM {d.raw('lineitem')}
-    UNION ALL
-    SELECT 'claim:' || {key} || ':tax', {subject}, 'taxRate',
-           CASE WHEN l_linenumber = 7 THEN 'string' WHEN l_linenumber = 6 THEN 'boolean' ELSE 'number' END,
-           CASE WHEN l_linenumber < 6 THEN l_tax ELSE NULL END,
-           CASE WHEN l_linenumber = 7 THEN 'none' ELSE NULL END,
-           CASE WHEN l_linenumber = 7 THEN '"none"' WHEN l_linenumber = 6 THEN 'true'
-                ELSE CAST(CAST(round(l_tax * 100) AS BIGINT) AS STRING) END,
-           {d.arr(f"'evidence:' || {key}")}
-    FROM {d.raw('lineitem')}
-    UNION ALL
-    SELECT 'claim:' || {key} || ':issuer', {subject}, 'issuer', 'string', CAST(NULL AS DOUBLE),
-           CASE WHEN l_linestatus = 'F' THEN 'Issuer' ELSE 'issuer ' END || CAST(l_quantity > 25 AS STRING),
-           '"issuer"', {d.empty()}
-    FROM {d.raw('lineitem')}"""
+    SELECT 'claim:' || k || ':' || kind AS claim_id,
+           'offer:' || CAST(l_partkey AS STRING) || ':' || CAST(l_suppkey AS STRING) AS subject,
+           CASE kind WHEN 'class' THEN 'shareClass' WHEN 'tax' THEN 'taxRate' ELSE 'issuer' END AS property,
+           CASE WHEN kind <> 'tax' OR l_linenumber = 7 THEN 'string' WHEN l_linenumber = 6 THEN 'boolean' ELSE 'number' END AS value_kind,
+           CASE WHEN kind = 'tax' AND l_linenumber < 6 THEN l_tax ELSE NULL END AS value_num,
+           CASE WHEN kind = 'class' AND l_linenumber % 2 = 0 THEN ' ' || l_returnflag WHEN kind = 'class' THEN lower(l_returnflag)
+                WHEN kind = 'tax' AND l_linenumber = 7 THEN 'none' WHEN kind = 'tax' THEN NULL
+                WHEN l_linestatus = 'F' THEN 'Issuer' || CAST(l_quantity > 25 AS STRING)
+                ELSE 'issuer ' || CAST(l_quantity > 25 AS STRING) END AS value_str,
+           CASE WHEN kind = 'class' THEN '"' || l_returnflag || '"' WHEN kind = 'issuer' THEN '"issuer"'
+                WHEN l_linenumber = 7 THEN '"none"' WHEN l_linenumber = 6 THEN 'true'
+                ELSE CAST(CAST(round(l_tax * 100) AS BIGINT) AS STRING) END AS value_json,
+           CASE kind WHEN 'issuer' THEN {d.empty()} ELSE {d.arr("'evidence:' || k")} END AS evidence_refs
+    FROM {_keyed_lines(d, "'class'", "'tax'", "'issuer'")}"""
 
 
 def proposed_claims(d) -> str:

@@ -102,7 +102,7 @@ def outbox_sink(steps: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
             written = earlier.filter(F.col("day").between(first, last) & (F.col("batch") < batch_id)).select("outbox_id")
             rows = rows.join(written, "outbox_id", "left_anti")
         (
-            rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").partitionBy("day", "batch")
+            rows.withColumn("batch", F.lit(batch_id)).hint("rebalance", "day").write.mode("overwrite").partitionBy("day", "batch")
             .option("partitionOverwriteMode", "dynamic").parquet(path)
         )
 
