@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .expr import numeric, true
@@ -14,12 +14,18 @@ def parsed(body: Column) -> Column:
     return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
 
 
+def with_keys(df: DataFrame, root: str, keys: list[str]) -> DataFrame:
+    """Add value and kind of the given keys as columns, so each is read once per row."""
+    valued = df.withColumns({f"v_{k}": F.try_variant_get(F.col(root), f"$.{k}", "variant") for k in keys})
+    return valued.withColumns({f"k_{k}": F.schema_of_variant(F.col(f"v_{k}")) for k in keys})
+
+
 class Node:
-    """One value inside a variant column: its kind, text, number and truth."""
+    """One value of a parsed document: its kind, text, number and truth."""
 
-    def __init__(self, root: Column, key: str):
-        self.value = F.try_variant_get(root, f"$.{key}", "variant")
-        self.kind = F.schema_of_variant(self.value)
+    def __init__(self, key: str):
+        """A top-level key laid out by `with_keys`."""
+        self.value, self.kind = F.col(f"v_{key}"), F.col(f"k_{key}")
 
     def given(self) -> Column:
         """Present and not null."""
@@ -75,13 +81,17 @@ class Node:
             .otherwise(self.kind.isNotNull())
         )
 
-    def child(self, key: str) -> "Node":
-        return Node(self.value, key)
+    @classmethod
+    def of(cls, value: Column) -> Node:
+        """Any variant expression."""
+        node = cls.__new__(cls)
+        node.value, node.kind = value, F.schema_of_variant(value)
+        return node
+
+    def child(self, key: str) -> Node:
+        return Node.of(F.try_variant_get(self.value, f"$.{key}", "variant"))
 
 
 def either(first: Node, second: Node) -> Node:
     """The first value unless it is absent or null."""
-    node = Node.__new__(Node)
-    node.value = F.when(first.given(), first.value).otherwise(second.value)
-    node.kind = F.schema_of_variant(node.value)
-    return node
+    return Node.of(F.when(first.given(), first.value).otherwise(second.value))

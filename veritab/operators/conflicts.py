@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import folded, ident, true
+from ..session import pin
 
 TOLERANCE = 0.0001
 PAIR_LIMIT = 64
@@ -77,20 +78,21 @@ def _with_first_evidence(values: DataFrame, evidence: DataFrame) -> DataFrame:
     return values.join(first, "evidence_id", "left").withColumn("stale", true(F.col("stale")))
 
 
-def _in_groups(values: DataFrame, facts: DataFrame) -> DataFrame:
-    return values.join(facts.select(*GROUP), GROUP, "left_semi")
+def _in_conflict(claims: DataFrame) -> DataFrame:
+    """Claims of conflicting groups with their group's size; all others are pruned here."""
+    values = comparable(claims)
+    return values.join(_group_facts(values).filter("conflicting").drop("conflicting"), GROUP)
 
 
 def claim_pairs(claims: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Unordered conflicting pairs of the groups small enough to list."""
-    values = comparable(claims)
-    return _pairs(values, _group_facts(values), pair_limit).select(
+    return _pairs(pin(_in_conflict(claims)), pair_limit).select(
         *GROUP, F.col("a.claim_id").alias("claim_a"), F.col("b.claim_id").alias("claim_b")
     )
 
 
-def _pairs(values: DataFrame, facts: DataFrame, pair_limit: int) -> DataFrame:
-    listed = _in_groups(values, facts.filter(F.col("conflicting") & (F.col("claims") <= pair_limit)))
+def _pairs(values: DataFrame, pair_limit: int) -> DataFrame:
+    listed = values.filter(F.col("claims") <= pair_limit)
     row = F.struct(*[c for c in listed.columns if c not in GROUP])
     sides = [listed.select(*GROUP, row.alias(name)) for name in ("a", "b")]
     paired = sides[0].join(sides[1], GROUP).filter(F.col("a.claim_id") < F.col("b.claim_id"))
@@ -140,24 +142,19 @@ def _witnessed(values: DataFrame) -> DataFrame:
 
 def conflict_profile(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every claim in conflict, once per cause, with a witness; groups of any size."""
-    values = comparable(claims)
-    facts = _group_facts(values).filter("conflicting")
-    return _witnessed(_with_first_evidence(_in_groups(values, facts), evidence))
+    return _witnessed(pin(_with_first_evidence(_in_conflict(claims), evidence)))
 
 
 def conflict_pairs(claims: DataFrame, evidence: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Conflicts: pairs of listed groups (scope PAIR), claim rows of larger ones (scope CLAIM)."""
-    values = comparable(claims)
-    facts = _group_facts(values)
-    sourced = _with_first_evidence(_in_groups(values, facts.filter("conflicting")), evidence)
+    sourced = pin(_with_first_evidence(_in_conflict(claims), evidence))
     a, b = F.col("a"), F.col("b")
     cause = _cause(F.col("property"), a["stale"] | b["stale"], a["authority"].eqNullSafe(b["authority"]))
-    pairs = _pairs(sourced, facts, pair_limit).select(
+    pairs = _pairs(sourced, pair_limit).select(
         *GROUP, F.lit("PAIR").alias("scope"), a["claim_id"].alias("claim_a"), b["claim_id"].alias("claim_b"),
         cause.alias("likely_cause"),
     )
-    large = _in_groups(sourced, facts.filter(F.col("conflicting") & (F.col("claims") > pair_limit)))
-    rest = _witnessed(large).select(
+    rest = _witnessed(sourced.filter(F.col("claims") > pair_limit)).select(
         *GROUP, F.lit("CLAIM").alias("scope"), F.col("claim_id").alias("claim_a"),
         F.col("witness").alias("claim_b"), F.col("cause").alias("likely_cause"),
     )

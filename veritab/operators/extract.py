@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed as X
-from ..functions.dynamic import Node, either, parsed
+from ..functions.dynamic import Node, either, parsed, with_keys
 from ..functions.expr import fan_out, ident, numeric, trimmed
 
 IDENTITY_KEYS = ["fundName", "assetName", "name", "fund", "product"]
@@ -22,8 +22,21 @@ YIELD_KEYS = ["yieldBps", "apyBps", "couponBps", "yield", "apy"]
 ISSUER_KEYS = ["issuer", "fundManager", "sponsor", "entity"]
 
 
-def _doc() -> Column:
-    return F.col("doc")
+KEYS = sorted({
+    *IDENTITY_KEYS, *NAV_KEYS, *YIELD_KEYS, *ISSUER_KEYS, "cusip", "isin", "ticker", "symbol", "currency",
+    "shareClass", "reservesAdequacy", "collateralRatio", "redemption", "liquidity", "redemptionWindow",
+    "transferable", "beneficialOwnership", "distribution", "coupon", "eligibility", "investorType",
+    "kycRequired", "jurisdiction", "jurisdictionRestrictions", "excludedJurisdictions",
+})
+# Matches over prose: (pattern, group, words of which one must occur for the pattern to match).
+MATCHES = {
+    "m_cusip": (X.CUSIP_TEXT, 1, ["cusip"]),
+    "m_isin": (X.ISIN_TEXT, 1, ["isin"]),
+    "m_nav": (X.NAV_TEXT, 1, ["nav", "net asset value"]),
+    "m_nav_unit": (X.NAV_TEXT, 2, ["nav", "net asset value"]),
+    "m_class": (X.SHARE_CLASS_TEXT, 1, ["class", "series"]),
+    "m_redemption": (X.REDEMPTION_TEXT, 1, ["redemption"]),
+}
 
 
 def _claim(prop: str, confidence: float, locator: Column | str, *, text: Column | None = None,
@@ -48,7 +61,7 @@ def _first(candidates: list[tuple[Column, Column]]) -> Column:
 
 
 def identity_json() -> Column:
-    nodes = [(key, Node(_doc(), key)) for key in IDENTITY_KEYS]
+    nodes = [(key, Node(key)) for key in IDENTITY_KEYS]
     return _first([
         (n.is_text() & (F.length(trimmed(n.as_text())) > 0),
          _claim("economicIdentity", 1.0, f"json:$.{key}", text=n.as_text()))
@@ -57,25 +70,25 @@ def identity_json() -> Column:
 
 
 def cusip_json() -> Column:
-    n = Node(_doc(), "cusip")
+    n = Node("cusip")
     return F.when(n.is_text(), _claim("cusip", 1.0, "json:$.cusip", text=n.as_text()))
 
 
 def isin_json() -> Column:
-    n = Node(_doc(), "isin")
+    n = Node("isin")
     return F.when(n.is_text(), _claim("isin", 1.0, "json:$.isin", text=n.as_text()))
 
 
 def ticker_json() -> Column:
-    ticker, symbol = Node(_doc(), "ticker"), Node(_doc(), "symbol")
+    ticker, symbol = Node("ticker"), Node("symbol")
     named = either(ticker, symbol).as_text()
     return F.when(ticker.is_text() | symbol.is_text(), _claim("ticker", 1.0, "json:$.ticker", text=named))
 
 
 def nav_json() -> Column:
-    currency = Node(_doc(), "currency")
+    currency = Node("currency")
     unit = F.coalesce(F.when(currency.given(), currency.as_text()), F.lit("USD"))
-    found = [(key, Node(_doc(), key).number_or_text()) for key in NAV_KEYS]
+    found = [(key, Node(key).number_or_text()) for key in NAV_KEYS]
     return _first([
         (value.isNotNull(), _claim("nav", 0.98, f"json:$.{key}", number=value, unit=unit)) for key, value in found
     ])
@@ -85,7 +98,7 @@ def yield_json() -> Column:
     candidates = []
     for key in YIELD_KEYS:
         direct = key.endswith("Bps")
-        value = Node(_doc(), key).coerced()
+        value = Node(key).coerced()
         points = value if direct else F.floor(value * 100 + 0.5).cast("double")
         candidates.append((
             value.isNotNull(), _claim("yieldBps", 0.95, f"json:$.{key}", number=points, unit="bps", direct=direct)
@@ -94,17 +107,17 @@ def yield_json() -> Column:
 
 
 def share_class_json() -> Column:
-    n = Node(_doc(), "shareClass")
+    n = Node("shareClass")
     return F.when(n.is_text(), _claim("shareClass", 0.95, "json:$.shareClass", text=n.as_text()))
 
 
 def issuer_json() -> Column:
-    nodes = [(key, Node(_doc(), key)) for key in ISSUER_KEYS]
+    nodes = [(key, Node(key)) for key in ISSUER_KEYS]
     return _first([(n.is_text(), _claim("issuer", 0.95, f"json:$.{key}", text=n.as_text())) for key, n in nodes])
 
 
 def reserves_json() -> Column:
-    declared, ratio = Node(_doc(), "reservesAdequacy"), Node(_doc(), "collateralRatio")
+    declared, ratio = Node("reservesAdequacy"), Node("collateralRatio")
     value = either(declared, ratio)
     where = F.when(declared.defined(), "json:$.reservesAdequacy").otherwise("json:$.collateralRatio")
     return F.when(
@@ -113,33 +126,25 @@ def reserves_json() -> Column:
     )
 
 
-def _match(pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract("body", pattern, group), F.lit(""))
-
-
-def _in_prose(value: Column, claim: Column) -> Column:
-    return F.when(F.col("doc").isNull() & value.isNotNull(), claim)
+def _prose(match: str, claim: Column) -> Column:
+    return F.when(F.col(match).isNotNull(), claim)
 
 
 def cusip_text() -> Column:
-    value = _match(X.CUSIP_TEXT)
-    return _in_prose(value, _claim("cusip", 0.95, "text:regex:CUSIP", text=value))
+    return _prose("m_cusip", _claim("cusip", 0.95, "text:regex:CUSIP", text=F.col("m_cusip")))
 
 
 def isin_text() -> Column:
-    value = _match(X.ISIN_TEXT)
-    return _in_prose(value, _claim("isin", 0.95, "text:regex:ISIN", text=value))
+    return _prose("m_isin", _claim("isin", 0.95, "text:regex:ISIN", text=F.col("m_isin")))
 
 
 def nav_text() -> Column:
-    value = _match(X.NAV_TEXT)
-    unit = F.coalesce(_match(X.NAV_TEXT, 2), F.lit("USD"))
-    return _in_prose(value, _claim("nav", 0.90, "text:regex:NAV", number=numeric(value), unit=unit))
+    unit = F.coalesce("m_nav_unit", F.lit("USD"))
+    return _prose("m_nav", _claim("nav", 0.90, "text:regex:NAV", number=numeric(F.col("m_nav")), unit=unit))
 
 
 def share_class_text() -> Column:
-    value = _match(X.SHARE_CLASS_TEXT)
-    return _in_prose(value, _claim("shareClass", 0.88, "text:regex:ShareClass", text=F.lower(value)))
+    return _prose("m_class", _claim("shareClass", 0.88, "text:regex:ShareClass", text=F.lower("m_class")))
 
 
 JSON_EXTRACTORS = [
@@ -149,9 +154,20 @@ TEXT_EXTRACTORS = [cusip_text, isin_text, nav_text, share_class_text]
 
 
 def read_bodies(bodies: DataFrame) -> DataFrame:
-    """Bodies with `doc`: the parsed object, null for anything read as prose. Empty bodies go."""
-    kept = bodies.filter(F.length("body") > 0)
-    return kept.withColumn("doc", parsed(F.col("body")))
+    """Bodies with what the extractors read; unused columns are pruned again.
+
+    `doc` is the parsed object and null for prose; `low` is lower-cased prose and null for
+    objects. A pattern only runs over a text that holds one of its words. Empty bodies go.
+    """
+    kept = bodies.filter(F.length("body") > 0).withColumn("doc", parsed(F.col("body")))
+    told = with_keys(kept, "doc", KEYS).withColumn("low", F.when(F.col("doc").isNull(), F.lower("body")))
+    found = {}
+    for name, (pattern, group, words) in MATCHES.items():
+        held = F.contains(F.col("low"), F.lit(words[0]))
+        for word in words[1:]:
+            held = held | F.contains(F.col("low"), F.lit(word))
+        found[name] = F.when(held, F.nullif(F.regexp_extract("body", pattern, group), F.lit("")))
+    return told.withColumns(found)
 
 
 def extract_claims(
@@ -188,7 +204,7 @@ def _term(kind: str, type_: str, terms: Column | str, confidence: float, *, hold
 
 
 def redemption_json() -> Column:
-    redemption, liquidity, window = (Node(_doc(), k) for k in ("redemption", "liquidity", "redemptionWindow"))
+    redemption, liquidity, window = (Node(k) for k in ("redemption", "liquidity", "redemptionWindow"))
     inner = either(redemption, liquidity)
     open_ = F.coalesce(window.text(), inner.child("window").text(), inner.child("frequency").text(), F.lit("daily"))
     terms = F.coalesce(
@@ -196,8 +212,8 @@ def redemption_json() -> Column:
         F.concat(F.lit("Notice period: "), inner.child("noticePeriod").text()),
         F.concat(F.lit("Redemption window: "), open_),
     )
-    locked = Node(_doc(), "transferable").is_false() | inner.child("transferable").is_false()
-    holder = F.when(Node(_doc(), "beneficialOwnership").is_true(), "BENEFICIAL_OWNER").otherwise("TOKEN_HOLDER")
+    locked = Node("transferable").is_false() | inner.child("transferable").is_false()
+    holder = F.when(Node("beneficialOwnership").is_true(), "BENEFICIAL_OWNER").otherwise("TOKEN_HOLDER")
     return F.when(
         redemption.truthy() | liquidity.truthy() | window.truthy(),
         _term("RIGHT", "REDEMPTION", terms, 0.95, holder=holder,
@@ -206,17 +222,17 @@ def redemption_json() -> Column:
 
 
 def income_json() -> Column:
-    distribution, *others = (Node(_doc(), k) for k in ("distribution", "yield", "coupon", "yieldBps"))
+    distribution, *others = (Node(k) for k in ("distribution", "yield", "coupon", "yieldBps"))
     due = distribution.truthy()
     for node in others:
         due = due | node.truthy()
     terms = F.coalesce(distribution.child("terms").text(), F.lit(X.INCOME_TERMS))
-    transfer = F.when(Node(_doc(), "transferable").is_false(), "RESTRICTED").otherwise("TRANSFERABLE")
+    transfer = F.when(Node("transferable").is_false(), "RESTRICTED").otherwise("TRANSFERABLE")
     return F.when(due, _term("RIGHT", "INCOME", terms, 0.92, holder="TOKEN_HOLDER", transfer=transfer))
 
 
 def eligibility_json() -> Column:
-    eligibility, investor, kyc = (Node(_doc(), k) for k in ("eligibility", "investorType", "kycRequired"))
+    eligibility, investor, kyc = (Node(k) for k in ("eligibility", "investorType", "kycRequired"))
     criteria = F.coalesce(
         eligibility.child("criteria").text(), investor.text(),
         F.when(kyc.is_true(), X.KYC_CRITERIA).otherwise(X.OTHER_CRITERIA),
@@ -228,7 +244,7 @@ def eligibility_json() -> Column:
 
 def jurisdiction_json() -> Column:
     named, scope, excluded = (
-        Node(_doc(), k) for k in ("jurisdiction", "jurisdictionRestrictions", "excludedJurisdictions")
+        Node(k) for k in ("jurisdiction", "jurisdictionRestrictions", "excludedJurisdictions")
     )
     listed = F.try_variant_get(excluded.value, "$", "array<string>")
     where = F.coalesce(
@@ -240,14 +256,15 @@ def jurisdiction_json() -> Column:
 
 
 def _says(phrase: str) -> Column:
-    return F.contains(F.lower("body"), F.lit(phrase))
+    """Prose holding a phrase in any case; null for objects."""
+    return F.contains(F.col("low"), F.lit(phrase))
 
 
 def redemption_text() -> Column:
-    clause = trimmed(_match(X.REDEMPTION_TEXT))
+    clause = trimmed(F.col("m_redemption"))
     told = clause.isNotNull() & (F.lower(clause) != "terms") & ~_says("without redemption") & ~_says("no redemption")
     return F.when(
-        F.col("doc").isNull() & told,
+        told,
         _term("RIGHT", "REDEMPTION", clause, 0.88,
               holder=F.when(_says("beneficial owner"), "BENEFICIAL_OWNER").otherwise("TOKEN_HOLDER"),
               transfer=F.when(_says("non-transferable"), "NON_TRANSFERABLE").otherwise("RESTRICTED"), window=clause),
@@ -258,14 +275,14 @@ def eligibility_text() -> Column:
     purchaser = _says("qualified purchaser")
     criteria = F.when(purchaser, X.QUALIFIED_PURCHASER).otherwise(X.ACCREDITED_INVESTOR)
     return F.when(
-        F.col("doc").isNull() & (purchaser | _says("accredited investor")),
+        purchaser | _says("accredited investor"),
         _term("RESTRICTION", "ELIGIBILITY", criteria, 0.95),
     )
 
 
 def jurisdiction_text() -> Column:
     return F.when(
-        F.col("doc").isNull() & (_says("regulation s") | _says("non-us persons only")),
+        _says("regulation s") | _says("non-us persons only"),
         _term("RESTRICTION", "JURISDICTION", X.REGULATION_S, 0.95),
     )
 
