@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.ingest import version_append
+from ..session import pin
 
 REPRESENTATION = (
     "STRUCT<id: STRING, environment: STRING, network: STRING, contract: STRING, relationship: STRING, "
@@ -46,7 +47,7 @@ def save_versions(spark: SparkSession, path: str, batch: DataFrame, payload: Dat
         if "PATH_NOT_FOUND" not in str(error):
             raise
         store = batch.select("object_id", "version", "root").limit(0)
-    outcomes = version_append(store, batch)
+    outcomes = pin(version_append(store, batch))  # fixed before the store grows
     fresh = outcomes.filter(F.col("outcome") == "APPENDED").drop("outcome")
     (
         fresh.join(payload, ["object_id", "version", "seq"], "left")
