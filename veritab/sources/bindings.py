@@ -91,7 +91,8 @@ class DuckDialect:
 def _line_key() -> str:
     return (
         "CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) || ':' || "
-        "CAST(l_partkey AS STRING) || ':' || CAST(l_suppkey AS STRING)"
+        "CAST(l_partkey AS STRING) || ':' || CAST(l_suppkey AS STRING) || ':' || "
+        "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)"
     )
 
 
@@ -363,7 +364,7 @@ def pairs(d) -> str:
 
 def relationships(d) -> str:
     return f"""
-    SELECT 'rel:' || CAST(l_orderkey AS STRING) || ':' || CAST(l_linenumber AS STRING) || ':' || CAST(l_partkey AS STRING) || ':' || CAST(l_suppkey AS STRING) AS relationship_id,
+    SELECT 'rel:' || {_line_key()} AS relationship_id,
            'proposal:' || CAST(l_orderkey AS STRING) AS proposal_id,
            'rep:' || CAST(l_partkey AS STRING) AS subject,
            CASE l_linenumber WHEN 1 THEN 'REPRESENTS' WHEN 2 THEN 'ISSUED_BY' WHEN 3 THEN 'SIMILAR_TO'
