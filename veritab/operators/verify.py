@@ -1,6 +1,6 @@
 """Verification checks and receipts.
 
-Checks come from three passes: over claims, over claim x evidence, over claim x attestation.
+Checks come from two passes: over claim x evidence, and over claim x attestation.
 A claim without evidence gets no attestation checks. Receipts roll checks up per object.
 """
 
@@ -186,13 +186,24 @@ def verify_claims(
         ),
         contents,
     )
-    per_claim = _unfold(claims, *_state_checks(), _presence_check())
+    # One pass over claims: checks on the claim itself ride on its first evidence ref.
+    refs = claims.select(
+        "object_id", "claim_id", "state", "evidence_refs", F.posexplode_outer("evidence_refs").alias("pos", "evidence_id")
+    )
+    rows = refs.join(side.withColumn("found", F.lit(True)), ["object_id", "evidence_id"], "left").withColumn(
+        "found", true(F.col("found"))
+    )
+    leads, cites = F.coalesce("pos", F.lit(0)) == 0, F.col("evidence_id").isNotNull()
     per_evidence = _unfold(
-        resolve_evidence(claims, side),
-        _reference_check(), _authority_check(), _content_check(), _freshness_check(now_ms, max_age_ms),
+        rows,
+        *[F.when(leads, check) for check in (*_state_checks(), _presence_check())],
+        *[
+            F.when(cites, check)
+            for check in (_reference_check(), _authority_check(), _content_check(), _freshness_check(now_ms, max_age_ms))
+        ],
     )
     per_attestation = check_attestations(claims, attestations, now_ms, **attestation_context)
-    checks = per_claim.unionByName(per_evidence).unionByName(per_attestation)
+    checks = per_evidence.unionByName(per_attestation)
     return checks.withColumn("rule_version", F.lit(VERIFIER_VERSION))
 
 

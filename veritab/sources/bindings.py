@@ -18,6 +18,8 @@ RAW = (
     "pages benchmark labels conversations"
 ).split()
 
+SPREAD = ("lineitem", "documents")
+
 
 class SparkDialect:
     @staticmethod
@@ -683,7 +685,16 @@ class Tables:
         self.folder = folder.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A raw table. A large one that comes in fewer pieces than there are cores is spread out.
+
+        A single row group is read by a single task whatever its size; tables of many row
+        groups have enough pieces and are left as they are.
+        """
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in SPREAD and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in DEFINITIONS:
