@@ -1,4 +1,4 @@
 """Importing this module registers every query of the package."""
 
-from . import op1_mixing, op3_substring_dedup, op5_line_dedup, op7_simhash, op9_quality  # noqa: F401
+from . import op10_suffix_dedup, op1_mixing, op3_substring_dedup, op5_line_dedup, op7_simhash, op9_quality  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
