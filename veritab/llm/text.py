@@ -88,8 +88,8 @@ def lower(data: np.ndarray) -> np.ndarray:
 class Words:
     """Words of the rows of a text column: byte spans, row of each word, first word of each row."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        word = ~_SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE):
+        word = ~breaks[data]
         first, last = word.copy(), word.copy()
         first[1:] &= ~word[:-1]
         last[:-1] &= ~word[1:]
