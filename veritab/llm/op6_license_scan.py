@@ -1,6 +1,7 @@
 """Operator 6: licence texts and notices in documents, by the Dice coefficient over word bigrams.
 
-Units of a document are its lines, its paragraphs and its whole text. A unit is normalised to lower-case
+Units of a document are its lines, its paragraphs of more than one line, and its whole text if it
+has more than one paragraph. A unit is normalised to lower-case
 words, its bigrams are compared with those of every template, and matches of at least `min_dice`
 are reported with the best unit. Dice is at most 2 min(a, b) / (a + b), so a template is a
 candidate only for units between d / (2 - d) and (2 - d) / d of its size: units outside all
@@ -21,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .text import LOWER, UPPER
 
 MIN_DICE = 0.8
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
@@ -58,21 +58,25 @@ TEMPLATES = (
 
 
 def normalised(text: Column) -> Column:
-    """A-Z in lower case, everything but letters, digits and line ends one space."""
-    return F.regexp_replace(F.translate(text, UPPER, LOWER), NOT_WORD, " ")
+    """Lower case, everything but letters, digits and line ends one space."""
+    return F.regexp_replace(F.lower(text), NOT_WORD, " ")
 
 
-def bigrams(unit: Column) -> Column:
-    """Distinct word bigrams of a normalised unit, hashed."""
-    words = F.filter(F.split(unit, "[ \n]+"), lambda w: w != "")
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.xxhash64(F.element_at(words, i + 1), w))
-    return F.array_distinct(pairs)
+def with_bigrams(rows: DataFrame, body: str, name: str) -> DataFrame:
+    """`rows` with the distinct word bigrams of a normalised text, hashed, in place of the text.
+
+    The words are a column of their own, so that they are cut once and not for every bigram.
+    """
+    cut = rows.withColumn("__words", F.filter(F.split(F.replace(F.col(body), F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")).drop(body)
+    words, count = F.col("__words"), F.greatest(F.size("__words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), count), F.slice(words, F.lit(2), count), lambda a, b: F.xxhash64(a, b))
+    return cut.withColumn(name, F.array_distinct(pairs)).drop("__words")
 
 
 def template_bigrams(spark, templates) -> DataFrame:
     """(template, licence, t_size, bigram); one row per bigram of the fixed templates."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "template int, licence string, body string")
-    cut = rows.select("template", "licence", bigrams(normalised(F.col("body"))).alias("all"))
+    cut = with_bigrams(rows.withColumn("body", normalised(F.col("body"))), "body", "all")
     return cut.select("template", "licence", F.size("all").alias("t_size"), F.explode("all").alias("bigram"))
 
 
@@ -86,22 +90,18 @@ def scan(docs: DataFrame, min_dice: float = MIN_DICE, templates=TEMPLATES) -> Da
     unit is line, paragraph or text, place its number from 0, n_units the number of units that match.
     """
     spark = docs.sparkSession
-    # words are counted by single spaces here; bigrams of a unit are at most words - 1
-    text = normalised(F.col("text").cast("string"))
-    lines = F.transform(F.split(text, "\n", -1), lambda u, i: F.struct(F.lit(0).alias("kind"), i.alias("place"), u.alias("body")))
-    parts = F.split(text, "\n *\n", -1)
-    paragraphs = F.transform(parts, lambda u, i: F.struct(F.lit(1).alias("kind"), i.alias("place"), u.alias("body")))
-    whole = F.when(F.size(parts) > 1, F.array(F.struct(F.lit(2).alias("kind"), F.lit(0).alias("place"), text.alias("body")))).otherwise(
-        F.array().cast("array<struct<kind:int,place:int,body:string>>")
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text").cast("string")).alias("text"))
+    rows = rows.select("doc_id", "text", F.split("text", "\n *\n", -1).alias("parts"))
+    unit = lambda kind: lambda body, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), body.alias("body"))
+    lines, paragraphs = F.transform(F.split("text", "\n", -1), unit(0)), F.transform(F.filter("parts", lambda p: p.contains("\n")), unit(1))
+    whole = F.transform(F.when(F.size("parts") > 1, F.array("text")).otherwise(F.array().cast("array<string>")), unit(2))
     low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
     sizes = template_sizes(spark, templates)
-    fits = lambda size: F.exists(F.array(*[F.lit(s) for s in sizes]), lambda t: (size >= t * low) & (size <= t * high))
-    spaces = lambda body: F.char_length(body) - F.char_length(F.translate(body, " \n", ""))
-    enough = lambda u: spaces(u["body"]) >= int(min(sizes) * low) if sizes else F.lit(False)
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.filter(F.concat(lines, paragraphs, whole), enough)).alias("unit"))
-    units = units.select("doc_id", "unit.kind", "unit.place", bigrams(F.col("unit.body")).alias("all")).withColumn("u_size", F.size("all"))
-    probes = units.filter(fits(F.col("u_size"))).select("doc_id", "kind", "place", "u_size", F.explode("all").alias("bigram"))
+    units = rows.select("doc_id", F.explode(F.concat(lines, paragraphs, whole)).alias("unit")).select("doc_id", "unit.*")
+    units = with_bigrams(units, "body", "all")
+    # not a filter: that would be moved below the column and cut every text twice
+    fits = F.size("all").between(min(sizes, default=0) * low, max(sizes, default=0) * high)
+    probes = units.select("doc_id", "kind", "place", F.coalesce(F.size("all"), F.lit(0)).alias("u_size"), F.explode(F.when(fits, F.col("all"))).alias("bigram"))
     index = F.broadcast(template_bigrams(spark, templates))
     bound = (F.col("u_size") >= F.col("t_size") * low) & (F.col("u_size") <= F.col("t_size") * high)
     met = probes.join(index, (probes["bigram"] == index["bigram"]) & bound)
@@ -121,7 +121,7 @@ def _quoted(text: str) -> str:
 
 
 _VALUES = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)})" for k, (name, text) in enumerate(TEMPLATES))
-_NORMAL = rf"regexp_replace(translate(%s, '{UPPER}', '{LOWER}'), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+_NORMAL = rf"regexp_replace(lower(%s), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
 
 
 _WORDS = "list_filter(regexp_split_to_array(%s, '[ \\n]+'), lambda x: x <> '')"
@@ -138,7 +138,7 @@ ORACLE = f"""
         SELECT doc_id, body, string_split(body, chr(10)) AS ls, regexp_split_to_array(body, '\\n *\\n') AS ps FROM d
     ), units AS (
         SELECT doc_id, 0 AS kind, unnest(range(len(ls))) AS place, unnest(ls) AS body FROM parts
-        UNION ALL SELECT doc_id, 1, unnest(range(len(ps))), unnest(ps) FROM parts
+        UNION ALL SELECT doc_id, 1, unnest(range(len(ls))) AS place, unnest(ls) FROM (SELECT doc_id, list_filter(ps, lambda p: contains(p, chr(10))) AS ls FROM parts)
         UNION ALL SELECT doc_id, 2, 0, body FROM parts WHERE len(ps) > 1
     ), u AS (
         SELECT doc_id, kind, place, {_BIGRAMS} AS b FROM (SELECT doc_id, kind, place, {_WORDS % 'body'} AS w FROM units)
