@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes:
 
     One row per source. The level of the shares is found in closed form: with sources in order of
     cap / weight, the first one whose cap the remaining level does not reach fixes the level for
-    all that follow.
+    all that follow; levels after it are no higher, so it is the highest of those that fit.
     """
     everything = W.partitionBy()
     by_name = W.orderBy("__none", "__from")
@@ -64,7 +64,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes:
     rest = W.orderBy("__ratio", "__none", "__from").rowsBetween(0, W.unboundedFollowing)
     level = (F.col("__budget") - F.coalesce(F.sum("__cap").over(earlier), F.lit(0.0))) / F.sum("__weight").over(rest)
     rows = rows.withColumn("__level", level)
-    found = F.min_by("__level", F.when(F.col("__ratio") >= F.col("__level"), F.col("__ratio"))).over(everything)
+    found = F.max(F.when(F.col("__ratio") >= F.col("__level"), F.col("__level"))).over(everything)
     return rows.withColumn("__target", F.least(F.col("__cap"), F.coalesce(found, F.col("__ratio")) * F.col("__weight"))).select(
         "__none", "__from", "__source_size", "__target", "__budget"
     )
@@ -133,7 +133,7 @@ ORACLE = rf"""
         FROM sources
     ), targets AS (
         SELECT source, source_size, budget,
-               least(cap, coalesce((SELECT arg_min(level, ratio) FROM leveled WHERE ratio >= level), ratio) * weight) AS target
+               least(cap, coalesce((SELECT max(level) FROM leveled WHERE ratio >= level), ratio) * weight) AS target
         FROM leveled
     ), placed AS (
         SELECT s.*, t.source_size, t.target, t.budget,

@@ -38,6 +38,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
+# Elements that do not end a block, whether their own text is seen or not.
+PHRASING = INLINE | frozenset("script style noscript template svg math iframe object canvas button select option textarea input label".split())
 CLOSES_P = re.compile(r"address|article|aside|blockquote|div|dl|fieldset|figure|footer|form|h[1-6]|header|hr|main|nav|ol|p|pre|section|table|ul")
 FURNITURE = frozenset("nav footer aside menu dialog".split())
 ARTICLE = frozenset("article main".split())
@@ -150,12 +152,12 @@ def read_blocks(page: str) -> list[Block]:
             continue
         if m[1]:
             match = inside(tag)
-            if tag not in INLINE:
+            if tag not in PHRASING:
                 flush()
             if match and match.parent:
                 here = match.parent
             continue
-        if tag not in INLINE:
+        if tag not in PHRASING:
             flush()
         if CLOSES_P.fullmatch(tag) and (p := inside("p")):
             here = p.parent
