@@ -255,8 +255,8 @@ def test_nav_conflict_with_a_stale_source(rows):
     claims = rows(schema, ("s", "nav", "c1", "number", 105.5, None, "105.5", ["e1"]), ("s", "nav", "c2", "number", 100.0, None, "100", ["e2"]),
                   ("s", "name", "c3", "string", None, "Fund ", '"Fund "', ["e1"]), ("s", "name", "c4", "string", None, " fund", '" fund"', ["e2"]))
     evidence = rows("evidence_id string, freshness string, authority string", ("e1", "FRESH", "PRIMARY_SOURCE"), ("e2", "STALE", "PRIMARY_SOURCE"))
-    got = [(r["conflict_id"], r["likely_cause"]) for r in conflicts.conflict_pairs(claims, evidence).collect()]
-    assert got == [("conflict:prop:s:nav:c1:c2", "STALE_SOURCE")]
+    got = sorted((r["claim_id"], r["witness"], r["likely_cause"], r["evidence_refs"]) for r in conflicts.conflicts(claims, evidence).collect())
+    assert got == [("c1", "c2", "STALE_SOURCE", ["e1", "e2"]), ("c2", "c1", "STALE_SOURCE", ["e1", "e2"])]
 
 
 def test_extraction_from_objects_and_prose(rows):

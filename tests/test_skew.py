@@ -69,36 +69,66 @@ def test_commit_replay_split_equals_walk(spark):
     assert final == {k: v for k, v in versions_by.items() if v}
 
 
-def test_conflict_rows_of_large_groups_cover_every_pair(spark):
+CLAIM = (
+    "subject string, property string, claim_id string, value_kind string, value_num double, value_str string, "
+    "value_json string, evidence_refs array<string>"
+)
+
+
+def test_conflict_rows_cover_every_pair(spark):
+    """Rows of (claim, cause) equal those of all pairs, with a witness that is a pair; no claim is left out."""
     rng = random.Random(3)
     kinds = [("number", 1.0), ("number", 1.00005), ("number", 2.5), ("string", "A"), ("string", " a "), ("boolean", "true")]
     claims, evidence = [], []
-    for i in range(60):
+    for i in range(260):
         kind, value = rng.choice(kinds)
         prop = rng.choice(["nav", "shareClass", "issuer"])
+        refs = [] if i % 5 == 0 else [f"e{i}"]
         claims.append((
             "s" if i % 3 else f"t{i % 4}", prop, f"c{i:03d}", kind, value if kind == "number" else None,
-            value if kind == "string" else None, f'"{value}"', [f"e{i}"],
+            value if kind == "string" else None, f'"{value}"', refs,
         ))
         evidence.append((f"e{i}", rng.choice(["STALE", "FRESH", None]), rng.choice(["PRIMARY_SOURCE", "DERIVED"])))
-    c = spark.createDataFrame(
-        claims, "subject string, property string, claim_id string, value_kind string, value_num double, value_str string, "
-        "value_json string, evidence_refs array<string>",
-    )
-    e = spark.createDataFrame(evidence, "evidence_id string, freshness string, authority string")
-    pairs = conflicts.conflict_pairs(c, e, pair_limit=1000).collect()
-    expected = {(p[side], p["likely_cause"]) for p in pairs for side in ("claim_a", "claim_b")}
-    listed = {frozenset((p["claim_a"], p["claim_b"])) for p in pairs}
-    rest = conflicts.conflict_pairs(c, e, pair_limit=1).collect()
-    assert {(r["claim_a"], r["likely_cause"]) for r in rest} == expected
-    assert all(r["scope"] == "CLAIM" and frozenset((r["claim_a"], r["claim_b"])) in listed for r in rest)
-
-
-def test_sections_of_long_collections_are_whole(spark):
-    items = spark.createDataFrame([("o", "claims", f"c{i:03d}", "{}") for i in range(50)], "object_id string, collection string, item_id string, json string")
-    sections = digests.assemble_sections(items, section_limit=8)
-    assert sections.count() > 1
-    assert sections.select(F.explode("items.item_id")).distinct().count() == 50
+    sides = {e[0]: (e[1] == "STALE", e[2]) for e in evidence}
+
+    def form(c):
+        return c[3] if c[3] in ("number", "string") else "other"
+
+    def differ(a, b):
+        if form(a) != form(b):
+            return True
+        if a[3] == "number":
+            return abs(a[4] - b[4]) > 0.0001
+        return (a[5] or a[6]).strip().lower() != (b[5] or b[6]).strip().lower()
+
+    def cause(a, b):
+        one, two = (sides[c[7][0]] if c[7] else (False, None) for c in (a, b))
+        if one[0] or two[0]:
+            return "STALE_SOURCE"
+        if a[1] in ("shareClass", "issuer"):
+            return "SHARE_CLASS_MISMATCH" if a[1] == "shareClass" else "REPRESENTATION_MISMATCH"
+        return "EFFECTIVE_DATE_MISMATCH" if one[1] == two[1] else "UNKNOWN_AUTHORITY"
+
+    pairs = {(a[2], b[2]): cause(a, b) for a in claims for b in claims if a is not b and a[:2] == b[:2] and differ(a, b)}
+    rows = conflicts.conflicts(spark.createDataFrame(claims, CLAIM), spark.createDataFrame(evidence, "evidence_id string, freshness string, authority string")).collect()
+    assert {(r["claim_id"], r["likely_cause"]) for r in rows} == {(a, why) for (a, _), why in pairs.items()}
+    assert all(pairs[r["claim_id"], r["witness"]] == r["likely_cause"] for r in rows)
+    assert len(rows) == len({r["conflict_id"] for r in rows})
+
+
+def test_conflicts_have_one_shape_at_every_size(spark):
+    for size in (2, 64, 65, 300):
+        claims = [("s", "nav", f"c{i:03d}", "number", float(i), None, str(i), [f"e{i % 7}"]) for i in range(size)]
+        evidence = spark.createDataFrame([(f"e{i}", "FRESH", f"authority {i}") for i in range(7)], "evidence_id string, freshness string, authority string")
+        df = spark.createDataFrame(claims, CLAIM)
+        assert {r["claim_id"] for r in conflicts.conflicts(df, evidence).collect()} == {c[2] for c in claims}
+        assert conflicts.claims_in_conflict(df).count() == size
+
+
+def test_sections_follow_id_order(spark):
+    items = spark.range(20_500).selectExpr("'o' AS object_id", "'claims' AS collection", "lpad(cast(id AS string), 6, '0') AS item_id", "'{}' AS json")
+    rows = sorted(digests.assemble_sections(items).selectExpr("section", "size(items) AS n", "items[0].item_id AS first").collect())
+    assert [tuple(r) for r in rows] == [(0, 10_000, "000000"), (1, 10_000, "010000"), (2, 500, "020000")]
 
 
 def test_watch_steps_split_equals_plain(spark):

@@ -1,10 +1,9 @@
 """Conflicting claims about one property of one subject.
 
-Whether a group conflicts follows from minima and maxima, in linear time. Groups up to
-`pair_limit` claims give every conflicting pair. In larger groups the pairs are not listed:
-each claim gets one row per cause it conflicts by, with a witness on the other side, found
-from at most one bound row per (kind, staleness, authority) of the group. Either way no
-claim in conflict is left out.
+Whether a group conflicts follows from minima and maxima, in linear time. Pairs are not listed:
+each claim in conflict gets one row per cause it conflicts by, with a witness on the other side,
+found from at most one bound row per (kind, staleness, authority) of the group. The shape is the
+same for groups of any size, and no claim in conflict is left out.
 """
 
 from __future__ import annotations
@@ -12,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import EVIDENCE_AUTHORITIES
 from ..functions.expr import folded, ident, true
-from ..session import pin
 
 TOLERANCE = 0.0001
-PAIR_LIMIT = 64
 GROUP = ["subject", "property"]
 CAUSES = [
     "STALE_SOURCE", "SHARE_CLASS_MISMATCH", "REPRESENTATION_MISMATCH", "UNKNOWN_AUTHORITY", "EFFECTIVE_DATE_MISMATCH",
@@ -32,7 +30,7 @@ def comparable(claims: DataFrame) -> DataFrame:
         F.when(kind == "number", F.col("value_num")).alias("num"),
         F.when(kind == "number", F.lit(None)).when(kind == "string", folded(F.col("value_str")))
         .otherwise(F.col("value_json")).alias("txt"),
-        F.get("evidence_refs", 0).alias("evidence_id"),
+        F.get("evidence_refs", 0).alias("evidence_id"), "evidence_refs",
     )
 
 
@@ -52,12 +50,6 @@ def conflict_groups(claims: DataFrame) -> DataFrame:
     return _group_facts(comparable(claims))
 
 
-def _conflict(a: Column, b: Column) -> Column:
-    return F.when(a["form"] != b["form"], True).when(
-        a["form"] == "number", F.abs(a["num"] - b["num"]) > TOLERANCE
-    ).otherwise(a["txt"] != b["txt"])
-
-
 def _cause(prop: Column, stale: Column, same_authority: Column) -> Column:
     return (
         F.when(stale, "STALE_SOURCE").when(prop == "shareClass", "SHARE_CLASS_MISMATCH")
@@ -67,8 +59,18 @@ def _cause(prop: Column, stale: Column, same_authority: Column) -> Column:
 
 
 def _with_first_evidence(values: DataFrame, evidence: DataFrame) -> DataFrame:
-    first = evidence.select("evidence_id", (F.col("freshness") == "STALE").alias("stale"), "authority")
-    return values.join(first, "evidence_id", "left").withColumn("stale", true(F.col("stale")))
+    """Staleness and authority of the first evidence; claims without any do not travel to its join.
+
+    Authorities outside the fixed list count as one, which bounds the bounds of a group.
+    """
+    known = F.col("authority").isin(EVIDENCE_AUTHORITIES)
+    authority = F.when(F.col("authority").isNull() | known, F.col("authority")).otherwise("OTHER")
+    first = evidence.select("evidence_id", (F.col("freshness") == "STALE").alias("stale"), authority.alias("authority"))
+    cited = values.filter(F.col("evidence_id").isNotNull()).join(first, "evidence_id", "left")
+    uncited = values.filter(F.col("evidence_id").isNull()).withColumns({
+        "stale": F.lit(False), "authority": F.lit(None).cast("string"),
+    })
+    return cited.unionByName(uncited).withColumn("stale", true(F.col("stale")))
 
 
 def _in_conflict(claims: DataFrame) -> DataFrame:
@@ -77,41 +79,25 @@ def _in_conflict(claims: DataFrame) -> DataFrame:
     return values.join(_group_facts(values).filter("conflicting").drop("conflicting"), GROUP)
 
 
-def claim_pairs(claims: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Unordered conflicting pairs of the groups small enough to list."""
-    return _pairs(pin(_in_conflict(claims)), pair_limit).select(
-        *GROUP, F.col("a.claim_id").alias("claim_a"), F.col("b.claim_id").alias("claim_b")
-    )
-
-
-def _pairs(values: DataFrame, pair_limit: int) -> DataFrame:
-    listed = values.filter(F.col("claims") <= pair_limit)
-    row = F.struct(*[c for c in listed.columns if c not in GROUP])
-    sides = [listed.select(*GROUP, row.alias(name)) for name in ("a", "b")]
-    paired = sides[0].join(sides[1], GROUP).filter(F.col("a.claim_id") < F.col("b.claim_id"))
-    return paired.filter(_conflict(F.col("a"), F.col("b")))
-
-
 def _witnessed(values: DataFrame) -> DataFrame:
     """One row per (claim, cause) for every claim in conflict within its group."""
     bounds = values.groupBy(*GROUP, "form", "stale", "authority").agg(
-        F.min("num").alias("low_num"), F.max("num").alias("high_num"),
-        F.min_by("claim_id", "num").alias("low_num_id"), F.max_by("claim_id", "num").alias("high_num_id"),
-        F.min("txt").alias("low_txt"), F.max("txt").alias("high_txt"),
-        F.min_by("claim_id", "txt").alias("low_txt_id"), F.max_by("claim_id", "txt").alias("high_txt_id"),
-        F.min("claim_id").alias("any_id"),
+        F.min(F.struct("num", "claim_id", "evidence_refs")).alias("low_num"), F.max(F.struct("num", "claim_id", "evidence_refs")).alias("high_num"),
+        F.min(F.struct("txt", "claim_id", "evidence_refs")).alias("low_txt"), F.max(F.struct("txt", "claim_id", "evidence_refs")).alias("high_txt"),
+        F.min(F.struct("claim_id", "evidence_refs")).alias("any"),
     )
     # At most forms x staleness x authorities entries.
     entry = F.struct(*[c for c in bounds.columns if c not in GROUP])
     packed = bounds.groupBy(*GROUP).agg(F.collect_list(entry).alias("bounds"))
 
     def judged(b: Column) -> Column:
+        side = lambda name: F.struct(b[name]["claim_id"].alias("claim_id"), b[name]["evidence_refs"].alias("evidence_refs"))
         witness = (
-            F.when(b["form"] != F.col("form"), b["any_id"])
-            .when(b["high_num"] - F.col("num") > TOLERANCE, b["high_num_id"])
-            .when(F.col("num") - b["low_num"] > TOLERANCE, b["low_num_id"])
-            .when(b["low_txt"] != F.col("txt"), b["low_txt_id"])
-            .when(b["high_txt"] != F.col("txt"), b["high_txt_id"])
+            F.when(b["form"] != F.col("form"), side("any"))
+            .when(b["high_num"]["num"] - F.col("num") > TOLERANCE, side("high_num"))
+            .when(F.col("num") - b["low_num"]["num"] > TOLERANCE, side("low_num"))
+            .when(b["low_txt"]["txt"] != F.col("txt"), side("low_txt"))
+            .when(b["high_txt"]["txt"] != F.col("txt"), side("high_txt"))
         )
         cause = _cause(
             F.col("property"), F.col("stale") | b["stale"], b["authority"].eqNullSafe(F.col("authority"))
@@ -128,32 +114,30 @@ def _witnessed(values: DataFrame) -> DataFrame:
     by_cause = F.array(*[
         F.struct(F.lit(cause).alias("cause"), first_witness(cause).alias("witness")) for cause in CAUSES
     ])
-    return rows.select(*GROUP, "claim_id", F.explode(by_cause).alias("c")).select(*GROUP, "claim_id", "c.*").filter(
-        F.col("witness").isNotNull()
-    )
+    return rows.select(*GROUP, "claim_id", "evidence_refs", F.explode(by_cause).alias("c")).select(
+        *GROUP, "claim_id", "evidence_refs", "c.cause", F.col("c.witness.claim_id").alias("witness"),
+        F.col("c.witness.evidence_refs").alias("witness_refs"),
+    ).filter(F.col("witness").isNotNull())
+
+
+def claims_in_conflict(claims: DataFrame) -> DataFrame:
+    """Every claim that another claim of its group contradicts, with one such claim."""
+    values = _in_conflict(claims).withColumns({"stale": F.lit(False), "authority": F.lit(None).cast("string")})
+    return _witnessed(values).select(*GROUP, "claim_id", "witness")
 
 
 def conflict_profile(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """Every claim in conflict, once per cause, with a witness; groups of any size."""
-    return _witnessed(pin(_with_first_evidence(_in_conflict(claims), evidence)))
+    return _witnessed(_with_first_evidence(_in_conflict(claims), evidence))
 
 
-def conflict_pairs(claims: DataFrame, evidence: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Conflicts: pairs of listed groups (scope PAIR), claim rows of larger ones (scope CLAIM)."""
-    sourced = pin(_with_first_evidence(_in_conflict(claims), evidence))
-    a, b = F.col("a"), F.col("b")
-    cause = _cause(F.col("property"), a["stale"] | b["stale"], a["authority"].eqNullSafe(b["authority"]))
-    pairs = _pairs(sourced, pair_limit).select(
-        *GROUP, F.lit("PAIR").alias("scope"), a["claim_id"].alias("claim_a"), b["claim_id"].alias("claim_b"),
-        cause.alias("likely_cause"),
-    )
-    rest = _witnessed(sourced.filter(F.col("claims") > pair_limit)).select(
-        *GROUP, F.lit("CLAIM").alias("scope"), F.col("claim_id").alias("claim_a"),
-        F.col("witness").alias("claim_b"), F.col("cause").alias("likely_cause"),
-    )
-    return pairs.unionByName(rest).select(
-        ident("conflict", "prop", F.col("subject"), F.col("property"), F.col("claim_a"), F.col("claim_b")).alias("conflict_id"),
-        *GROUP, "scope", "claim_a", "claim_b", "likely_cause", F.lit("BLOCKING").alias("severity"),
+def conflicts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Conflicts as rows of (claim, cause) with a witness and the evidence of both sides."""
+    return conflict_profile(claims, evidence).select(
+        ident("conflict", "prop", F.col("subject"), F.col("property"), F.col("claim_id"), F.col("cause")).alias("conflict_id"),
+        *GROUP, "claim_id", "witness", F.col("cause").alias("likely_cause"),
+        F.array_sort(F.array_distinct(F.concat("evidence_refs", "witness_refs"))).alias("evidence_refs"),
+        F.lit("BLOCKING").alias("severity"),
     )
 
 

@@ -171,6 +171,6 @@ def run_telemetry(runs: DataFrame) -> DataFrame:
     return run_receipts(runs).groupBy("model_id").agg(
         F.count("*").alias("runs"), F.sum("total_tokens").alias("total_tokens"),
         F.avg("latency_ms").alias("mean_latency_ms"), F.max("latency_ms").alias("max_latency_ms"),
-        F.percentile_approx("latency_ms", 0.5, 10000).alias("median_latency_ms"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)").cast("long").alias("median_latency_ms"),
         F.count_if(F.col("status") != "SUCCESS").alias("rejected_runs"),
     )

@@ -158,8 +158,10 @@ def verification_receipts(t):
 
 
 @query("d12_assemble_sections", f"""WITH {ITEMS}
-SELECT object_id, collection, 0 AS section, count(*) AS items, min(item_id) AS first_id, max(item_id) AS last_id,
-       sha256(string_agg(json, ',' ORDER BY item_id)) AS content FROM items GROUP BY object_id, collection""")
+SELECT object_id, collection, section, count(*) AS items, min(item_id) AS first_id, max(item_id) AS last_id,
+       sha256(string_agg(json, ',' ORDER BY item_id)) AS content
+FROM (SELECT *, (row_number() OVER (PARTITION BY object_id, collection ORDER BY item_id) - 1) // {g.SECTION_SIZE} AS section FROM items)
+GROUP BY object_id, collection, section""")
 def assemble_sections(t):
     return g.assemble_sections(items(t)).select(
         "object_id", "collection", F.col("section").cast("long").alias("section"), F.size("items").alias("items"),
