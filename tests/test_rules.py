@@ -2,8 +2,10 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from veritab import session
 from veritab.functions.canonical import canonical
 from veritab.operators import (
     conflicts, digests, extract, ingest, lineage, mandates, promote, relate, status, verify, versions,
@@ -329,3 +331,45 @@ def test_outbox_writes_each_id_once_over_replays(spark, tmp_path):
     feeds.outbox_sink(stream, out, mark).awaitTermination()
     written = spark.read.parquet(out)
     assert written.count() == written.select("outbox_id").distinct().count() == 2 * steps.count()
+
+
+def test_late_and_replayed_events_over_micro_batches(spark, tmp_path):
+    source, out, mark = (str(tmp_path / name) for name in ("in", "out", "mark"))
+    schema = "event_id string, event_time timestamp"
+    sent = [
+        [("a", "2024-01-01 12:00:00"), ("b", "2024-01-01 12:00:00"), ("a", "2024-01-01 12:00:00")],
+        [("c", "2024-01-02 20:00:00"), ("b", "2024-01-01 12:00:00")],
+        [("d", "2024-01-01 05:00:00"), ("e", None), ("c", "2024-01-02 20:00:00")],
+        [("e", None), ("d", "2024-01-01 05:00:00")],
+    ]
+    for batch in sent:
+        rows = spark.createDataFrame(batch, "event_id string, t string").selectExpr("event_id", "cast(t as timestamp) AS event_time")
+        rows.coalesce(1).write.mode("append").parquet(source)
+        feeds.dedupe_replay(spark.readStream.schema(schema).parquet(source), out, mark).awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d", "e"]
+
+
+def test_freshness_stream_counts_late_rows(spark, tmp_path):
+    source, out, mark = (str(tmp_path / name) for name in ("in", "out", "mark"))
+    schema = "event_time timestamp, source string, stale boolean, failed boolean"
+    for when in ("2024-01-05 10:10:00", "2024-01-01 10:20:00", "2024-01-05 10:40:00"):
+        rows = spark.sql(f"SELECT timestamp'{when}' AS event_time, 's' AS source, true AS stale, false AS failed")
+        rows.write.mode("append").parquet(source)
+        feeds.freshness_stream(spark.readStream.schema(schema).parquet(source), out, mark).awaitTermination()
+    everything = feeds.freshness_windows(spark.read.parquet(source))
+    assert sorted(feeds.read_freshness(spark, out).collect()) == sorted(everything.collect())
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())

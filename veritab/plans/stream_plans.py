@@ -34,8 +34,8 @@ def dedupe_replay(t):
     columns = ["event_id", "object_id", "change_type", F.col("ts").cast("timestamp").alias("event_time")]
     sent_twice = s.changes.select(*columns).unionByName(s.changes.select(*columns))
     out, mark = scratch_path(t.spark, "once"), scratch_path(t.spark, "once-mark")
-    feeds.append_stream(feeds.dedupe_replay(sent_twice), out, mark).awaitTermination()
-    return t.spark.read.parquet(out).drop("event_time")
+    feeds.dedupe_replay(sent_twice, out, mark).awaitTermination()
+    return t.spark.read.parquet(out).select("event_id", "object_id", "change_type")
 
 
 @query("t5_outbox_sink", f"""WITH {WATCH}

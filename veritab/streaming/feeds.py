@@ -16,7 +16,6 @@ from ..operators.versions import VECTOR, outbox_rows, watch_state, watch_steps
 
 COMPACT_EVERY = 20
 STATE_SCHEMA = "object_id STRING, version BIGINT, " + ", ".join(f"{c} STRING" for c in VECTOR) + ", decision STRING"
-OUTBOX_KEYS = "outbox_id STRING, day DATE, batch BIGINT"
 
 
 def _batch(path: str, batch_id: int) -> str:
@@ -34,16 +33,42 @@ def ingest_stream(snapshots: DataFrame, path: str, checkpoint: str, now_ms: int)
     )
 
 
-def dedupe_replay(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Each event id once, also when a replay sends it again within the delay."""
-    return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
+def _first_seen(rows: DataFrame, batch_id: int, path: str, key: str, time: str) -> DataFrame:
+    """Rows of a micro-batch whose key neither the batch nor an earlier one has written.
 
+    A replay carries the time of the first sending, so a batch is compared only with the days it
+    touches itself, however late it comes.
+    """
+    rows = rows.dropDuplicates([key]).withColumn("day", F.to_date(time))
+    if batch_id == 0:
+        return rows
+    first, last = rows.agg(F.min("day"), F.max("day")).first()
+    earlier = rows.sparkSession.read.schema(f"{key} STRING, day DATE, batch BIGINT").parquet(path)
+    same_days = F.col("day").isNull() if first is None else F.col("day").between(first, last) | F.col("day").isNull()
+    written = earlier.filter(same_days & (F.col("batch") < batch_id)).select(key)
+    return rows.join(written, key, "left_anti")
+
+
+def _deliver(rows: DataFrame, batch_id: int, path: str) -> None:
+    """Write a batch by day; a batch run again overwrites its own partitions."""
+    (
+        rows.withColumn("batch", F.lit(batch_id)).hint("rebalance", "day").write.mode("overwrite").partitionBy("day", "batch")
+        .option("partitionOverwriteMode", "dynamic").parquet(path)
+    )
+
+
+def dedupe_replay(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each event id once over all batches, whenever it comes; late events are kept.
+
+    No watermark drops rows and no state grows: what was written is what was seen.
+    """
+
+    def once(batch: DataFrame, batch_id: int) -> None:
+        _deliver(_first_seen(batch, batch_id, path, "event_id", "event_time"), batch_id, path)
 
-def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write a stream to parquet once."""
     return (
-        rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        events.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 
@@ -86,25 +111,11 @@ def watch_stream(changes: DataFrame, path: str, state_path: str, checkpoint: str
 
 
 def outbox_sink(steps: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Two outbox rows per watch event, each id written once over all batches.
-
-    A watch event sent again has the same time, so a batch is compared only with the days it
-    touches itself; a batch run again overwrites its own partitions.
-    """
+    """Two outbox rows per watch event, each id written once over all batches."""
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        rows = outbox_rows(batch).dropDuplicates(["outbox_id"]).withColumn("day", F.to_date(F.timestamp_millis("ts_ms")))
-        if batch_id > 0:
-            first, last = batch.agg(*[
-                edge(F.to_date(F.timestamp_millis("ts_ms"))) for edge in (F.min, F.max)
-            ]).first()
-            earlier = batch.sparkSession.read.schema(OUTBOX_KEYS).parquet(path)
-            written = earlier.filter(F.col("day").between(first, last) & (F.col("batch") < batch_id)).select("outbox_id")
-            rows = rows.join(written, "outbox_id", "left_anti")
-        (
-            rows.withColumn("batch", F.lit(batch_id)).hint("rebalance", "day").write.mode("overwrite").partitionBy("day", "batch")
-            .option("partitionOverwriteMode", "dynamic").parquet(path)
-        )
+        rows = outbox_rows(batch).withColumn("sent", F.timestamp_millis("ts_ms"))
+        _deliver(_first_seen(rows, batch_id, path, "outbox_id", "sent").drop("sent"), batch_id, path)
 
     return (
         steps.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
@@ -112,12 +123,26 @@ def outbox_sink(steps: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def freshness_windows(readings: DataFrame, width: str = "1 hour", delay: str = "1 day") -> DataFrame:
-    """Stale and failed share per source and tumbling window; works on batch and stream alike.
-
-    Input is (event_time, source, stale, failed) rows.
-    """
-    rows = readings.withWatermark("event_time", delay) if readings.isStreaming else readings
-    return rows.groupBy(F.window("event_time", width).alias("w"), "source").agg(
+def freshness_windows(readings: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Stale and failed share per source and tumbling window of (event_time, source, stale, failed) rows."""
+    return readings.groupBy(F.window("event_time", width).alias("w"), "source").agg(
         F.count("*").alias("rows"), F.count_if("stale").alias("stale_rows"), F.count_if("failed").alias("failed_rows")
     ).select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "source", "rows", "stale_rows", "failed_rows")
+
+
+def freshness_stream(readings: DataFrame, path: str, checkpoint: str, width: str = "1 hour") -> StreamingQuery:
+    """Window counts of every micro-batch, to be added up by `read_freshness`; late rows count too."""
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        freshness_windows(batch, width).write.mode("overwrite").parquet(_batch(path, batch_id))
+
+    return (
+        readings.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def read_freshness(spark: SparkSession, path: str) -> DataFrame:
+    """Counts per window and source over all batches."""
+    counts = ["rows", "stale_rows", "failed_rows"]
+    return spark.read.parquet(path).groupBy("window_start_ms", "source").agg(*[F.sum(c).alias(c) for c in counts])
