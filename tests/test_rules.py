@@ -131,7 +131,7 @@ def test_stale_evidence_comes_before_revoked_claims(rows):
 
 def decided(rows, overall="PASS", state="RESOLVED", primary="T", allowed=(), prohibited=(), expires=None, claims=None, required=(), needed=()):
     objects = rows("object_id string, version int, primary_class string, secondary array<string>, claim_ref string", ("o", 1, primary, ["S"], "cls"))
-    assignments = rows("object_id string, version int, mandate_id string", ("o", 1, "m"))
+    assignments = rows("object_id string, version int, mandate_id string, mandate_version int", ("o", 1, "m", 1))
     terms = rows(
         "mandate_id string, version int, allowed array<string>, prohibited array<string>, expires_at long",
         ("m", 1, list(allowed), list(prohibited), expires),
@@ -175,6 +175,40 @@ def test_required_claims_and_evidence(rows):
     assert decided(rows, needed=[("m", 1, 1, "FILING", None)])[1][-1] == "MISSING_REQUIRED_EVIDENCE_FILING"
 
 
+def test_every_assignment_is_decided_under_its_own_mandate_version(rows):
+    objects = rows("object_id string, version int, primary_class string, secondary array<string>, claim_ref string", ("o", 1, "T", ["S"], "cls"))
+    pairs = [("o", 1, "m", 1), ("o", 1, "m", 2), ("o", 2, "m", 2), ("o", 1, "m", 3), ("o", 1, "none", 1), ("gone", 1, "none", 1)]
+    assignments = rows("object_id string, version int, mandate_id string, mandate_version int", *pairs)
+    terms = rows(
+        "mandate_id string, version int, allowed array<string>, prohibited array<string>, expires_at long",
+        ("m", 1, [], ["T"], None), ("m", 2, [], [], None),
+    )
+    cases = mandates.policy_cases(
+        objects, assignments, terms, rows("object_id string, version int, status string", ("o", 1, "RESOLVED")),
+        rows("object_id string, version int, overall_status string", ("o", 1, "PASS")),
+    )
+    must = rows("mandate_id string, version int, ord int, property string, required_state string", ("m", 1, 1, "nav", "VERIFIED"), ("m", 2, 1, "nav", "SOURCED"))
+    have = rows("mandate_id string, version int, ord int, type string, max_age_ms long", ("x", 1, 1, "x", 1))
+    checks = mandates.policy_checks(cases, assignments, must, have, rows(CLAIM, claim("c1")), rows(EVIDENCE, piece("e1")), NOW)
+    got = {tuple(r[k] for k in mandates.KEYS): r for r in mandates.decision_receipts(checks, NOW).collect()}
+    assert set(got) == set(pairs)
+    assert {k: got[k]["decision"] for k in pairs} == {p: "ALLOW" if p == ("o", 1, "m", 2) else "BLOCK" for p in pairs}
+    assert "PROHIBITED_ASSET_CLASS" in got["o", 1, "m", 1]["reason_codes"] and "OBJECT_NOT_FOUND" in got["o", 2, "m", 2]["reason_codes"]
+    assert got["gone", 1, "none", 1]["reason_codes"] == ["MANDATE_NOT_FOUND", "VERIFICATION_NOT_FOUND", "OBJECT_NOT_FOUND"]
+    assert len({r["decision_id"] for r in got.values()}) == len(pairs)
+
+    def bare(status, overall):
+        judged = mandates.policy_cases(
+            objects, assignments.filter("version = 1 AND mandate_version = 2"), terms,
+            rows("object_id string, version int, status string", (status, 1, "RESOLVED")),
+            rows("object_id string, version int, overall_status string", (overall, 1, "PASS")),
+        )
+        policy = mandates.policy_checks(judged, assignments.limit(0), must, have, rows(CLAIM, claim("c1")), rows(EVIDENCE, piece("e1")), NOW)
+        return mandates.decisions(policy).first()["decision"]
+
+    assert (bare("o", "o"), bare("x", "o"), bare("o", "x")) == ("ALLOW", "BLOCK", "BLOCK")
+
+
 SNAPSHOTS = "snapshot_id string, source_id string, content_hash string"
 
 

@@ -1,8 +1,9 @@
 """Policy evaluation of objects under mandates.
 
-Which object is judged under which mandate is an input table (`assignments`), so the work is
-one row per assignment and every join is an equi-join; mandates may be as many as their
-principals.
+Which object version is judged under which mandate version is an input table (`assignments`), so
+the work is one row per assignment and every join is an equi-join; mandates may be as many as their
+principals. All stages keep every assignment: an object, status, receipt or mandate that does not
+exist is a failed check of its own, never a missing row.
 """
 
 from __future__ import annotations
@@ -14,25 +15,27 @@ from ..fixed import POLICY_VERSION
 from ..functions.expr import by_rank, fan_out, true
 
 DECISIONS = ["ALLOW", "CONDITIONAL", "BLOCK"]
-KEYS = ["object_id", "version", "mandate_id"]
+KEYS = ["object_id", "version", "mandate_id", "mandate_version"]
+OBJECT, MANDATE = ["object_id", "version"], ["mandate_id", "mandate_version"]
 
 
 def object_x_mandate(objects: DataFrame, assignments: DataFrame, mandates: DataFrame) -> DataFrame:
-    """Each assigned object with the terms of its mandate."""
-    terms = mandates.withColumnRenamed("version", "mandate_version")
-    return assignments.join(objects, ["object_id", "version"]).join(terms, "mandate_id")
+    """Each assignment with its object and the terms of its mandate, and whether either exists."""
+    terms = mandates.withColumnRenamed("version", "mandate_version").withColumn("mandate_exists", F.lit(True))
+    held = objects.withColumn("object_exists", F.lit(True))
+    return assignments.join(held, OBJECT, "left").join(terms, MANDATE, "left").withColumns({
+        "object_exists": true(F.col("object_exists")), "mandate_exists": true(F.col("mandate_exists")),
+    })
 
 
 def policy_cases(
     objects: DataFrame, assignments: DataFrame, mandates: DataFrame, statuses: DataFrame, receipts: DataFrame
 ) -> DataFrame:
     """Assigned objects with mandate terms, object status and verification result."""
-    status = statuses.select("object_id", "version", "status")
-    receipt = receipts.select("object_id", "version", "overall_status")
-    judged = objects.select("object_id", "version", "primary_class", "secondary", "claim_ref").join(
-        status, ["object_id", "version"]
-    ).join(receipt, ["object_id", "version"])
-    return object_x_mandate(judged, assignments, mandates)
+    status = statuses.select(*OBJECT, "status")
+    receipt = receipts.select(*OBJECT, "overall_status")
+    judged = objects.select(*OBJECT, "primary_class", "secondary", "claim_ref")
+    return object_x_mandate(judged, assignments, mandates).join(status, OBJECT, "left").join(receipt, OBJECT, "left")
 
 
 def _row(stage: int, rule: Column | str, result: Column | str, code: Column | str,
@@ -51,7 +54,7 @@ def _row(stage: int, rule: Column | str, result: Column | str, code: Column | st
 def _validity(now_ms: int) -> Column:
     rule = "rule:mandate:validity"
     expired = true(F.lit(now_ms) > F.col("expires_at"))
-    return F.when(expired, _row(1, rule, "FAIL", "MANDATE_EXPIRED")).otherwise(
+    return F.when(~F.col("mandate_exists"), _row(1, rule, "FAIL", "MANDATE_NOT_FOUND")).when(expired, _row(1, rule, "FAIL", "MANDATE_EXPIRED")).otherwise(
         _row(1, rule, "PASS", "MANDATE_ACTIVE")
     )
 
@@ -59,7 +62,8 @@ def _validity(now_ms: int) -> Column:
 def _verification() -> Column:
     rule, status = "rule:verification:status", F.col("overall_status")
     return (
-        F.when(status == "FAIL", _row(2, rule, "FAIL", "VERIFICATION_FAILED"))
+        F.when(status.isNull(), _row(2, rule, "FAIL", "VERIFICATION_NOT_FOUND"))
+        .when(status == "FAIL", _row(2, rule, "FAIL", "VERIFICATION_FAILED"))
         .when(status == "UNRESOLVED", _row(2, rule, "UNRESOLVED", "VERIFICATION_UNRESOLVED"))
         .otherwise(_row(2, rule, "PASS", "VERIFICATION_PASSED"))
     )
@@ -69,7 +73,9 @@ def _object_state() -> Column:
     rule, status = "rule:object:state", F.col("status")
     bad = status.isin("REVOKED", "CONFLICTING", "INSUFFICIENT_EVIDENCE", "STALE")
     return (
-        F.when(bad, _row(3, rule, "FAIL", F.concat(F.lit("OBJECT_STATUS_"), status)))
+        F.when(~F.col("object_exists"), _row(3, rule, "FAIL", "OBJECT_NOT_FOUND"))
+        .when(status.isNull(), _row(3, rule, "FAIL", "OBJECT_STATUS_NOT_FOUND"))
+        .when(bad, _row(3, rule, "FAIL", F.concat(F.lit("OBJECT_STATUS_"), status)))
         .when(status == "PARTIALLY_RESOLVED", _row(3, rule, "UNRESOLVED", "OBJECT_PARTIALLY_RESOLVED"))
         .otherwise(_row(3, rule, "PASS", "OBJECT_RESOLVED"))
     )
@@ -78,8 +84,11 @@ def _object_state() -> Column:
 def _prohibited() -> Column:
     rule, claim = "rule:asset-class:prohibited", F.col("claim_ref")
     hit = true(F.array_contains("prohibited", F.col("primary_class")))
-    return F.when(hit, _row(4, rule, "FAIL", "PROHIBITED_ASSET_CLASS", claim)).otherwise(
-        _row(4, rule, "PASS", "NOT_PROHIBITED", claim)
+    return F.when(
+        F.col("object_exists") & F.col("mandate_exists"),
+        F.when(hit, _row(4, rule, "FAIL", "PROHIBITED_ASSET_CLASS", claim)).otherwise(
+            _row(4, rule, "PASS", "NOT_PROHIBITED", claim)
+        ),
     )
 
 
@@ -88,7 +97,7 @@ def _allowed() -> Column:
     classes = F.array_append(F.col("secondary"), F.col("primary_class"))
     fits = true(F.arrays_overlap("allowed", classes))
     return F.when(
-        F.size("allowed") > 0,
+        F.col("object_exists") & F.col("mandate_exists") & (F.size("allowed") > 0),
         F.when(fits, _row(5, rule, "PASS", "ASSET_CLASS_ALLOWED", claim, True)).otherwise(
             _row(5, rule, "FAIL", "ASSET_CLASS_NOT_ALLOWED", claim)
         ),
@@ -100,7 +109,7 @@ def _unfold(cases: DataFrame, *rows: Column) -> DataFrame:
 
 
 def policy_mandate_validity(cases: DataFrame, now_ms: int) -> DataFrame:
-    """A mandate past its expiry fails; an expiry of 0 is a time like any other."""
+    """A mandate that does not exist or is past its expiry fails; an expiry of 0 is a time like any other."""
     return _unfold(cases, _validity(now_ms))
 
 
@@ -110,12 +119,12 @@ def policy_verification(cases: DataFrame) -> DataFrame:
 
 
 def policy_object_state(cases: DataFrame) -> DataFrame:
-    """Bad states fail, a partly resolved object stays open, anything else passes."""
+    """Absent objects and bad states fail, a partly resolved object stays open, anything else passes."""
     return _unfold(cases, _object_state())
 
 
 def policy_prohibited(cases: DataFrame) -> DataFrame:
-    """The primary class must not be prohibited."""
+    """The primary class must not be prohibited; nothing is said where object or mandate are absent."""
     return _unfold(cases, _prohibited())
 
 
@@ -132,7 +141,7 @@ def first_claims(claims: DataFrame) -> DataFrame:
 
 def required_claim_match(assignments: DataFrame, required: DataFrame, claims: DataFrame) -> DataFrame:
     """Each required property of an assignment with the claim that answers it, if any."""
-    wanted = assignments.join(required.drop("version"), "mandate_id")
+    wanted = assignments.join(required.withColumnRenamed("version", "mandate_version"), MANDATE)
     return wanted.join(first_claims(claims), ["object_id", "property"], "left")
 
 
@@ -159,7 +168,7 @@ def policy_required_claims(assignments: DataFrame, required: DataFrame, claims:
 
 def required_evidence_match(assignments: DataFrame, required: DataFrame, evidence: DataFrame) -> DataFrame:
     """Each required type with how many pieces answer it and the oldest one's time."""
-    wanted = assignments.join(required.drop("version"), "mandate_id")
+    wanted = assignments.join(required.withColumnRenamed("version", "mandate_version"), MANDATE)
     held = evidence.groupBy("object_id", "type").agg(
         F.count("*").alias("pieces"), F.min("observed_at").alias("oldest")
     )
@@ -226,7 +235,9 @@ def decision_receipts(checks: DataFrame, now_ms: int) -> DataFrame:
     )
     version = F.col("version").cast("string")
     return grouped.select(
-        F.concat(F.lit("decision:"), "mandate_id", F.lit(":"), "object_id", F.lit(":v"), version).alias("decision_id"),
+        F.concat(
+            F.lit("decision:"), "mandate_id", F.lit(":v"), F.col("mandate_version").cast("string"), F.lit(":"), "object_id", F.lit(":v"), version
+        ).alias("decision_id"),
         *KEYS, "decision",
         F.array_distinct(F.col("places.reason_code")).alias("reason_codes"),
         F.array_distinct(F.col("supported.claim_id")).alias("supporting_claims"),

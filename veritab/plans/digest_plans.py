@@ -182,10 +182,10 @@ def object_headers(t):
 SELECT o.object_id, o.version, o.primary_class, array_to_string(o.secondary, ',') AS secondary, s.status,
        'verification:' || o.object_id || ':v' || o.version AS receipt_id, '{X.VERIFIER_VERSION}' AS verifier_version, v.overall_status,
        v.passed, v.failed, v.unresolved, x.evidence_root, x.object_root, d.mandate_id,
-       'decision:' || d.mandate_id || ':' || d.object_id || ':v' || d.version AS decision_id, d.decision, r.reason_codes
+       'decision:' || d.mandate_id || ':v' || d.mandate_version || ':' || d.object_id || ':v' || d.version AS decision_id, d.decision, r.reason_codes
 FROM b_objects o JOIN object_states s ON o.object_id = s.object_id JOIN statuses v ON o.object_id = v.object_id
-JOIN object_roots x ON o.object_id = x.object_id JOIN decided d ON o.object_id = d.object_id
-JOIN reasons r ON d.object_id = r.object_id AND d.mandate_id = r.mandate_id""")
+JOIN object_roots x ON o.object_id = x.object_id LEFT JOIN decided d ON o.object_id = d.object_id AND o.version = d.version
+LEFT JOIN reasons r ON d.object_id = r.object_id AND d.version = r.version AND d.mandate_id = r.mandate_id AND d.mandate_version = r.mandate_version""")
 def inspector_rows(t):
     held = receipts(t)
     rows = lineage.inspector_rows(

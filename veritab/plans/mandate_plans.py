@@ -10,37 +10,38 @@ from .status_plans import STATUS
 from .verify_plans import CHECKS, all_checks
 
 CASES = f"""{CHECKS}, {STATUS},
-cases AS (SELECT a.object_id, a.version, a.mandate_id, o.primary_class, o.secondary, o.claim_ref, s.status,
+cases AS (SELECT a.object_id, a.version, a.mandate_id, a.mandate_version, o.primary_class, o.secondary, o.claim_ref,
+                 o.object_id IS NOT NULL AS object_exists, m.mandate_id IS NOT NULL AS mandate_exists, s.status,
                  v.overall_status, m.allowed, m.prohibited, m.expires_at
           FROM b_assignments a
-          JOIN b_objects o ON a.object_id = o.object_id AND a.version = o.version
-          JOIN object_states s ON a.object_id = s.object_id
-          JOIN statuses v ON a.object_id = v.object_id
-          JOIN b_mandates m ON a.mandate_id = m.mandate_id)"""
-P = "SELECT object_id, version, mandate_id"
+          LEFT JOIN b_objects o ON a.object_id = o.object_id AND a.version = o.version
+          LEFT JOIN object_states s ON o.object_id = s.object_id
+          LEFT JOIN statuses v ON o.object_id = v.object_id
+          LEFT JOIN b_mandates m ON a.mandate_id = m.mandate_id AND a.mandate_version = m.version)"""
+P = "SELECT object_id, version, mandate_id, mandate_version"
 P1 = f"""{P}, 1 AS stage, 0 AS ord, 'rule:mandate:validity' AS rule_id,
-  CASE WHEN expires_at < {NOW_MS} THEN 'FAIL' ELSE 'PASS' END AS result,
-  CASE WHEN expires_at < {NOW_MS} THEN 'MANDATE_EXPIRED' ELSE 'MANDATE_ACTIVE' END AS reason_code,
+  CASE WHEN NOT mandate_exists OR expires_at < {NOW_MS} THEN 'FAIL' ELSE 'PASS' END AS result,
+  CASE WHEN NOT mandate_exists THEN 'MANDATE_NOT_FOUND' WHEN expires_at < {NOW_MS} THEN 'MANDATE_EXPIRED' ELSE 'MANDATE_ACTIVE' END AS reason_code,
   CAST(NULL AS VARCHAR) AS claim_id, false AS supports FROM cases"""
-P2 = f"""{P}, 2 AS stage, 0 AS ord, 'rule:verification:status' AS rule_id, overall_status AS result,
-  CASE overall_status WHEN 'FAIL' THEN 'VERIFICATION_FAILED' WHEN 'UNRESOLVED' THEN 'VERIFICATION_UNRESOLVED'
+P2 = f"""{P}, 2 AS stage, 0 AS ord, 'rule:verification:status' AS rule_id, coalesce(overall_status, 'FAIL') AS result,
+  CASE coalesce(overall_status, '') WHEN '' THEN 'VERIFICATION_NOT_FOUND' WHEN 'FAIL' THEN 'VERIFICATION_FAILED' WHEN 'UNRESOLVED' THEN 'VERIFICATION_UNRESOLVED'
        ELSE 'VERIFICATION_PASSED' END AS reason_code, CAST(NULL AS VARCHAR) AS claim_id, false AS supports FROM cases"""
 P3 = f"""{P}, 3 AS stage, 0 AS ord, 'rule:object:state' AS rule_id,
   CASE status WHEN 'PARTIALLY_RESOLVED' THEN 'UNRESOLVED' WHEN 'RESOLVED' THEN 'PASS' ELSE 'FAIL' END AS result,
   CASE status WHEN 'PARTIALLY_RESOLVED' THEN 'OBJECT_PARTIALLY_RESOLVED' WHEN 'RESOLVED' THEN 'OBJECT_RESOLVED'
-       ELSE 'OBJECT_STATUS_' || status END AS reason_code, CAST(NULL AS VARCHAR) AS claim_id, false AS supports FROM cases"""
+       ELSE CASE WHEN object_exists THEN coalesce('OBJECT_STATUS_' || status, 'OBJECT_STATUS_NOT_FOUND') ELSE 'OBJECT_NOT_FOUND' END END AS reason_code, CAST(NULL AS VARCHAR) AS claim_id, false AS supports FROM cases"""
 P4 = f"""{P}, 4 AS stage, 0 AS ord, 'rule:asset-class:prohibited' AS rule_id,
   CASE WHEN list_contains(prohibited, primary_class) THEN 'FAIL' ELSE 'PASS' END AS result,
   CASE WHEN list_contains(prohibited, primary_class) THEN 'PROHIBITED_ASSET_CLASS' ELSE 'NOT_PROHIBITED' END AS reason_code,
-  claim_ref AS claim_id, false AS supports FROM cases"""
+  claim_ref AS claim_id, false AS supports FROM cases WHERE object_exists AND mandate_exists"""
 P5 = f"""{P}, 5 AS stage, 0 AS ord, 'rule:asset-class:allowed' AS rule_id,
   CASE WHEN fits THEN 'PASS' ELSE 'FAIL' END AS result,
   CASE WHEN fits THEN 'ASSET_CLASS_ALLOWED' ELSE 'ASSET_CLASS_NOT_ALLOWED' END AS reason_code,
   claim_ref AS claim_id, fits AS supports
   FROM (SELECT *, list_contains(allowed, primary_class) OR list_has_any(allowed, secondary) AS fits
-        FROM cases WHERE len(allowed) > 0) f"""
-CLAIM_MATCH = """SELECT a.object_id, a.version, a.mandate_id, r.ord, r.property, r.required_state, c.claim_id, c.state
-  FROM b_assignments a JOIN b_required_claims r ON a.mandate_id = r.mandate_id
+        FROM cases WHERE object_exists AND mandate_exists AND len(allowed) > 0) f"""
+CLAIM_MATCH = """SELECT a.object_id, a.version, a.mandate_id, a.mandate_version, r.ord, r.property, r.required_state, c.claim_id, c.state
+  FROM b_assignments a JOIN b_required_claims r ON a.mandate_id = r.mandate_id AND a.mandate_version = r.version
   LEFT JOIN (SELECT * FROM b_claims QUALIFY row_number() OVER (PARTITION BY object_id, property ORDER BY claim_id) = 1) c
     ON a.object_id = c.object_id AND r.property = c.property"""
 P6 = f"""{P}, 6 AS stage, ord, 'rule:required-claim:' || property AS rule_id,
@@ -54,14 +55,14 @@ P7 = f"""{P}, 7 AS stage, ord, 'rule:required-evidence:' || type AS rule_id,
   CASE WHEN NOT held OR NOT young THEN 'FAIL' ELSE 'PASS' END AS result,
   CASE WHEN NOT held THEN 'MISSING_REQUIRED_EVIDENCE_' || type WHEN NOT young THEN 'EVIDENCE_AGE_EXCEEDED_' || type
        ELSE 'REQUIRED_EVIDENCE_' || type || '_SATISFIED' END AS reason_code, CAST(NULL AS VARCHAR) AS claim_id, false AS supports
-  FROM (SELECT a.object_id, a.version, a.mandate_id, r.ord, r.type, count(e.evidence_id) > 0 AS held,
+  FROM (SELECT a.object_id, a.version, a.mandate_id, a.mandate_version, r.ord, r.type, count(e.evidence_id) > 0 AS held,
                bool_and(coalesce({NOW_MS} - e.observed_at <= r.max_age_ms, true)) AS young
-        FROM b_assignments a JOIN b_required_evidence r ON a.mandate_id = r.mandate_id
+        FROM b_assignments a JOIN b_required_evidence r ON a.mandate_id = r.mandate_id AND a.mandate_version = r.version
         LEFT JOIN b_evidence e ON a.object_id = e.object_id AND r.type = e.type
         GROUP BY ALL) em"""
 POLICY = f"""{CASES},
 policy AS ({P1} UNION ALL {P2} UNION ALL {P3} UNION ALL {P4} UNION ALL {P5} UNION ALL {P6} UNION ALL {P7}),
-decided AS (SELECT object_id, version, mandate_id,
+decided AS (SELECT object_id, version, mandate_id, mandate_version,
                    CASE WHEN bool_or(result = 'FAIL') THEN 'BLOCK' WHEN bool_or(result = 'UNRESOLVED') THEN 'CONDITIONAL'
                         ELSE 'ALLOW' END AS decision
             FROM policy GROUP BY ALL)"""
@@ -81,12 +82,13 @@ def policy(t, receipts=None):
 
 
 @query("c9_object_x_mandate", """
-SELECT a.object_id, a.version, a.mandate_id, o.primary_class, m.principal, m.objective, m.expires_at
-FROM b_assignments a JOIN b_objects o ON a.object_id = o.object_id AND a.version = o.version
-JOIN b_mandates m ON a.mandate_id = m.mandate_id""")
+SELECT a.object_id, a.version, a.mandate_id, a.mandate_version, o.object_id IS NOT NULL AS object_exists,
+       m.mandate_id IS NOT NULL AS mandate_exists, o.primary_class, m.principal, m.objective, m.expires_at
+FROM b_assignments a LEFT JOIN b_objects o ON a.object_id = o.object_id AND a.version = o.version
+LEFT JOIN b_mandates m ON a.mandate_id = m.mandate_id AND a.mandate_version = m.version""")
 def object_x_mandate(t):
     return m.object_x_mandate(t.objects, t.assignments, t.mandates).select(
-        "object_id", "version", "mandate_id", "primary_class", "principal", "objective", "expires_at"
+        *m.KEYS, "object_exists", "mandate_exists", "primary_class", "principal", "objective", "expires_at"
     )
 
 
@@ -96,9 +98,9 @@ def required_claim_match(t):
 
 
 @query("c11_required_evidence_match", """
-SELECT a.object_id, a.version, a.mandate_id, r.ord, r.type, r.max_age_ms, count(e.evidence_id) AS pieces,
+SELECT a.object_id, a.version, a.mandate_id, a.mandate_version, r.ord, r.type, r.max_age_ms, count(e.evidence_id) AS pieces,
        min(e.observed_at) AS oldest
-FROM b_assignments a JOIN b_required_evidence r ON a.mandate_id = r.mandate_id
+FROM b_assignments a JOIN b_required_evidence r ON a.mandate_id = r.mandate_id AND a.mandate_version = r.version
 LEFT JOIN b_evidence e ON a.object_id = e.object_id AND r.type = e.type GROUP BY ALL""")
 def required_evidence_match(t):
     return m.required_evidence_match(t.assignments, t.required_evidence, t.evidence)
@@ -145,21 +147,21 @@ def decisions(t):
 
 
 REASONS = """
-SELECT object_id, version, mandate_id, string_agg(reason_code, ',' ORDER BY stage, ord, rule_id) AS reason_codes
-FROM (SELECT object_id, version, mandate_id, reason_code, min(stage) AS stage, min(ord) AS ord, min(rule_id) AS rule_id
-      FROM policy GROUP BY object_id, version, mandate_id, reason_code) u GROUP BY ALL"""
+SELECT object_id, version, mandate_id, mandate_version, string_agg(reason_code, ',' ORDER BY stage, ord, rule_id) AS reason_codes
+FROM (SELECT object_id, version, mandate_id, mandate_version, reason_code, min(stage) AS stage, min(ord) AS ord, min(rule_id) AS rule_id
+      FROM policy GROUP BY object_id, version, mandate_id, mandate_version, reason_code) u GROUP BY ALL"""
 SUPPORT = """
-SELECT object_id, version, mandate_id, string_agg(claim_id, ',' ORDER BY stage, ord, rule_id) AS supporting_claims
+SELECT object_id, version, mandate_id, mandate_version, string_agg(claim_id, ',' ORDER BY stage, ord, rule_id) AS supporting_claims
 FROM policy WHERE supports GROUP BY ALL"""
 
 
 @query("d8_decision_receipts", f"""WITH {POLICY}
-SELECT 'decision:' || d.mandate_id || ':' || d.object_id || ':v' || d.version AS decision_id, d.object_id, d.version,
-       d.mandate_id, d.decision, r.reason_codes, coalesce(s.supporting_claims, '') AS supporting_claims,
+SELECT 'decision:' || d.mandate_id || ':v' || d.mandate_version || ':' || d.object_id || ':v' || d.version AS decision_id, d.object_id,
+       d.version, d.mandate_id, d.mandate_version, d.decision, r.reason_codes, coalesce(s.supporting_claims, '') AS supporting_claims,
        'verification:' || d.object_id || ':v' || d.version AS verification_ref,
        '{POLICY_VERSION}' AS policy_version, {NOW_MS} AS created_at
-FROM decided d JOIN ({REASONS}) r USING (object_id, version, mandate_id)
-LEFT JOIN ({SUPPORT}) s USING (object_id, version, mandate_id)""")
+FROM decided d JOIN ({REASONS}) r USING (object_id, version, mandate_id, mandate_version)
+LEFT JOIN ({SUPPORT}) s USING (object_id, version, mandate_id, mandate_version)""")
 def decision_receipts(t, receipts=None):
     decided = m.decision_receipts(policy(t, receipts), NOW_MS)
     return decided.withColumn("reason_codes", F.array_join("reason_codes", ",")).withColumn(
@@ -169,4 +171,4 @@ def decision_receipts(t, receipts=None):
 
 @query("u1_distinct_reason_codes", f"WITH {POLICY} {REASONS}")
 def distinct_reason_codes(t):
-    return decision_receipts(t).select("object_id", "version", "mandate_id", "reason_codes")
+    return decision_receipts(t).select(*m.KEYS, "reason_codes")

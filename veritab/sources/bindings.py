@@ -279,53 +279,64 @@ def exceptions(d) -> str:
     FROM {d.raw('lineitem')} WHERE l_tax > 0.075 AND l_discount > 0.085"""
 
 
+def _mandate_versions(d) -> str:
+    """Customers once per version of their mandate: every fourth has two, and every eleventh none."""
+    held = f"FROM {d.raw('customer')} WHERE c_custkey % 11 <> 3"
+    return f"(SELECT *, 1 AS version {held} UNION ALL SELECT *, 2 AS version {held} AND c_custkey % 4 = 0) m"
+
+
 def mandates(d) -> str:
+    """The second version of a mandate lasts longer and forbids another class than the first."""
     return f"""
-    SELECT 'mandate:' || CAST(c_custkey AS STRING) AS mandate_id, 1 AS version,
+    SELECT 'mandate:' || CAST(c_custkey AS STRING) AS mandate_id, version,
            c_name AS principal, 'hold ' || c_mktsegment AS objective,
            CASE c_mktsegment WHEN 'BUILDING' THEN {d.arr("'1-URGENT'", "'2-HIGH'", "'F'")}
                 WHEN 'MACHINERY' THEN {d.arr("'3-MEDIUM'", "'O'", "'P'")} ELSE {d.empty()} END AS allowed,
-           CASE WHEN c_nationkey % 5 = 0 THEN {d.arr("'5-LOW'")}
+           CASE WHEN version = 2 THEN {d.arr("'2-HIGH'")} WHEN c_nationkey % 5 = 0 THEN {d.arr("'5-LOW'")}
                 WHEN c_nationkey % 5 = 1 THEN {d.arr("'4-NOT SPECIFIED'", "'5-LOW'")}
                 ELSE {d.empty()} END AS prohibited,
            {d.arr("'N' || CAST(c_nationkey AS STRING)")} AS jurisdictions,
-           CASE WHEN c_nationkey % 9 = 0 THEN {NOW_MS} - 1 WHEN c_nationkey % 9 = 1 THEN {NOW_MS}
+           CASE WHEN version = 2 THEN NULL WHEN c_nationkey % 9 = 0 THEN {NOW_MS} - 1 WHEN c_nationkey % 9 = 1 THEN {NOW_MS}
                 ELSE NULL END AS expires_at,
            CAST(c_nationkey * 10 AS DOUBLE) AS min_yield_bps,
            CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE CAST(2000 AS BIGINT) * 86400000 END AS max_evidence_age_ms,
            CASE WHEN c_nationkey % 6 < 4 THEN NULL ELSE c_nationkey END AS max_redemption_days
-    FROM {d.raw('customer')}"""
+    FROM {_mandate_versions(d)}"""
 
 
 def required_claims(d) -> str:
     return f"""
-    SELECT 'mandate:' || CAST(c_custkey AS STRING) AS mandate_id, 1 AS version, 1 AS ord,
+    SELECT 'mandate:' || CAST(c_custkey AS STRING) AS mandate_id, version, 1 AS ord,
            'nav' AS property, CASE WHEN c_nationkey % 2 = 0 THEN 'SOURCED' ELSE 'VERIFIED' END AS required_state
-    FROM {d.raw('customer')} WHERE c_mktsegment <> 'HOUSEHOLD'
+    FROM {_mandate_versions(d)} WHERE c_mktsegment <> 'HOUSEHOLD'
     UNION ALL
-    SELECT 'mandate:' || CAST(c_custkey AS STRING), 1, 2, 'yieldBps', 'SOURCED'
-    FROM {d.raw('customer')} WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE')
+    SELECT 'mandate:' || CAST(c_custkey AS STRING), version, 2, 'yieldBps', 'SOURCED'
+    FROM {_mandate_versions(d)} WHERE version = 1 AND c_mktsegment IN ('BUILDING', 'AUTOMOBILE')
     UNION ALL
-    SELECT 'mandate:' || CAST(c_custkey AS STRING), 1, 3, 'issuer', 'ATTESTED'
-    FROM {d.raw('customer')} WHERE c_mktsegment = 'FURNITURE' AND c_acctbal > 8000"""
+    SELECT 'mandate:' || CAST(c_custkey AS STRING), version, 3, 'issuer', 'ATTESTED'
+    FROM {_mandate_versions(d)} WHERE c_mktsegment = 'FURNITURE' AND c_acctbal > 8000"""
 
 
 def required_evidence(d) -> str:
     return f"""
-    SELECT 'mandate:' || CAST(c_custkey AS STRING) AS mandate_id, 1 AS version, 1 AS ord,
+    SELECT 'mandate:' || CAST(c_custkey AS STRING) AS mandate_id, version, 1 AS ord,
            'OTHER' AS type, CASE WHEN c_nationkey % 3 = 0 THEN NULL
                                  ELSE CAST(1500 AS BIGINT) * 86400000 END AS max_age_ms
-    FROM {d.raw('customer')}
+    FROM {_mandate_versions(d)}
     UNION ALL
-    SELECT 'mandate:' || CAST(c_custkey AS STRING), 1, 2, 'DOCUMENT', CAST(2000 AS BIGINT) * 86400000
-    FROM {d.raw('customer')} WHERE c_acctbal > 5000"""
+    SELECT 'mandate:' || CAST(c_custkey AS STRING), version, 2, 'DOCUMENT', CAST(2000 AS BIGINT) * 86400000
+    FROM {_mandate_versions(d)} WHERE c_acctbal > 5000"""
 
 
 def assignments(d) -> str:
-    """Which object is judged under which mandate: the order's customer."""
+    """Which object version is judged under which mandate version: the order's customer.
+
+    Some name a version of the object that does not exist, some a mandate that does not.
+    """
     return f"""
-    SELECT 'object:' || CAST(o_orderkey AS STRING) AS object_id, 1 AS version,
-           'mandate:' || CAST(o_custkey AS STRING) AS mandate_id
+    SELECT 'object:' || CAST(o_orderkey AS STRING) AS object_id, CASE WHEN o_orderkey % 37 = 5 THEN 2 ELSE 1 END AS version,
+           'mandate:' || CAST(o_custkey AS STRING) AS mandate_id,
+           CASE WHEN o_custkey % 4 = 0 AND o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS mandate_version
     FROM {d.raw('orders')}"""
 
 
