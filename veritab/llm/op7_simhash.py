@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import pin
+from ..session import pin, scratch_path
 from .components import components
 from .registry import query, table
 
@@ -40,6 +40,7 @@ SHINGLE, DISTANCE, SEED = 3, 2, 42
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 WIDE_SEGMENTS = 6
 BUCKET = 32
+REPRESENTATIVES = 8
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -116,8 +117,8 @@ def variants(prints: DataFrame, columns: list[str], count: int) -> DataFrame:
     return rows.select(*columns, (F.shiftleft(slot.cast("long"), 33) + moved).alias("key"))
 
 
-def distance(columns: list[str], left: str, right: str) -> Column:
-    return sum((F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))) for c in columns), start=F.lit(0))
+def bits_apart(columns: list[str], left: Column, right: Column) -> Column:
+    return sum((F.bit_count(left[c].bitwiseXOR(right[c])) for c in columns), start=F.lit(0))
 
 
 def crowded(rows: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def crowded(rows: DataFrame) -> DataFrame:
 def bucket_links(members: DataFrame, columns: list[str], limit: int) -> DataFrame:
     """(left, right) pairs of fingerprints within `limit` bits that share a variant."""
     side = lambda name: members.select("key", F.struct(*columns).alias(name))
-    near = (F.col("l") < F.col("r")) & (distance(columns, "l", "r") <= limit)
+    near = (F.col("l") < F.col("r")) & (bits_apart(columns, F.col("l"), F.col("r")) <= limit)
     return side("l").join(side("r").withColumnRenamed("key", "other"), (F.col("key") == F.col("other")) & near).select("l", "r")
 
 
@@ -178,26 +179,26 @@ def alike_bits(similarity: float, bits: int) -> int:
 def wide_links(nodes: DataFrame, limit: int) -> DataFrame:
     """Links between distinct 128-bit fingerprints that share a variant and differ in at most `limit` bits.
 
-    In a bucket of more than BUCKET members all are compared with the smallest one; those close to
-    it are linked to it, the others form the bucket of the next round.
+    In a bucket of more than BUCKET members all are compared with REPRESENTATIVES of them; a member
+    is linked to those that are close to it, and members close to none form the bucket of the next
+    round. The links of every round go to the shared folder.
     """
-    columns = ["hi", "lo"]
+    spark, columns = nodes.sparkSession, ["hi", "lo"]
+    path = scratch_path(spark, "links")
     members = pin(crowded(variants(nodes, columns, WIDE_SEGMENTS)))
-    found = [bucket_links(members.filter(F.col("n") <= BUCKET), columns, limit)]
-    rest = members.filter(F.col("n") > BUCKET)
-    while not rest.isEmpty():
-        packed = rest.select("key", F.struct(*columns).alias("r"))
-        heads = packed.groupBy("key").agg(F.min("r").alias("l"))
-        compared = pin(packed.join(heads, "key").withColumn("far", distance(columns, "l", "r")).filter("l <> r"))
-        found.append(compared.filter(F.col("far") <= limit).select("l", "r").distinct())
-        members = crowded(compared.filter(F.col("far") > limit).select("key", "r.*"))
-        members = pin(members)
-        found.append(bucket_links(members.filter(F.col("n") <= BUCKET), columns, limit))
-        rest = members.filter(F.col("n") > BUCKET)
-    links = found[0]
-    for more in found[1:]:
-        links = links.union(more)
-    return links.distinct()
+    bucket_links(members.filter(F.col("n") <= BUCKET), columns, limit).distinct().write.parquet(path)
+    while not members.filter(F.col("n") > BUCKET).isEmpty():
+        rest = members.filter(F.col("n") > BUCKET).select("key", F.struct(*columns).alias("r"))
+        picks = [F.min_by("r", F.xxhash64(F.lit(k), "r.hi", "r.lo")).alias(f"p{k}") for k in range(REPRESENTATIVES)]
+        heads = rest.groupBy("key").agg(*picks)
+        close = lambda p: (bits_apart(columns, p, F.col("r")) <= limit)
+        near = F.filter(F.array_distinct(F.array(*[f"p{k}" for k in range(REPRESENTATIVES)])), close)
+        compared = pin(rest.join(heads, "key").select("key", "r", near.alias("near")))
+        linked = compared.select("r", F.explode("near").alias("l")).filter("l <> r").select("l", "r").distinct()
+        linked.write.mode("append").parquet(path)
+        members = pin(crowded(compared.filter(F.size("near") == 0).select("key", "r.*")))
+        bucket_links(members.filter(F.col("n") <= BUCKET), columns, limit).distinct().write.mode("append").parquet(path)
+    return spark.read.parquet(path).distinct()
 
 
 def drop_near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
