@@ -49,16 +49,14 @@ def resolve_snapshot_strict(evidence: DataFrame, snapshots: DataFrame) -> DataFr
 
 
 def resolve_snapshot_loose(evidence: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Evidence with a snapshot found by id, else the first one of that source id."""
-    by_id = snapshots.select(F.col("snapshot_id").alias("source"), F.col("snapshot_id").alias("by_id"))
-    by_source = snapshots.groupBy(F.col("source_id").alias("source")).agg(
-        F.min("snapshot_id").alias("by_source")
-    )
-    return (
-        evidence.join(by_id, "source", "left").join(by_source, "source", "left")
-        .withColumn("snapshot_id", F.coalesce("by_id", "by_source"))
-        .drop("by_id", "by_source")
-    )
+    """Evidence with a snapshot found by id, else the first one of that source id.
+
+    Both lookups are one unique table, so a source that much evidence names is split by one join.
+    """
+    by_id = snapshots.select(F.col("snapshot_id").alias("source"), F.struct(F.lit(0).alias("rank"), "snapshot_id").alias("found"))
+    by_source = snapshots.select(F.col("source_id").alias("source"), F.struct(F.lit(1).alias("rank"), "snapshot_id").alias("found"))
+    lookup = by_id.unionByName(by_source).groupBy("source").agg(F.min("found").alias("found"))
+    return evidence.join(lookup, "source", "left").withColumn("snapshot_id", F.col("found.snapshot_id")).drop("found")
 
 
 def orphan_sources(evidence: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -75,6 +75,12 @@ def cases(t, receipts=None):
     return m.policy_cases(t.objects, t.assignments, t.mandates, statuses, receipts)
 
 
+def terms(t):
+    """Assigned objects with mandate terms, for rules that need neither status nor verification."""
+    objects = t.objects.select("object_id", "version", "primary_class", "secondary", "claim_ref")
+    return m.object_x_mandate(objects, t.assignments, t.mandates)
+
+
 def policy(t, receipts=None):
     return m.policy_checks(
         cases(t, receipts), t.assignments, t.required_claims, t.required_evidence, t.claims, t.evidence, NOW_MS
@@ -108,27 +114,29 @@ def required_evidence_match(t):
 
 @query("p1_policy_mandate_validity", f"WITH {CASES} {P1}")
 def policy_mandate_validity(t):
-    return m.policy_mandate_validity(cases(t), NOW_MS)
+    return m.policy_mandate_validity(terms(t), NOW_MS)
 
 
 @query("p2_policy_verification", f"WITH {CASES} {P2}")
 def policy_verification(t):
-    return m.policy_verification(cases(t))
+    receipts = verify.receipt_status(t.objects, all_checks(t)).select(*m.OBJECT, "overall_status")
+    return m.policy_verification(t.assignments.join(receipts, m.OBJECT, "left"))
 
 
 @query("p3_policy_object_state", f"WITH {CASES} {P3}")
 def policy_object_state(t):
-    return m.policy_object_state(cases(t))
+    statuses = status.object_status(t.objects, t.claims, t.exceptions).select(*m.OBJECT, "status")
+    return m.policy_object_state(terms(t).join(statuses, m.OBJECT, "left"))
 
 
 @query("p4_policy_prohibited", f"WITH {CASES} {P4}")
 def policy_prohibited(t):
-    return m.policy_prohibited(cases(t))
+    return m.policy_prohibited(terms(t))
 
 
 @query("p5_policy_allowed", f"WITH {CASES} {P5}")
 def policy_allowed(t):
-    return m.policy_allowed(cases(t))
+    return m.policy_allowed(terms(t))
 
 
 @query("p6_policy_required_claims", P6)
