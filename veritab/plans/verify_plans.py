@@ -34,7 +34,7 @@ SELECT j.object_id, j.claim_id, 'check:' || j.claim_id || ':content-hash:' || j.
        'CONTENT_HASH' AS check_type,
        CASE WHEN '0x' || sha256(c.content) = lower(j.content_hash) THEN 'PASS' ELSE 'FAIL' END AS result,
        j.evidence_id AS ref
-FROM joined j JOIN b_contents c ON j.object_id = c.object_id AND j.evidence_id = c.evidence_id WHERE j.found"""
+FROM joined j JOIN b_contents c ON j.object_id = c.object_id AND j.evidence_id = c.evidence_id WHERE j.found AND c.content IS NOT NULL"""
 FRESH_SQL = f"""
 SELECT object_id, claim_id,
        'check:' || claim_id || CASE WHEN old THEN ':freshness:' ELSE ':evidence:' END || evidence_id AS check_id,

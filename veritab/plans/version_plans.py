@@ -28,7 +28,7 @@ steps AS (
 
 def updates(t):
     """Objects with an exception get a review class; others with late lines keep theirs."""
-    flagged = t.exceptions.select("object_id").distinct()
+    flagged = t.exceptions.filter("status <> 'SUPERSEDED'").select("object_id").distinct()
     return flagged.withColumn("primary_class", F.lit("REVIEW")).withColumn("confidence", F.lit(None).cast("double"))
 
 
@@ -36,17 +36,17 @@ def updates(t):
 SELECT o.object_id, 2 AS version, 'REVIEW' AS primary_class, o.confidence, o.created_at, {NOW_MS} AS updated_at,
        'UNRESOLVED' AS verification_status, 'edge:version:' || o.object_id || ':v1->v2' AS edge_id, o.object_id || ':v1' AS from_ref,
        o.object_id || ':v2' AS to_ref, 'SUPERSEDES' AS relation
-FROM b_objects o WHERE o.object_id IN (SELECT object_id FROM b_exceptions)""")
+FROM b_objects o WHERE o.object_id IN (SELECT object_id FROM b_exceptions WHERE status <> 'SUPERSEDED')""")
 def next_version(t):
     rows = v.next_versions(t.objects, updates(t), ["primary_class", "confidence"], NOW_MS)
     return rows.drop("secondary", "claim_ref", "verifier_version")
 
 
 @query("w1_next_children", """
-SELECT object_id, claim_id, state FROM b_claims WHERE object_id NOT IN (SELECT object_id FROM b_exceptions)
-UNION ALL SELECT object_id, affected_claims[1], 'CONFLICTING' FROM b_exceptions""")
+SELECT object_id, claim_id, state FROM b_claims WHERE object_id NOT IN (SELECT object_id FROM b_exceptions WHERE status <> 'SUPERSEDED')
+UNION ALL SELECT object_id, affected_claims[1], 'CONFLICTING' FROM b_exceptions WHERE status <> 'SUPERSEDED'""")
 def next_children(t):
-    replaced = t.exceptions.select("object_id", F.get("affected_claims", 0).alias("claim_id"), F.lit("CONFLICTING").alias("state"))
+    replaced = t.exceptions.filter("status <> 'SUPERSEDED'").select("object_id", F.get("affected_claims", 0).alias("claim_id"), F.lit("CONFLICTING").alias("state"))
     return v.next_children(t.claims.select("object_id", "claim_id", "state"), replaced)
 
 

@@ -254,19 +254,23 @@ def signatures(d) -> str:
 
 
 def contents(d) -> str:
-    """Stored bodies of order evidence; some differ from what was hashed."""
+    """Stored bodies of order evidence; some differ from what was hashed, some are lost."""
     return f"""
     SELECT 'evidence:order:' || CAST(o_orderkey AS STRING) AS evidence_id,
            'object:' || CAST(o_orderkey AS STRING) AS object_id,
-           CASE WHEN o_orderkey % 101 = 0 THEN 'changed ' ELSE 'order ' END || CAST(o_orderkey AS STRING) AS content
-    FROM {d.raw('orders')} WHERE o_orderpriority <> '5-LOW'"""
+           CASE WHEN o_orderpriority = '5-LOW' THEN NULL WHEN o_orderkey % 101 = 0 THEN 'changed ' || CAST(o_orderkey AS STRING)
+                ELSE 'order ' || CAST(o_orderkey AS STRING) END AS content
+    FROM {d.raw('orders')}"""
 
 
 def exceptions(d) -> str:
+    """One exception per line; most are superseded and of kinds that say nothing about the object."""
     key = _line_key()
+    live = "l_tax > 0.075 AND l_discount > 0.085"
     return f"""
     SELECT 'exception:' || {key} AS exception_id, 'object:' || CAST(l_orderkey AS STRING) AS object_id,
-           CASE l_partkey % 10 WHEN 0 THEN 'EVIDENCE_STALE' WHEN 1 THEN 'EVIDENCE_CONFLICT'
+           CASE CASE WHEN {live} THEN l_partkey % 10 ELSE 6 + l_partkey % 3 END
+                WHEN 0 THEN 'EVIDENCE_STALE' WHEN 1 THEN 'EVIDENCE_CONFLICT'
                 WHEN 2 THEN 'EVIDENCE_MISSING' WHEN 3 THEN 'IDENTITY_AMBIGUOUS'
                 WHEN 4 THEN 'RELATIONSHIP_AMBIGUOUS' WHEN 5 THEN 'ATTESTATION_REVOKED'
                 WHEN 6 THEN 'SOURCE_FAILURE' WHEN 7 THEN 'VERIFICATION_FAILED'
@@ -275,8 +279,8 @@ def exceptions(d) -> str:
            {d.arr(f"'claim:' || {key} || ':nav'")} AS affected_claims,
            {d.arr(f"'evidence:' || {key}")} AS evidence_refs,
            {d.ms('l_shipdate')} AS detected_at,
-           CASE WHEN l_linestatus = 'F' THEN 'WAIVED' ELSE 'OPEN' END AS status
-    FROM {d.raw('lineitem')} WHERE l_tax > 0.075 AND l_discount > 0.085"""
+           CASE WHEN NOT ({live}) THEN 'SUPERSEDED' WHEN l_linestatus = 'F' THEN 'WAIVED' ELSE 'OPEN' END AS status
+    FROM {d.raw('lineitem')}"""
 
 
 def _mandate_versions(d) -> str:
