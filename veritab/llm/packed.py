@@ -28,14 +28,16 @@ REPLIES = "chunk int, bucket int, round int, width int, body binary"
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """(chunk, doc_id, text) and the number of buckets, both in proportion to the bytes of text.
 
-    Rows go to chunks by doc_id and text, so rows that repeat one doc_id spread too. Null ids and
-    texts are kept.
+    Rows go to chunks by doc_id and length, so rows that repeat one doc_id spread too. Null ids and
+    texts are kept. Chunks and buckets grow with the fourth root of the corpus beyond 1 GB, up to 16
+    times, so that a chunk still has a fair number of keys for each of the many buckets.
     """
     total = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     size = (total[0] or 0) + 64 * total[1]
-    chunks, buckets = max(12, -(-size // chunk_bytes)), max(12, -(-size // bucket_bytes))
+    scale = min(max(size / 2**30, 1) ** 0.25, 16)
+    chunks, buckets = max(12, -(-size // int(chunk_bytes * scale))), max(12, -(-size // int(bucket_bytes * scale)))
     key = F.xxhash64(F.lit(17), "doc_id", F.octet_length("text"))
-    return docs.select(F.pmod(key, F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text"), int(buckets)
+    return docs.select(F.pmod(key, F.lit(int(chunks))).cast("int").alias("chunk"), "doc_id", "text"), int(buckets)
 
 
 def squeeze(values: np.ndarray) -> bytes:
