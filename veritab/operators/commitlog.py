@@ -215,3 +215,9 @@ def publisher_filter(calls: DataFrame, roles: DataFrame, pauses: DataFrame, limi
     return _covered(held, halts, ["scope"], "paused", limit).select(
         "seq", "call", "sender", "role", "authorised", "paused", (F.col("authorised") & ~F.col("paused")).alias("kept")
     )
+
+
+def authorised_calls(calls: DataFrame, roles: DataFrame, pauses: DataFrame, limit: int = RUN_LIMIT) -> DataFrame:
+    """The calls that change the log: sent under the needed role while the log was not paused."""
+    kept = publisher_filter(calls, roles, pauses, limit).filter("kept").select("seq")
+    return calls.join(kept, "seq", "left_semi")
