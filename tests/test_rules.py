@@ -407,3 +407,35 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_every_proposed_field_changes_the_proposal_hash(rows):
+    claim = {"proposal_id": "p", "id": "c", "subject": "s", "property": "nav", "value_json": "1", "unit": "USD", "confidence": 0.1, "is_direct": True,
+             "source_refs": ["x"], "evidence_refs": ["e"]}
+    relation = {"proposal_id": "p", "relationship_id": "r", "subject": "s", "predicate": "BACKED_BY", "object": "o", "confidence": 0.5, "is_equivalent": False,
+                "state": "SOURCED", "evidence_refs": ["e"]}
+    draft = {"proposal_id": "p", "id": "d", "subject": "s", "holder_type": "OWNER", "right_type": "INCOME", "terms": "t", "transferability": "LOCKED",
+             "confidence": 0.2, "restriction_type": "LOCKUP", "conflict_id": "k", "property": "nav", "likely_cause": "OTHER", "severity": "BLOCKING",
+             "issue_id": "i", "issue_type": "LOST"}
+    header = {"proposal_id": "p", "run_id": "run", "prompt_version": "v1", "schema_version": "v1"}
+    kinds = {str: "string", float: "double", bool: "boolean", list: "array<string>"}
+
+    def table(row, versions):
+        schema = ", ".join(f"{k} {kinds[type(v)]}" for k, v in row.items())
+        return rows(schema, *[tuple(v.values()) for v in versions])
+
+    def changed(row):
+        for key, value in row.items():
+            if key != "proposal_id":
+                yield key, {**row, key: [*value, "y"] if isinstance(value, list) else not value if isinstance(value, bool) else value + 0.25 if isinstance(value, float) else value + "x"}
+
+    parts, cases = [claim, relation, draft, header], [[], [], [], []]
+    for k, part in enumerate(parts):
+        for key, row in changed(part):
+            for j, other in enumerate(parts):
+                cases[j].append({**(row if j == k else other), "proposal_id": f"{k}:{key}"})
+    hashes = {r.proposal_id: r.proposal_hash for r in digests.draft_proposals(*[table(p, [*c, p]) for p, c in zip(parts, cases)]).collect()}
+    assert len(hashes) == 1 + sum(len(p) - 1 for p in parts)
+    again = [[{**p, "proposal_id": name} for name in hashes] for p in parts]
+    plain = {r.proposal_id: r.proposal_hash for r in digests.draft_proposals(*[table(p, c) for p, c in zip(parts, again)]).collect()}
+    assert all((hashes[name] == plain[name]) == (name == "p") for name in hashes)

@@ -215,22 +215,45 @@ def sort_by_id(t):
     return g.row_numbers(t.claims.select("object_id", "claim_id"), ["object_id"], ["claim_id"], out="place")
 
 
+def millionths(expr: str) -> str:
+    return f"CAST(round({expr} * 1000000) AS BIGINT)"
+
+
 PROPOSALS = f"""
 proposal_leaves AS (
-  SELECT proposal_id, 'claim' AS kind, '0x' || sha256('{{"evidenceRefs":' || {refs('evidence_refs')} || ',"id":' || {q('id')} || ',"kind":"claim","property":' || {q('property')}
+  SELECT proposal_id, 'claim' AS kind, '0x' || sha256('{{"confidence":' || {millionths('confidence')} || ',"evidenceRefs":' || {refs('evidence_refs')}
+    || ',"id":' || {q('id')} || ',"isDirect":' || is_direct || ',"kind":"claim","property":' || {q('property')}
     || ',"sourceRefs":' || {refs('source_refs')} || ',"subject":' || {q('subject')} || ',"unit":' || {q('unit')} || ',"value":' || value_json || '}}') AS leaf FROM b_proposed_claims
-  UNION ALL SELECT proposal_id, 'relationship', '0x' || sha256('{{"evidenceRefs":' || {refs('evidence_refs')} || ',"id":' || {q('relationship_id')} || ',"kind":"relationship","object":'
-    || {q('object')} || ',"predicate":' || {q('predicate')} || ',"subject":' || {q('subject')} || '}}') FROM b_relationships),
+  UNION ALL SELECT proposal_id, 'relationship', '0x' || sha256('{{"confidence":' || {millionths('confidence')} || ',"evidenceRefs":' || {refs('evidence_refs')}
+    || ',"id":' || {q('relationship_id')} || ',"isEquivalent":' || is_equivalent || ',"kind":"relationship","object":'
+    || {q('object')} || ',"predicate":' || {q('predicate')} || ',"state":' || {q('state')} || ',"subject":' || {q('subject')} || '}}') FROM b_relationships
+  UNION ALL SELECT proposal_id, 'right', '0x' || sha256('{{"confidence":' || {millionths('confidence')} || ',"holderType":' || {q('holder_type')} || ',"id":' || {q('id')}
+    || ',"kind":"right","rightType":' || {q('right_type')} || ',"subject":' || {q('subject')} || ',"terms":' || {q('terms')}
+    || ',"transferability":' || {q('transferability')} || '}}') FROM b_drafts
+  UNION ALL SELECT proposal_id, 'restriction', '0x' || sha256('{{"id":' || {q('id')} || ',"kind":"restriction","restrictionType":' || {q('restriction_type')}
+    || ',"subject":' || {q('subject')} || ',"terms":' || {q('terms')} || '}}') FROM b_drafts
+  UNION ALL SELECT proposal_id, 'conflict', '0x' || sha256('{{"id":' || {q('conflict_id')} || ',"kind":"conflict","likelyCause":' || {q('likely_cause')}
+    || ',"property":' || {q('property')} || ',"severity":' || {q('severity')} || ',"subject":' || {q('subject')} || '}}') FROM b_drafts
+  UNION ALL SELECT proposal_id, 'issue', '0x' || sha256('{{"id":' || {q('issue_id')} || ',"issueType":' || {q('issue_type')}
+    || ',"kind":"issue","subject":' || {q('subject')} || '}}') FROM b_drafts),
 {tree('proposal_layers', 'proposal_leaves', 'proposal_id')},
-hashed AS (SELECT proposal_id, '0x' || sha256('{{"domain":"{X.PROPOSAL_DOMAIN}","items":' || {q('leaf')} || ',"proposalId":' || {q('proposal_id')} || '}}') AS proposal_hash
-           FROM proposal_layers WHERE n = 1)"""
+proposal_headers AS (SELECT proposal_id, max(run_id) AS run_id, max(prompt_version) AS prompt_version, max(schema_version) AS schema_version FROM b_drafts GROUP BY proposal_id),
+hashed AS (SELECT l.proposal_id, '0x' || sha256('{{"domain":"{X.PROPOSAL_DOMAIN}","items":' || {q('leaf')} || ',"promptVersion":' || {q('prompt_version')}
+             || ',"proposalId":' || {q('l.proposal_id')} || ',"runId":' || {q('run_id')} || ',"schemaVersion":' || {q('schema_version')} || '}}') AS proposal_hash
+           FROM proposal_layers l LEFT JOIN proposal_headers p ON l.proposal_id = p.proposal_id WHERE n = 1)"""
+
+
+def proposals(t):
+    headers = t.drafts.groupBy("proposal_id").agg(*[F.max(c).alias(c) for c in g.HEADER])
+    return g.draft_proposals(t.proposed_claims, t.relationships, t.drafts, headers)
 
 
 @query("o5_draft_proposals", f"""WITH RECURSIVE {PROPOSALS}
 SELECT l.proposal_id, count(*) FILTER (WHERE kind = 'claim') AS claims, count(*) FILTER (WHERE kind = 'relationship') AS relationships,
+       count(*) FILTER (WHERE kind NOT IN ('claim', 'relationship')) AS others,
        min(h.proposal_hash) AS proposal_hash FROM proposal_leaves l JOIN hashed h ON l.proposal_id = h.proposal_id GROUP BY l.proposal_id""")
 def draft_proposals(t):
-    return g.draft_proposals(t.proposed_claims, t.relationships)
+    return proposals(t)
 
 
 # The received hash of proposals with an overconfident item is upper-cased, so it no longer agrees.
@@ -240,7 +263,7 @@ received AS (SELECT proposal_id, CASE WHEN proposal_id IN (SELECT proposal_id FR
 SELECT r.proposal_id, r.proposal_hash, h.proposal_hash AS expected_hash, r.proposal_hash = h.proposal_hash AS intact
 FROM received r JOIN hashed h ON r.proposal_id = h.proposal_id""")
 def proposal_integrity(t):
-    drafts = g.draft_proposals(t.proposed_claims, t.relationships)
+    drafts = proposals(t)
     loud = t.proposed_claims.filter("confidence > 1").select("proposal_id").distinct().withColumn("loud", F.lit(True))
     received = drafts.join(loud, "proposal_id", "left").withColumn(
         "proposal_hash", F.when(F.col("loud"), F.upper("proposal_hash")).otherwise(F.col("proposal_hash"))
