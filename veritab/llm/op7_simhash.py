@@ -40,7 +40,7 @@ SHINGLE, DISTANCE, SEED = 3, 2, 42
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 WIDE_SEGMENTS = 6
 BUCKET = 32
-REPRESENTATIVES = 8
+WIDE_BUCKET, REPRESENTATIVES = 8, 8
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -179,16 +179,16 @@ def alike_bits(similarity: float, bits: int) -> int:
 def wide_links(nodes: DataFrame, limit: int) -> DataFrame:
     """Links between distinct 128-bit fingerprints that share a variant and differ in at most `limit` bits.
 
-    In a bucket of more than BUCKET members all are compared with REPRESENTATIVES of them; a member
+    In a bucket of more than WIDE_BUCKET members all are compared with REPRESENTATIVES of them; a member
     is linked to those that are close to it, and members close to none form the bucket of the next
     round. The links of every round go to the shared folder.
     """
     spark, columns = nodes.sparkSession, ["hi", "lo"]
     path = scratch_path(spark, "links")
     members = pin(crowded(variants(nodes, columns, WIDE_SEGMENTS)))
-    bucket_links(members.filter(F.col("n") <= BUCKET), columns, limit).distinct().write.parquet(path)
-    while not members.filter(F.col("n") > BUCKET).isEmpty():
-        rest = members.filter(F.col("n") > BUCKET).select("key", F.struct(*columns).alias("r"))
+    bucket_links(members.filter(F.col("n") <= WIDE_BUCKET), columns, limit).distinct().write.parquet(path)
+    while not members.filter(F.col("n") > WIDE_BUCKET).isEmpty():
+        rest = members.filter(F.col("n") > WIDE_BUCKET).select("key", F.struct(*columns).alias("r"))
         picks = [F.min_by("r", F.xxhash64(F.lit(k), "r.hi", "r.lo")).alias(f"p{k}") for k in range(REPRESENTATIVES)]
         heads = rest.groupBy("key").agg(*picks)
         close = lambda p: (bits_apart(columns, p, F.col("r")) <= limit)
@@ -197,7 +197,7 @@ def wide_links(nodes: DataFrame, limit: int) -> DataFrame:
         linked = compared.select("r", F.explode("near").alias("l")).filter("l <> r").select("l", "r").distinct()
         linked.write.mode("append").parquet(path)
         members = pin(crowded(compared.filter(F.size("near") == 0).select("key", "r.*")))
-        bucket_links(members.filter(F.col("n") <= BUCKET), columns, limit).distinct().write.mode("append").parquet(path)
+        bucket_links(members.filter(F.col("n") <= WIDE_BUCKET), columns, limit).distinct().write.mode("append").parquet(path)
     return spark.read.parquet(path).distinct()
 
 
