@@ -42,7 +42,10 @@ def mark_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), long_enough), hashed))
     held = docs.select(F.col("doc_id").alias("__id"), F.explode(keys).alias("__line"))
     common = held.groupBy("__line").agg(F.count(F.lit(1)).alias("__docs")).filter(F.col("__docs") >= min_docs)
-    drops = held.join(common.select("__line"), "__line").groupBy("__id").agg(F.collect_set("__line").alias("__drop"))
+    # joined on another form of the key: both sides are shuffled for the join, so that Spark can split a hot line
+    key = F.bitwise_not("__line")
+    met = held.withColumn("__key", key).join(common.select(key.alias("__key")), "__key")
+    drops = met.groupBy("__id").agg(F.collect_set("__line").alias("__drop"))
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["__id"]), "left")
     stays = lambda line: ~(long_enough(line) & F.array_contains("__drop", hashed(line)))
     lines = _lines(F.col("text"))
