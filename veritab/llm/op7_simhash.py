@@ -187,14 +187,16 @@ def wide_links(nodes: DataFrame, limit: int) -> DataFrame:
     path = scratch_path(spark, "links")
     members = pin(crowded(variants(nodes, columns, WIDE_SEGMENTS)))
     bucket_links(members.filter(F.col("n") <= WIDE_BUCKET), columns, limit).distinct().write.parquet(path)
+    bucket = W.partitionBy("key")
     while not members.filter(F.col("n") > WIDE_BUCKET).isEmpty():
         rest = members.filter(F.col("n") > WIDE_BUCKET).select("key", F.struct(*columns).alias("r"))
-        picks = [F.min_by("r", F.xxhash64(F.lit(k), "r.hi", "r.lo")).alias(f"p{k}") for k in range(REPRESENTATIVES)]
-        heads = rest.groupBy("key").agg(*picks)
+        picks = [F.min_by("r", F.xxhash64(F.lit(k), "r.hi", "r.lo")).over(bucket) for k in range(REPRESENTATIVES)]
         close = lambda p: (bits_apart(columns, p, F.col("r")) <= limit)
-        near = F.filter(F.array_distinct(F.array(*[f"p{k}" for k in range(REPRESENTATIVES)])), close)
-        compared = pin(rest.join(heads, "key").select("key", "r", near.alias("near")))
-        linked = compared.select("r", F.explode("near").alias("l")).filter("l <> r").select("l", "r").distinct()
+        compared = rest.withColumn("picks", F.array_distinct(F.array(*picks)))
+        compared = pin(compared.select("key", "r", F.filter("picks", close).alias("near")))
+        # a fingerprint has a list for each of its buckets, and most of them name the same representatives
+        lists = compared.groupBy("r").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
+        linked = lists.select("r", F.explode("near").alias("l")).filter("l <> r").select("l", "r")
         linked.write.mode("append").parquet(path)
         members = pin(crowded(compared.filter(F.size("near") == 0).select("key", "r.*")))
         bucket_links(members.filter(F.col("n") <= WIDE_BUCKET), columns, limit).distinct().write.mode("append").parquet(path)
