@@ -242,6 +242,46 @@ def test_near_copy_stage(spark):
     assert {200 + k for k in range(40)} <= kept and 101 not in kept and len(kept) <= 42
 
 
+def alike_texts(seed, apart, count=200):
+    """Two texts of `count` shingles each, of which the last `apart` differ."""
+    common = prose(seed, count + 4 - apart)
+    return f"{common} {prose(seed + 10_000, apart)}", f"{common} {prose(seed + 20_000, apart)}", (count - apart) / (count + apart)
+
+
+def test_near_copy_line(spark):
+    """Pairs planted below, at and above the line: a Jaccard similarity of 0.8 decides each."""
+    wanted, rows = {}, []
+    for k, apart in enumerate([40, 28, 24, 23, 22, 21, 16, 15, 10, 9] * 12):
+        a, b, similarity = alike_texts(1000 + k, apart, 198)
+        assert abs(brute.jaccard(a, b) - similarity) < 1e-12
+        wanted[2 * k + 1] = similarity < 0.8
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    kept = {r.doc_id for r in op7_simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * k for k in range(len(rows) // 2)} | {k for k, stays in wanted.items() if stays}
+
+
+@pytest.mark.parametrize("bucket, common", [(0, 2), (2, 10**9), (10**9, 4)])
+def test_near_copy_families(monkeypatch, spark, bucket, common):
+    """Chains, families of about 0.7 and shared passages, at any bound of the buckets and any order of shingles."""
+    import random
+
+    monkeypatch.setattr(op7_simhash, "SET_BUCKET", bucket)
+    monkeypatch.setattr(op7_simhash, "SAMPLE_COUNT", common)
+    rng, texts, passage = random.Random(5), [], prose(77, 40)
+    for family in range(4):
+        text = prose(500 + family, 120).split()
+        for step in range(14):
+            texts.append(" ".join(text))
+            at = rng.randrange(100)
+            changed = [*text[:at], *prose(rng.randrange(10**6), 3 + 5 * (family % 2)).split(), *text[at + 3 + 5 * (family % 2) :]]
+            text = changed if family < 2 or step == 0 else text[:40] + prose(rng.randrange(10**6), 20).split() + text[60:]
+    texts += [f"{passage} {prose(900 + k, 15)}" for k in range(20)] + [texts[0], "", "one two", "one two", "ONE two three four five"]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    kept = {r.doc_id for r in op7_simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(brute.groups(texts, lambda a, b: brute.jaccard(a, b) >= 0.8))
+
+
 def test_components_of_long_paths(spark):
     from veritab.llm.components import components
 

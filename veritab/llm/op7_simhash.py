@@ -11,22 +11,27 @@ bits apart exactly if these balls share a point, and all members of one point ar
 each other, so a star to the smallest member keeps every link. That costs 65 rows a fingerprint
 at any size of the bucket and forms no pairs.
 
-`drop_near_copies` (the pipeline stage) looks for documents whose sets of five-word shingles are at
-least 0.8 alike. It takes 128-bit fingerprints and six segments; candidates share a variant of one
-segment and are verified by the similarity that their distance stands for.
-
-Defined results: null or wordless text has fingerprint zero and is linked like any other; exact
-copies share a fingerprint; a null doc_id is larger than any other and never names a component
-that has another id; repeated rows are returned as often as they come, and stand or fall together
-in the stage; an empty table gives no rows; the stage passes all columns through.
+`drop_near_copies` (the pipeline stage) finds all documents whose sets of five-word shingles have a
+Jaccard similarity of at least 0.8. No fingerprint decides that: with its shingles in one order, a
+set has one among its first fifth in common with every set that similar (prefix filtering), so pairs
+come from an equality join on those, and the shingles of each are then compared. The order puts
+shingles that are common in a sample last, which keeps their buckets small; the sample decides
+nothing else.
+
+Defined results: null or wordless text has fingerprint zero and is linked like any other, and the
+empty set of shingles; exact copies share a fingerprint and a set; a null doc_id is larger than any
+other and never names a component that has another id; repeated rows are returned as often as they
+come, and stand or fall together in the stage; an empty table gives no rows; the stage passes all
+columns through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -35,12 +40,15 @@ from pyspark.sql import functions as F
 from ..session import pin, scratch_path
 from .components import components
 from .registry import query, table
+from .text import mix
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
-WIDE_SEGMENTS = 6
 BUCKET = 32
-WIDE_BUCKET, REPRESENTATIVES = 8, 8
+SET_BUCKET, REPRESENTATIVES = 16, 3
+SAMPLE, SAMPLE_COUNT = 8192, 4
+FILTER_BITS = 1 << 23
+SET_ROWS = 512
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -69,26 +77,18 @@ def simhash64(text: bytes, size: int = SHINGLE) -> bytes:
     return majority(b"".join([xxhash.xxh64_digest(s, SEED) for s in found]), len(found)) if found else bytes(8)
 
 
-def simhash128(text: bytes, size: int) -> bytes:
-    """Fingerprint of twice the width over the set of shingles."""
-    found = set(shingles(text, size))
-    return majority(b"".join([xxhash.xxh3_128_digest(s, SEED) for s in found]), len(found)) if found else bytes(16)
-
-
-def fingerprints(docs: DataFrame, wide: bool, size: int) -> DataFrame:
-    """(doc_id, hi) or (doc_id, hi, lo): the fingerprint in 64-bit columns."""
-    columns = ["hi", "lo"] if wide else ["hi"]
-    one = simhash128 if wide else simhash64
+def fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, hi): the fingerprint as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            prints = b"".join([one(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in texts])
-            values = np.frombuffer(prints, ">i8").astype(np.int64).reshape(-1, len(columns))
-            yield pa.record_batch([batch.column(0), *[pa.array(values[:, k]) for k in range(len(columns))]], names=["doc_id", *columns])
+            prints = b"".join([simhash64(t.as_buffer().to_pybytes() if t.is_valid else b"", size) for t in texts])
+            values = np.frombuffer(prints, ">i8").astype(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(values)], names=["doc_id", "hi"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in columns))
+    return rows.mapInArrow(run, "doc_id long, hi long")
 
 
 def segments(bits: int, count: int) -> list[tuple[int, int]]:
@@ -158,7 +158,7 @@ def fingerprint_links(prints: DataFrame, limit: int = DISTANCE) -> DataFrame:
 
 def simhash_components(docs: DataFrame, size: int = SHINGLE, limit: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row."""
-    prints = pin(fingerprints(docs, False, size))
+    prints = pin(fingerprints(docs, size))
     nodes = prints.groupBy("hi").agg(F.min("doc_id").alias("least"))
     links = fingerprint_links(nodes.select("hi"), limit)
     roots = components(links.select(F.col("l.hi").alias("a"), F.col("r.hi").alias("b")))
@@ -170,50 +170,184 @@ def simhash_components(docs: DataFrame, size: int = SHINGLE, limit: int = DISTAN
     )
 
 
-def alike_bits(similarity: float, bits: int) -> int:
-    """Expected differing bits of two equally large sets of the given Jaccard similarity, and one deviation."""
-    rate = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(rate * bits + np.sqrt(bits * rate * (1 - rate)))
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles; a text shorter than one has a hash of its whole sequence."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < size:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), SEED)], np.uint64)
+    one, count = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), len(words) - size + 1
+    total = np.zeros(count, np.uint64)
+    for k in range(size):
+        total = mix(total * np.uint64(0x9E3779B97F4A7C15) + one[k : k + count])
+    return np.unique(total)
+
+
+def _sets(docs: DataFrame, size: int, emit: Callable, schema: str) -> DataFrame:
+    """What `emit` makes of the ids and shingle sets of a few rows."""
+    names = [f.strip().split()[0] for f in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for start in range(0, len(ids), SET_ROWS):
+                part = range(start, min(start + SET_ROWS, len(ids)))
+                found = [shingle_set(texts[k].as_buffer().to_pybytes() if texts[k].is_valid else b"", size) for k in part]
+                yield pa.record_batch(emit(ids.slice(start, SET_ROWS), found), names=names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, schema)
+
+
+def set_id(shingle_hashes: np.ndarray) -> int:
+    """Number of a shingle set; texts with equal sets share it."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingle_hashes.tobytes(), SEED)).view(np.int64))
+
+
+def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingle hashes that repeat in a sample of fixed size, and how often they do; orders shingles, decides nothing."""
+    share = max(1, docs.count() // SAMPLE)
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    rows = _sets(sample, size, lambda ids, found: [pa.array(np.concatenate(found).view(np.int64))], "shingle long")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SAMPLE_COUNT).toArrow()
+    keys, counts = often["shingle"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def prefix_length(count: int, similarity: float) -> int:
+    """Of two sets at least so similar, with their shingles in one order, the first so many of each have one in common."""
+    return count - int(np.ceil(similarity * count - 1e-9)) + 1 if count else 0
 
 
-def wide_links(nodes: DataFrame, limit: int) -> DataFrame:
-    """Links between distinct 128-bit fingerprints that share a variant and differ in at most `limit` bits.
+def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(doc_id, id, size, keys): the first shingles of every text, rare ones before those common in a sample."""
+    common, counts = common_shingles(docs, size)
 
-    In a bucket of more than WIDE_BUCKET members all are compared with REPRESENTATIVES of them; a member
-    is linked to those that are close to it, and members close to none form the bucket of the next
-    round. The links of every round go to the shared folder.
+    def prefix(found: np.ndarray) -> np.ndarray:
+        if len(common) and len(found):
+            at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+            rank = np.where(common[at] == found, counts[at], 0)
+            found = found[np.argsort(rank, kind="stable")]
+        return found[: prefix_length(len(found), similarity)].view(np.int64)
+
+    def emit(ids: pa.Array, found: list[np.ndarray]) -> list[pa.Array]:
+        keys = [prefix(f) for f in found]
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+        return [ids, pa.array([set_id(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int32()), lists]
+
+    return _sets(docs, size, emit, "doc_id long, id long, size int, keys array<long>")
+
+
+def may_be_alike(left: Column, right: Column, similarity: float) -> Column:
+    """Whether two sets whose first common shingle has these places can reach the similarity."""
+    least = F.lit(similarity / (1 + similarity)) * (left["size"] + right["size"]) - 1e-6
+    return F.least(left["size"] - left["place"], right["size"] - right["place"]) >= least
+
+
+def set_pairs(left: DataFrame, right: DataFrame, similarity: float, more: Column | None = None) -> DataFrame:
+    """(a, b) distinct pairs of ids that share a key and can be alike; left has (key, l), right (key, r)."""
+    fits = (F.col("l.id") != F.col("r.id")) & may_be_alike(F.col("l"), F.col("r"), similarity)
+    met = left.join(right.withColumnRenamed("key", "other"), (F.col("key") == F.col("other")) & fits & (F.lit(True) if more is None else more))
+    return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+
+
+def bit_filter(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether numbers can be among those of a column: bits of fixed size, wrong only by letting others through."""
+    at = ids.select(ids[ids.columns[0]].bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()
+    marks = np.zeros(FILTER_BITS, bool)
+    marks[at] = True
+    bits = np.packbits(marks)
+
+    def among(numbers: np.ndarray) -> np.ndarray:
+        place = numbers & (FILTER_BITS - 1)
+        return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+
+    return among
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets reach the Jaccard similarity, counted exactly."""
+    sets = sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
+    side = lambda name: sets.select(F.col("id").alias(f"id_{name}"), F.col("shingles").alias(f"set_{name}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.filter(shared / (F.size("set_a") + F.size("set_b") - shared) >= similarity).select("a", "b")
+
+
+def near_copy_roots(docs: DataFrame, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, id) of every row, and (node, root): the components of sets at least so similar. No link is lost.
+
+    Members of a key's bucket up to SET_BUCKET are paired. In larger ones all are paired with REPRESENTATIVES
+    first; pairs inside a component found by then are not needed, and all others of the bucket are formed.
     """
-    spark, columns = nodes.sparkSession, ["hi", "lo"]
-    path = scratch_path(spark, "links")
-    members = pin(crowded(variants(nodes, columns, WIDE_SEGMENTS)))
-    bucket_links(members.filter(F.col("n") <= WIDE_BUCKET), columns, limit).distinct().write.parquet(path)
-    bucket = W.partitionBy("key")
-    while not members.filter(F.col("n") > WIDE_BUCKET).isEmpty():
-        rest = members.filter(F.col("n") > WIDE_BUCKET).select("key", F.struct(*columns).alias("r"))
-        picks = [F.min_by("r", F.xxhash64(F.lit(k), "r.hi", "r.lo")).over(bucket) for k in range(REPRESENTATIVES)]
-        close = lambda p: (bits_apart(columns, p, F.col("r")) <= limit)
-        compared = rest.withColumn("picks", F.array_distinct(F.array(*picks)))
-        compared = pin(compared.select("key", "r", F.filter("picks", close).alias("near")))
-        # a fingerprint has a list for each of its buckets, and most of them name the same representatives
-        lists = compared.groupBy("r").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
-        linked = lists.select("r", F.explode("near").alias("l")).filter("l <> r").select("l", "r")
-        linked.write.mode("append").parquet(path)
-        members = pin(crowded(compared.filter(F.size("near") == 0).select("key", "r.*")))
-        bucket_links(members.filter(F.col("n") <= WIDE_BUCKET), columns, limit).distinct().write.mode("append").parquet(path)
-    return spark.read.parquet(path).distinct()
+    spark = docs.sparkSession
+
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        df.write.parquet(path := scratch_path(spark, label))
+        return spark.read.parquet(path)
+
+    rows = stored(prefixes(docs, size, similarity), "prefixes")
+    nodes = rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+    placed = nodes.select("id", "size", F.posexplode("keys").alias("place", "key"))
+    narrow = placed.select("key", "id", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("at"))
+    place = F.struct("id", F.shiftright("at", 32).cast("int").alias("size"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
+    members = stored(crowded(narrow).select("key", place.alias("m"), "n"), "members")
+    side = lambda df, name: df.select("key", F.col("m").alias(name))
+    few, many = members.filter(F.col("n") <= SET_BUCKET), members.filter(F.col("n") > SET_BUCKET)
+    small = set_pairs(side(few, "l"), side(few, "r"), similarity, F.col("l.id") < F.col("r.id"))
+    picks = many.groupBy("key").agg(*[F.min_by("m", F.xxhash64(F.lit(k), "m.id")).alias(f"p{k}") for k in range(REPRESENTATIVES)])
+    picks = picks.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(REPRESENTATIVES)]))).alias("l"))
+    pairs = stored(small.union(set_pairs(picks, side(many, "r"), similarity)).distinct(), "pairs")
+
+    wanted = pairs.select(F.col("a").alias("want")).union(pairs.select("b")).union(many.select("m.id"))
+    may_want = bit_filter(wanted)
+
+    def lists(_: pa.Array, found: list[np.ndarray]) -> list[pa.Array]:
+        own = {i: f for i, f in zip(map(set_id, found), found)}
+        ids = np.fromiter(own, np.int64, len(own))
+        ids = ids[may_want(ids)]
+        chosen = [own[i] for i in ids.tolist()]
+        ends = np.cumsum([0, *map(len, chosen)]).astype(np.int32)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *chosen]).view(np.int64)
+        return [pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))]
+
+    sets = stored(_sets(docs, size, lists, "id long, shingles array<long>"), "sets")
+    links = stored(alike(pairs, sets, similarity), "links")
+    roots = components(links)
+    if many.isEmpty():
+        return rows, roots
+    named = many.join(roots, F.col("m.id") == F.col("node"), "left").select("key", "m", F.coalesce("root", "m.id").alias("c"))
+    named = stored(named, "named")
+    groups = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("groups"))
+    open_ = named.join(groups.filter("groups > 1"), "key")
+    apart = open_.filter("c <> main").select("key", F.struct("m.*", "c").alias("l"))
+    rest = set_pairs(apart, open_.select("key", F.struct("m.*", "c").alias("r")), similarity, F.col("l.c") != F.col("r.c"))
+    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return rows, roots
+    return rows, components(links.union(stored(alike(rest, sets, similarity), "links")))
 
 
 def drop_near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """The document with the smallest doc_id of every group of near copies, all columns."""
-    prints = pin(fingerprints(docs, True, size))
-    node = F.xxhash64("hi", "lo")
-    nodes = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("least"))
-    links = wide_links(nodes.select("hi", "lo"), alike_bits(similarity, 128))
-    roots = components(links.select(F.xxhash64("l.hi", "l.lo").alias("a"), F.xxhash64("r.hi", "r.lo").alias("b")))
-    numbered = nodes.withColumn("id", node)
-    placed = numbered.join(roots, numbered["id"] == roots["node"], "left").withColumn("group", F.coalesce("root", "id"))
+    rows, roots = near_copy_roots(docs, size, similarity)
+    nodes = rows.groupBy("id").agg(F.min("doc_id").alias("least"))
+    placed = nodes.join(roots, nodes["id"] == roots["node"], "left").withColumn("group", F.coalesce("root", "id"))
     keepers = placed.groupBy("group").agg(F.min("least").alias("__keeper"))
-    return docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["__keeper"]), "left_semi")
+    ids = rows.select("doc_id").distinct()
+    dropped = bit_filter(ids.join(keepers, F.col("doc_id") == F.col("__keeper"), "left_anti").filter("doc_id IS NOT NULL"))
+
+    @F.arrow_udf("boolean")
+    def in_doubt(ids: pa.Array) -> pa.Array:
+        return pc.or_kleene(ids.is_null(), pa.array(dropped(ids.fill_null(0).to_numpy(zero_copy_only=False))))
+
+    # most rows stay, and what cannot be dropped is not moved
+    doubt = in_doubt(F.col("doc_id").cast("long"))
+    settled = docs.filter(doubt).join(keepers, F.col("doc_id").eqNullSafe(F.col("__keeper")), "left_semi")
+    return docs.filter(~doubt).union(settled)
 
 
 @query("op7_simhash")
