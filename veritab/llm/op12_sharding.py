@@ -38,7 +38,7 @@ SHARDS = 24
 RANGES = 256
 ROWS = 1 << 20
 DRAWS = 8
-ROUNDS = 12
+ROUNDS = 24
 OVERHEAD = 8
 
 LAW = "bytes"
@@ -148,8 +148,9 @@ def split(rows: DataFrame, shards: int = SHARDS) -> tuple[Splitters, list[tuple[
         for k, r in over.items():
             drawn = [(p["text_key"], p["row_key"], p["n"]) for p in picked if p["range"] == k]
             more = quantiles(drawn, pieces[k]) - firsts
-            # a text that fills the range with others before or after it becomes a range of its own
-            firsts |= more or {(r["high"], LOW)} - firsts or {(r["high"], -(-(r["first"] + r["last"]) // 2))}
+            # where nothing was drawn the range is halved, between texts or within its only one
+            middle = lambda low, high: -(-(r[low] + r[high]) // 2)  # noqa: B023, E731
+            firsts |= more or {(middle("low", "high"), LOW) if r["low"] < r["high"] else (r["high"], middle("first", "last"))}
         splitters = Splitters(firsts)
     ranges, seen = [], 0
     for k in range(len(splitters)):
