@@ -5,7 +5,7 @@ Three passes over the texts, all counts per language:
 1. Words are counted exactly. A phrase can reach the threshold only if each of its words does, so
    phrases with a rarer word are left out from here on.
 2. The hashes of all other phrases of 2 to 5 words go, counted per task, to the partition their hash
-   names. There a Misra-Gries summary takes them in: beyond its capacity, which is above the
+   names, as sorted runs of 32 bits within the partition. There a Misra-Gries summary takes them in: beyond its capacity, which is above the
    partition's mass divided by the threshold, all counters are lowered by the same amount. The sum
    of what was taken off, the summary's error, stays below the threshold (the capacity grows before
    it could pass it), so every phrase that reaches the threshold survives with a counter that
@@ -14,7 +14,7 @@ Three passes over the texts, all counts per language:
 
 What tasks get of the words of pass 1 and the survivors of pass 2 is a bit filter of a size that
 grows with the words up to FILTER_BITS bits: it lets some others through, which the exact counts
-remove, and holds none back. Phrases are told apart by 64-bit hashes up to the exact count.
+remove, and holds none back. Hashes that collide in pass 2 only add to a counter, which loses nothing.
 
 Scores are exact: products are decimals of 38 digits, divided as integers.
 
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from veritab.session import scratch_path
 
+from .packed import squeeze, widen
 from .registry import query, table
 from .text import LOWER, UPPER, Rolling, Words, lower, mix, raw, slices
 
@@ -48,6 +49,7 @@ UNKNOWN = "und"
 FILTER_BITS = 1 << 27
 BUFFER = 1 << 22
 MASS = 1 << 24
+EVEN_PARTITIONS = 4096
 TALLY = 1 << 18
 
 STOPS = ".,;:!?\n\x0b\x0c\r"
@@ -118,7 +120,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Phrases]:
                 yield phrases
 
 
-def tallied(docs: DataFrame, sizes: tuple[int, ...], common: Bits | None = None, wanted: Bits | None = None) -> DataFrame:
+def tallied(docs: DataFrame, sizes: tuple[int, ...], common: Bits | None = None, wanted: Bits | None = None, partitions: int = 1) -> DataFrame:
     """(lang, phrase, size, key, n): phrases that the filters let through, counted over parts of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +140,7 @@ def tallied(docs: DataFrame, sizes: tuple[int, ...], common: Bits | None = None,
             for size in sizes:
                 at, keys = phrases.of(size, rare)
                 if wanted is not None:
-                    let = wanted.has(keys)
+                    let = wanted.has(mix(in_partition(keys, partitions)))
                     at, keys = at[let], keys[let]
                 found, first, n = np.unique(keys, return_index=True, return_counts=True)
                 for key, place, times in zip(found.tolist(), at[first].tolist(), n.tolist()):
@@ -158,6 +160,19 @@ class Summary:
     def __init__(self, capacity: int, threshold: int):
         self.capacity, self.threshold, self.error = max(capacity, 1), threshold, 0
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held, self.waiting = [], 0
+
+    def take(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Add in the end; runs wait until they are worth a sort."""
+        self.held.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting > max(self.capacity, BUFFER // 16):
+            self.settle()
+
+    def settle(self) -> None:
+        if self.held:
+            self.add(np.concatenate([k for k, _ in self.held]), np.concatenate([n for _, n in self.held]))
+            self.held, self.waiting = [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         keys, counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
@@ -189,8 +204,8 @@ class Summary:
         return self.keys[self.counts + self.error >= self.threshold]
 
 
-def survivors(docs: DataFrame, common: Bits, words: int, min_count: int, longest: int) -> DataFrame:
-    """(key): hashes of a superset of the phrases that occur `min_count` times."""
+def survivors(docs: DataFrame, common: Bits, words: int, partitions: int, min_count: int, longest: int) -> DataFrame:
+    """(key): mixed partition hashes of a superset of the phrases that occur `min_count` times."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -198,39 +213,54 @@ def survivors(docs: DataFrame, common: Bits, words: int, min_count: int, longest
         def flush() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
             held.clear()
-            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+            edges = np.searchsorted(keys, np.arange(partitions + 1, dtype=np.uint64) << np.uint64(32))
+            rows = []
+            for part in np.flatnonzero(np.diff(edges)).tolist():
+                lo, hi = edges[part], edges[part + 1]
+                low = keys[lo:hi].astype(np.uint32)
+                rows.append((part, int(hi - lo), squeeze(np.diff(low, prepend=np.uint32(0))), squeeze(n[lo:hi].astype(np.uint32))))
+            part, size, low, counts = zip(*rows) if rows else [()] * 4
+            columns = [pa.array(part, pa.int32()), pa.array(size, pa.int32()), pa.array(low, pa.binary()), pa.array(counts, pa.binary())]
+            return pa.record_batch(columns, names=["part", "size", "keys", "counts"])
 
         for phrases in _parts(batches):
             rare = phrases.rare(common)
             for size in range(2, longest + 1):
-                held.append(phrases.of(size, rare)[1])
+                held.append(in_partition(phrases.of(size, rare)[1], partitions))
                 total += len(held[-1])
             if total > BUFFER:
                 yield flush()
                 total = 0
         yield flush()
 
-    partitions = max(12, -(-words * (longest - 1) // MASS))
     capacity = -(-2 * words * (longest - 1) // (partitions * min_count))
 
     def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary, held, total = Summary(capacity, min_count), [], 0
+        summaries: dict[int, Summary] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                low = np.cumsum(widen(row["keys"], row["size"], np.uint32), dtype=np.uint32).astype(np.uint64)
+                summary = summaries.setdefault(row["part"], Summary(capacity, min_count))
+                summary.take(low, widen(row["counts"], row["size"], np.uint32).astype(np.int64))
+        for part, summary in summaries.items():
+            summary.settle()
+            keys = mix(np.uint64(part << 32) | summary.survivors())
+            yield pa.record_batch([pa.array(keys.view(np.int64))], names=["key"])
 
-        def take() -> None:
-            summary.add(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
-            held.clear()
+    runs = docs.mapInArrow(hashed, "part int, size int, keys binary, counts binary")
+    return runs.repartition(partitions, "part").mapInArrow(summarised, "key long")
+
+
+def partition_count(mass: int) -> int:
+    """Hash partitions for so many occurrences: in proportion at first, then by the square root, so that runs do not get short."""
+    even = max(12, -(-mass // MASS))
+    return even if even <= EVEN_PARTITIONS else int((even * EVEN_PARTITIONS) ** 0.5)
 
-        for batch in batches:
-            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
-            total += batch.num_rows
-            if total > BUFFER // 4:
-                take()
-                total = 0
-        if held:
-            take()
-        yield pa.record_batch([pa.array(summary.survivors().view(np.int64))], names=["key"])
 
-    return docs.mapInArrow(hashed, "key long, n long").repartition(partitions, "key").mapInArrow(summarised, "key long")
+def in_partition(keys: np.ndarray, partitions: int) -> np.ndarray:
+    """The hash partition of each key in the upper 32 bits, what is left of the key in the lower."""
+    upper = (keys >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)
+    return upper << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
 
 
 def filter_size(entries: int) -> int:
@@ -252,9 +282,10 @@ def counted_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     total = words.agg(F.sum("n")).first()[0] or 0
     often = words.filter(F.col("n") >= min_count)
     common = Bits.of(often, filter_size(total // min_count))
-    found = survivors(texts, common, total, min_count, longest)
+    partitions = partition_count(total * (longest - 1))
+    found = survivors(texts, common, total, partitions, min_count, longest)
     wanted = Bits.of(found, filter_size(total * (longest - 1) // min_count))
-    exact = tallied(texts, tuple(range(2, longest + 1)), common, wanted).groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("n"))
+    exact = tallied(texts, tuple(range(2, longest + 1)), common, wanted, partitions).groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("n"))
     phrases = often.select("lang", "phrase", "size", "n").union(exact.filter(F.col("n") >= min_count).select("lang", "phrase", "size", "n"))
     return stored(phrases, "phrases"), totals
 
