@@ -61,7 +61,8 @@ def test_mixture(steps):
     total = sum(len(brute.words(t)) for _, t in pairs(steps[4]))
     rows = steps[5]
     largest = max(r["size"] for r in rows)
-    assert len(rows) == len(steps[4]) and total - largest < sum(r["taken"] for r in rows) <= total
+    assert all(r["taken"] > 0 for r in rows) and {r["doc_id"] for r in rows} <= {i for i, _ in pairs(steps[4])}
+    assert total - largest < sum(r["taken"] for r in rows) <= total
     for source in {r["source"] for r in rows}:
         own = [r for r in rows if r["source"] == source]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 2 * largest

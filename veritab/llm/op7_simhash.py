@@ -49,6 +49,7 @@ SET_BUCKET, REPRESENTATIVES = 16, 3
 SAMPLE, SAMPLE_COUNT = 8192, 4
 FILTER_BITS = 1 << 23
 SET_ROWS = 512
+SKETCH_BITS = 1024
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -221,8 +222,14 @@ def prefix_length(count: int, similarity: float) -> int:
     return count - int(np.ceil(similarity * count - 1e-9)) + 1 if count else 0
 
 
+def sketch(shingle_hashes: np.ndarray) -> np.ndarray:
+    """Parities of SKETCH_BITS classes of hashes: two sets differ in at least as many shingles as their sketches in bits."""
+    odd = np.bincount((shingle_hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(doc_id, id, size, keys): the first shingles of every text, rare ones before those common in a sample."""
+    """(doc_id, id, size, keys, sketch): the first shingles of every text, rare ones before those common in a sample."""
     common, counts = common_shingles(docs, size)
 
     def prefix(found: np.ndarray) -> np.ndarray:
@@ -236,9 +243,10 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
         keys = [prefix(f) for f in found]
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-        return [ids, pa.array([set_id(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int32()), lists]
+        sketches = pa.array([sketch(f) for f in found], pa.list_(pa.int64()))
+        return [ids, pa.array([set_id(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int32()), lists, sketches]
 
-    return _sets(docs, size, emit, "doc_id long, id long, size int, keys array<long>")
+    return _sets(docs, size, emit, "doc_id long, id long, size int, keys array<long>, sketch array<long>")
 
 
 def may_be_alike(left: Column, right: Column, similarity: float) -> Column:
@@ -268,6 +276,35 @@ def bit_filter(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     return among
 
 
+def sketched(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches do not rule the similarity out; whole sets move for these only."""
+    nodes = rows.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"))
+    side = lambda name: nodes.select(F.col("id").alias(f"id_{name}"), F.struct("sketch", "size").alias(f"node_{name}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
+    apart = F.aggregate(F.zip_with("node_a.sketch", "node_b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("node_a.size") + F.col("node_b.size")) + 1e-6
+    return both.filter(apart <= most).select("a", "b")
+
+
+def wanted_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of the sets that pairs name, from the first document of each and, now and then, another."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    may_want = bit_filter(wanted)
+    may_hold = bit_filter(rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")).filter("doc_id IS NOT NULL").select("doc_id"))
+
+    def lists(ids: pa.Array, found: list[np.ndarray]) -> list[pa.Array]:
+        holds = ids.is_null().to_numpy(zero_copy_only=False) | may_hold(ids.fill_null(0).to_numpy(zero_copy_only=False))
+        own = {set_id(f): f for f, held in zip(found, holds.tolist()) if held}
+        ids = np.fromiter(own, np.int64, len(own))
+        ids = ids[may_want(ids)]
+        chosen = [own[i] for i in ids.tolist()]
+        ends = np.cumsum([0, *map(len, chosen)]).astype(np.int32)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *chosen]).view(np.int64)
+        return [pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))]
+
+    return _sets(docs, size, lists, "id long, shingles array<long>")
+
+
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets reach the Jaccard similarity, counted exactly."""
     sets = sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
@@ -301,21 +338,8 @@ def near_copy_roots(docs: DataFrame, size: int, similarity: float) -> tuple[Data
     picks = many.groupBy("key").agg(*[F.min_by("m", F.xxhash64(F.lit(k), "m.id")).alias(f"p{k}") for k in range(REPRESENTATIVES)])
     picks = picks.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(REPRESENTATIVES)]))).alias("l"))
     pairs = stored(small.union(set_pairs(picks, side(many, "r"), similarity)).distinct(), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("want")).union(pairs.select("b")).union(many.select("m.id"))
-    may_want = bit_filter(wanted)
-
-    def lists(_: pa.Array, found: list[np.ndarray]) -> list[pa.Array]:
-        own = {i: f for i, f in zip(map(set_id, found), found)}
-        ids = np.fromiter(own, np.int64, len(own))
-        ids = ids[may_want(ids)]
-        chosen = [own[i] for i in ids.tolist()]
-        ends = np.cumsum([0, *map(len, chosen)]).astype(np.int32)
-        hashes = np.concatenate([np.zeros(0, np.uint64), *chosen]).view(np.int64)
-        return [pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))]
-
-    sets = stored(_sets(docs, size, lists, "id long, shingles array<long>"), "sets")
-    links = stored(alike(pairs, sets, similarity), "links")
+    close = stored(sketched(pairs, rows, similarity), "close")
+    links = stored(alike(close, stored(wanted_sets(docs, rows, close, size), "sets"), similarity), "links")
     roots = components(links)
     if many.isEmpty():
         return rows, roots
@@ -325,9 +349,10 @@ def near_copy_roots(docs: DataFrame, size: int, similarity: float) -> tuple[Data
     open_ = named.join(groups.filter("groups > 1"), "key")
     apart = open_.filter("c <> main").select("key", F.struct("m.*", "c").alias("l"))
     rest = set_pairs(apart, open_.select("key", F.struct("m.*", "c").alias("r")), similarity, F.col("l.c") != F.col("r.c"))
-    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = stored(sketched(rest.join(pairs, ["a", "b"], "left_anti"), rows, similarity), "rest")
     if rest.isEmpty():
         return rows, roots
+    sets = stored(wanted_sets(docs, rows, rest, size), "sets")
     return rows, components(links.union(stored(alike(rest, sets, similarity), "links")))
 
 
