@@ -31,6 +31,7 @@ from .text import Rolling, Words, cover, mix, raw, slices
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
+PART_BYTES = 1 << 19
 SYMBOLS = b"#*$%&|<>"
 THRESHOLD = 0.5
 GOOD, BAD, ABSTAIN = 2, 1, 0
@@ -185,7 +186,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(pa.Table.from_batches([batch])):
+            for part in slices(pa.Table.from_batches([batch]), limit=PART_BYTES):
                 codes, counts = np.unique(votes(measure(part)) @ CODES, return_counts=True)
                 yield pa.record_batch([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], names=["pattern", "documents"])
 
@@ -205,7 +206,7 @@ def mark_quality(docs: DataFrame, model: Model | None = None, threshold: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(pa.Table.from_batches([batch])):
+            for part in slices(pa.Table.from_batches([batch]), limit=PART_BYTES):
                 m = measure(part)
                 failed, quality = base_failed(m), model.posterior(votes(m))
                 for name in MEASURES:
