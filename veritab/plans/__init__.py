@@ -15,6 +15,7 @@ from . import (  # noqa: F401
     conflict_plans,
     promotion_plans,
     digest_plans,
+    history_plans,
     log_plans,
     stream_plans,
     design_plans,

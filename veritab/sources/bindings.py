@@ -660,6 +660,71 @@ def object_documents(d) -> str:
     FROM {d.raw('orders')}"""
 
 
+def _change_lines(d) -> str:
+    """Every line of an order as a change of the order's object; `seq` orders them."""
+    return f"""(SELECT *, 'object:' || CAST(l_orderkey AS STRING) AS object_id, CAST(l_linenumber AS STRING) || ':' || {_line_key()} AS seq,
+                    l_linenumber = 1 OR l_partkey % 3 > 0 AS sets_claims, l_linenumber = 1 OR l_suppkey % 2 = 0 AS sets_evidence,
+                    l_linenumber < 3 OR l_partkey % 5 = 0 AS sets_attestations, l_tax > 0.06 AS sets_exceptions
+             FROM {d.raw('lineitem')}) lines"""
+
+
+def object_changes(d) -> str:
+    """Changes of objects and the collections that each replaces; some replace none."""
+    return f"""
+    SELECT object_id, seq, {d.ms('l_shipdate')} AS ts_ms,
+           CASE l_linenumber % 4 WHEN 0 THEN 'EVIDENCE_STALE' WHEN 1 THEN 'SOURCE_UPDATED' WHEN 2 THEN 'ATTESTATION_REVOKED' ELSE 'MANUAL_REFRESH' END AS change_type,
+           sets_claims, sets_evidence, sets_attestations, sets_exceptions
+    FROM {_change_lines(d)}"""
+
+
+def change_claims(d) -> str:
+    """Claims that a change brings; one that brings none clears them."""
+    okey = "CAST(l_orderkey AS STRING)"
+    return f"""
+    SELECT object_id, seq, 'claim:' || {okey} || ':' || kind AS claim_id, CASE kind WHEN 'nav' THEN 'nav' ELSE 'yieldBps' END AS property,
+           CASE WHEN kind = 'yield' AND l_partkey % 17 = 2 THEN 'UNKNOWN' WHEN kind = 'yield' THEN 'SOURCED' WHEN l_partkey % 11 = 3 THEN 'REVOKED'
+                WHEN l_partkey % 13 = 4 THEN 'CONFLICTING' WHEN l_suppkey % 7 = 5 THEN 'INFERRED' WHEN l_partkey % 8 = 1 THEN 'STALE'
+                WHEN l_suppkey % 3 = 0 THEN 'VERIFIED' ELSE 'SOURCED' END AS state,
+           CASE WHEN kind = 'yield' THEN {d.arr("'evidence:' || CAST(l_orderkey AS STRING) || ':b'")} WHEN l_partkey % 23 = 0 THEN {d.empty()}
+                WHEN l_partkey % 19 = 0 THEN {d.arr("'evidence:gone:' || CAST(l_orderkey AS STRING)")}
+                ELSE {d.arr("'evidence:' || CAST(l_orderkey AS STRING) || ':a'", "'evidence:' || CAST(l_orderkey AS STRING) || ':b'")} END AS evidence_refs,
+           CASE WHEN kind = 'nav' AND l_suppkey % 4 = 0 THEN {d.arr("'att:' || CAST(l_orderkey AS STRING)")} ELSE {d.empty()} END AS attestation_refs
+    FROM (SELECT *, {d.each("'nav'", "'yield'")} AS kind FROM {_change_lines(d)}) k
+    WHERE sets_claims AND l_partkey % 29 > 0"""
+
+
+def change_evidence(d) -> str:
+    return f"""
+    SELECT object_id, seq, 'evidence:' || CAST(l_orderkey AS STRING) || ':' || kind AS evidence_id,
+           CASE kind WHEN 'a' THEN 'OTHER' ELSE 'DOCUMENT' END AS type, 'snap:' || CAST(l_suppkey AS STRING) AS source,
+           '0x' || {d.sha("'body ' || CAST(l_partkey AS STRING)")} AS content_hash, CASE kind WHEN 'a' THEN 'line:1' ELSE NULL END AS locator,
+           {d.ms('l_shipdate')} AS observed_at, {d.ms('l_shipdate')} + 3600000 AS fetched_at,
+           CASE WHEN l_suppkey % 9 = 7 THEN 'AI_INFERENCE' ELSE 'PRIMARY_SOURCE' END AS authority,
+           CASE WHEN kind = 'b' AND l_partkey % 7 = 0 THEN 'STALE' WHEN kind = 'a' THEN 'FRESH' ELSE NULL END AS freshness,
+           '{{"part":' || CAST(l_partkey AS STRING) || '}}' AS metadata_json
+    FROM (SELECT *, {d.each("'a'", "'b'")} AS kind FROM {_change_lines(d)}) k
+    WHERE sets_evidence AND l_suppkey % 31 > 0"""
+
+
+def change_attestations(d) -> str:
+    return f"""
+    SELECT object_id, seq, 'att:' || CAST(l_orderkey AS STRING) AS attestation_id,
+           CASE WHEN l_partkey % 4 = 3 THEN 'REVOKED' ELSE 'ACTIVE' END AS state,
+           CASE WHEN l_partkey % 6 = 5 THEN {NOW_MS} - 1 WHEN l_partkey % 6 = 4 THEN 0 ELSE NULL END AS expires_at,
+           '0xABC' || CAST(l_suppkey AS STRING) AS attestor,
+           CASE WHEN l_partkey % 9 = 1 THEN 'unsigned'
+                ELSE '0x' || {d.sha("CAST(l_orderkey AS STRING)")} || {d.sha("CAST(l_partkey AS STRING)")} || 'ff' END AS signature
+    FROM {_change_lines(d)} WHERE sets_attestations"""
+
+
+def change_exceptions(d) -> str:
+    return f"""
+    SELECT object_id, seq, 'exception:' || seq AS exception_id,
+           CASE l_partkey % 6 WHEN 0 THEN 'EVIDENCE_STALE' WHEN 1 THEN 'EVIDENCE_CONFLICT' WHEN 2 THEN 'IDENTITY_AMBIGUOUS'
+                WHEN 3 THEN 'ATTESTATION_REVOKED' ELSE 'SOURCE_FAILURE' END AS type
+    FROM {_change_lines(d)} WHERE sets_exceptions AND l_partkey % 5 > 1"""
+
+
 def log_rows(d) -> str:
     """Deliveries of chain log rows; the same row may come again, or be taken back."""
     return f"""
@@ -682,7 +747,8 @@ DEFINITIONS = {
         exceptions, mandates, required_claims, required_evidence, assignments, profiles, pairs,
         relationships, group_claims, proposed_claims, documents, feed, cases, runs, changes,
         commit_calls, roles, pauses, stored_versions, version_batch, parties, terms, scopes, economics,
-        reported_checks, drafts, object_documents, log_rows, readings,
+        reported_checks, drafts, object_documents, object_changes, change_claims, change_evidence,
+        change_attestations, change_exceptions, log_rows, readings,
     )
 }
 
