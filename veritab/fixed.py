@@ -107,6 +107,8 @@ LEAF_DOMAIN = "veritab:evidence-leaf:v1"
 TREE_DOMAIN = "veritab:evidence-tree:v1"
 OBJECT_DOMAIN = "veritab:object:v1"
 PROPOSAL_DOMAIN = "veritab:proposal:v1"
+NODE_DOMAIN = "veritab:object-node:v1"
+WHOLE_DOMAIN = "veritab:whole-object:v1"
 
 # --- binding parameters ----------------------------------------------------------------
 NOW_MS = 1009756800000        # 2001-12-31T00:00:00Z

@@ -16,6 +16,7 @@ from . import (  # noqa: F401
     promotion_plans,
     digest_plans,
     history_plans,
+    whole_plans,
     log_plans,
     stream_plans,
     design_plans,

@@ -725,6 +725,69 @@ def change_exceptions(d) -> str:
     FROM {_change_lines(d)} WHERE sets_exceptions AND l_partkey % 5 > 1"""
 
 
+def object_identifiers(d) -> str:
+    return f"""
+    SELECT 'object:' || CAST(l_orderkey AS STRING) AS object_id, 'identifier:' || {_line_key()} AS id,
+           CASE l_linenumber % 4 WHEN 0 THEN 'ISIN' WHEN 1 THEN 'CUSIP' WHEN 2 THEN 'CONTRACT' ELSE 'CUSTOM' END AS scheme,
+           'value:' || CAST(l_partkey AS STRING) AS value, CASE WHEN l_linenumber % 4 = 3 THEN 'ns' ELSE NULL END AS namespace,
+           'snap:' || CAST(l_suppkey AS STRING) AS source, CASE WHEN l_returnflag = 'A' THEN 'VERIFIED' ELSE 'SOURCED' END AS status
+    FROM {d.raw('lineitem')}"""
+
+
+def object_representations(d) -> str:
+    return f"""
+    SELECT 'object:' || CAST(l_orderkey AS STRING) AS object_id, 'representation:' || {_line_key()} AS id,
+           CASE l_partkey % 4 WHEN 0 THEN 'EVM' WHEN 1 THEN 'SOLANA' WHEN 2 THEN 'CANTON' ELSE 'OFFCHAIN' END AS environment,
+           CASE WHEN l_partkey % 4 < 2 THEN 'net:' || CAST(l_suppkey % 5 AS STRING) ELSE NULL END AS network,
+           CASE WHEN l_partkey % 4 = 0 THEN 'contract:' || CAST(l_partkey AS STRING) ELSE NULL END AS contract,
+           CASE WHEN l_partkey % 4 = 0 THEN 'token' ELSE NULL END AS token_standard, 'REPRESENTS' AS relationship,
+           CASE WHEN l_linestatus = 'F' THEN 'ACTIVE' ELSE 'UNKNOWN' END AS status, {d.arr(f"'evidence:' || {_line_key()}")} AS evidence_refs
+    FROM {d.raw('lineitem')} WHERE l_linenumber < 4"""
+
+
+def object_relationships(d) -> str:
+    return f"""
+    SELECT 'object:' || CAST(l_orderkey AS STRING) AS object_id, 'relationship:' || {_line_key()} AS id,
+           'object:' || CAST(l_orderkey AS STRING) AS subject, CASE WHEN l_linenumber % 2 = 0 THEN 'SIMILAR_TO' ELSE 'BACKED_BY' END AS predicate,
+           'object:part:' || CAST(l_partkey AS STRING) AS object, CASE WHEN l_returnflag = 'N' THEN 'INFERRED' ELSE 'SOURCED' END AS state,
+           {d.arr(f"'evidence:' || {_line_key()}")} AS evidence_refs, {d.empty()} AS attestation_refs,
+           CASE WHEN l_returnflag = 'N' THEN 'model:1' ELSE NULL END AS inferred_by, CAST(round((1 - l_discount) * 1000000) AS BIGINT) AS confidence,
+           {d.ms('l_shipdate')} AS observed_at, {d.ms('l_shipdate')} AS valid_from, CAST(NULL AS BIGINT) AS valid_until
+    FROM {d.raw('lineitem')} WHERE l_linenumber > 4"""
+
+
+def object_parties(d) -> str:
+    return f"""
+    SELECT 'object:' || CAST(o_orderkey AS STRING) AS object_id, 'party:' || CAST(o_custkey AS STRING) AS id,
+           'HOLDER' AS role, 'customer ' || CAST(o_custkey AS STRING) AS name, {d.arr("'claim:party:' || CAST(o_custkey AS STRING)")} AS claim_refs
+    FROM {d.raw('orders')}"""
+
+
+def object_terms(d) -> str:
+    """Rights and obligations of objects; `holder` is the holder or the obligor."""
+    return f"""
+    SELECT 'object:' || CAST(l_orderkey AS STRING) AS object_id, CASE WHEN l_linenumber % 2 = 0 THEN 'rights' ELSE 'obligations' END AS kind,
+           'term:' || {_line_key()} AS id, CASE WHEN l_suppkey % 2 = 0 THEN 'REDEMPTION' ELSE 'INCOME' END AS type,
+           CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 'party:' || CAST(l_suppkey AS STRING) END AS holder,
+           '{{"days":' || CAST(l_suppkey % 90 AS STRING) || '}}' AS terms, {d.arr("'claim:term'")} AS claim_refs
+    FROM {d.raw('lineitem')} WHERE l_linenumber < 5"""
+
+
+def object_restrictions(d) -> str:
+    return f"""
+    SELECT 'object:' || CAST(l_orderkey AS STRING) AS object_id, 'restriction:' || {_line_key()} AS id, 'JURISDICTION' AS type,
+           'nation:' || CAST(l_suppkey % 25 AS STRING) AS scope, {d.arr("'claim:scope'")} AS claim_refs, {d.arr(f"'evidence:' || {_line_key()}")} AS evidence_refs
+    FROM {d.raw('lineitem')} WHERE l_suppkey % 4 = 1"""
+
+
+def object_checks(d) -> str:
+    return f"""
+    SELECT 'object:' || CAST(l_orderkey AS STRING) AS object_id, 'check:' || {_line_key()} AS id, 'FRESHNESS' AS type,
+           'claim:' || {_line_key()} || ':nav' AS subject, CASE l_returnflag WHEN 'A' THEN 'PASS' WHEN 'N' THEN 'FAIL' ELSE 'UNRESOLVED' END AS result,
+           {d.arr(f"'evidence:' || {_line_key()}")} AS evidence_refs, 'v1' AS rule_version, {d.ms('l_shipdate')} AS timestamp
+    FROM {d.raw('lineitem')} WHERE l_linenumber % 3 = 1"""
+
+
 def log_rows(d) -> str:
     """Deliveries of chain log rows; the same row may come again, or be taken back."""
     return f"""
@@ -748,7 +811,8 @@ DEFINITIONS = {
         relationships, group_claims, proposed_claims, documents, feed, cases, runs, changes,
         commit_calls, roles, pauses, stored_versions, version_batch, parties, terms, scopes, economics,
         reported_checks, drafts, object_documents, object_changes, change_claims, change_evidence,
-        change_attestations, change_exceptions, log_rows, readings,
+        change_attestations, change_exceptions, object_identifiers, object_representations, object_relationships,
+        object_parties, object_terms, object_restrictions, object_checks, log_rows, readings,
     )
 }
 
