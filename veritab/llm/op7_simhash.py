@@ -49,7 +49,8 @@ SET_BUCKET, REPRESENTATIVES = 16, 3
 SAMPLE, SAMPLE_COUNT = 8192, 4
 FILTER_BITS = 1 << 23
 SET_ROWS = 512
-SKETCH_BITS = 1024
+CROWDED_KEYS = 8
+LEAST_SKETCH, LARGEST_SKETCH = 8, 16
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -223,8 +224,9 @@ def prefix_length(count: int, similarity: float) -> int:
 
 
 def sketch(shingle_hashes: np.ndarray) -> np.ndarray:
-    """Parities of SKETCH_BITS classes of hashes: two sets differ in at least as many shingles as their sketches in bits."""
-    odd = np.bincount((shingle_hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parities of classes of hashes, two to four for each: two sets differ in at least as many shingles as their sketches in bits."""
+    bits = 1 << min(max(int(2 * len(shingle_hashes)).bit_length(), LEAST_SKETCH), LARGEST_SKETCH)
+    odd = np.bincount((shingle_hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
@@ -262,6 +264,14 @@ def set_pairs(left: DataFrame, right: DataFrame, similarity: float, more: Column
     return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
+def discard(stored: DataFrame) -> None:
+    """Delete the files of a table that nothing will read again."""
+    spark = stored.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in stored.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bit_filter(ids: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     """Whether numbers can be among those of a column: bits of fixed size, wrong only by letting others through."""
     at = ids.select(ids[ids.columns[0]].bitwiseAND(F.lit(FILTER_BITS - 1)).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()
@@ -281,7 +291,15 @@ def sketched(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     nodes = rows.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"))
     side = lambda name: nodes.select(F.col("id").alias(f"id_{name}"), F.struct("sketch", "size").alias(f"node_{name}"))
     both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
-    apart = F.aggregate(F.zip_with("node_a.sketch", "node_b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    short = F.least(F.size("node_a.sketch"), F.size("node_b.sketch"))
+
+    def folded(bits: Column) -> Column:
+        # classes are remainders by powers of two, so the halves of a longer sketch make the shorter one
+        half = F.zip_with(F.slice(bits, 1, short), F.slice(bits, short + 1, short), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(bits) == short, bits).when(F.size(bits) == 2 * short, half)
+
+    differ = F.zip_with(folded(F.col("node_a.sketch")), folded(F.col("node_b.sketch")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.coalesce(F.aggregate(differ, F.lit(0), lambda n, x: n + x), F.lit(0))
     most = F.lit((1 - similarity) / (1 + similarity)) * (F.col("node_a.size") + F.col("node_b.size")) + 1e-6
     return both.filter(apart <= most).select("a", "b")
 
@@ -317,8 +335,9 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def near_copy_roots(docs: DataFrame, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, id) of every row, and (node, root): the components of sets at least so similar. No link is lost.
 
-    Members of a key's bucket up to SET_BUCKET are paired. In larger ones all are paired with REPRESENTATIVES
-    first; pairs inside a component found by then are not needed, and all others of the bucket are formed.
+    Members of a key's bucket up to SET_BUCKET are paired. In larger ones each member is paired with REPRESENTATIVES
+    first, under its most crowded keys; pairs inside a component found by then are not needed, and all
+    others of the bucket are formed. Stored tables are deleted when what follows from them is stored.
     """
     spark = docs.sparkSession
 
@@ -326,34 +345,41 @@ def near_copy_roots(docs: DataFrame, size: int, similarity: float) -> tuple[Data
         df.write.parquet(path := scratch_path(spark, label))
         return spark.read.parquet(path)
 
-    rows = stored(prefixes(docs, size, similarity), "prefixes")
-    nodes = rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("size").alias("size"))
+    first = stored(prefixes(docs, size, similarity), "prefixes")
+    nodes = first.groupBy("id").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
     placed = nodes.select("id", "size", F.posexplode("keys").alias("place", "key"))
     narrow = placed.select("key", "id", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("at"))
     place = F.struct("id", F.shiftright("at", 32).cast("int").alias("size"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
     members = stored(crowded(narrow).select("key", place.alias("m"), "n"), "members")
+    rows = stored(first.drop("keys"), "rows")
+    discard(first)
     side = lambda df, name: df.select("key", F.col("m").alias(name))
     few, many = members.filter(F.col("n") <= SET_BUCKET), members.filter(F.col("n") > SET_BUCKET)
     small = set_pairs(side(few, "l"), side(few, "r"), similarity, F.col("l.id") < F.col("r.id"))
     picks = many.groupBy("key").agg(*[F.min_by("m", F.xxhash64(F.lit(k), "m.id")).alias(f"p{k}") for k in range(REPRESENTATIVES)])
     picks = picks.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(REPRESENTATIVES)]))).alias("l"))
-    pairs = stored(small.union(set_pairs(picks, side(many, "r"), similarity)).distinct(), "pairs")
+    # copies meet the same representatives under most of their keys, so the most crowded ones are enough here
+    turn = F.row_number().over(W.partitionBy("m.id").orderBy(F.desc("n"), "key"))
+    most = many.withColumn("turn", turn).filter(F.col("turn") <= CROWDED_KEYS)
+    pairs = stored(small.union(set_pairs(picks, side(most, "r"), similarity)).distinct(), "pairs")
     close = stored(sketched(pairs, rows, similarity), "close")
-    links = stored(alike(close, stored(wanted_sets(docs, rows, close, size), "sets"), similarity), "links")
+    links = stored(alike(close, wanted_sets(docs, rows, close, size), similarity), "links")
     roots = components(links)
     if many.isEmpty():
+        discard(members)
         return rows, roots
     named = many.join(roots, F.col("m.id") == F.col("node"), "left").select("key", "m", F.coalesce("root", "m.id").alias("c"))
     named = stored(named, "named")
+    discard(members)
     groups = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("groups"))
     open_ = named.join(groups.filter("groups > 1"), "key")
     apart = open_.filter("c <> main").select("key", F.struct("m.*", "c").alias("l"))
     rest = set_pairs(apart, open_.select("key", F.struct("m.*", "c").alias("r")), similarity, F.col("l.c") != F.col("r.c"))
     rest = stored(sketched(rest.join(pairs, ["a", "b"], "left_anti"), rows, similarity), "rest")
+    discard(named)
     if rest.isEmpty():
         return rows, roots
-    sets = stored(wanted_sets(docs, rows, rest, size), "sets")
-    return rows, components(links.union(stored(alike(rest, sets, similarity), "links")))
+    return rows, components(links.union(stored(alike(rest, wanted_sets(docs, rows, rest, size), similarity), "links")))
 
 
 def drop_near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
