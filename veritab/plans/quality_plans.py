@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed as X
 from ..operators import conformance as q
+from ..operators import nested
 from .registry import query
 
 
@@ -140,6 +141,50 @@ def dq_objects(t):
     return q.dq_objects(t.object_documents)
 
 
+def _nested_sql(table: str, schema: nested.Node) -> str:
+    """Every node of every document beside the schema's places: DuckDB lays documents out as rows, where the operator walks them."""
+    rows = []
+    for path, node in nested.places(schema):
+        kind, rule, args = "ANY", "", ""
+        if isinstance(node, nested.Record) or isinstance(node, nested.Free) and node.only_object:
+            kind = "OBJECT"
+        elif isinstance(node, nested.Items):
+            kind = "ARRAY"
+        elif isinstance(node, nested.Text):
+            kind = "VARCHAR"
+            rule = "member" if node.among is not None else "pattern" if node.pattern else "non_empty" if node.filled else ""
+            args = "|".join(node.among or ()) or node.pattern or ""
+        elif isinstance(node, nested.Number):
+            kind, rule, args = "NUMBER", "range" if node.high is not None else nested.low_rule(node), f"{node.low:g}|{node.high if node.high is not None else 1e300:g}"
+        key = path.rpartition(".")[2] if not path.endswith("[]") else ""
+        parent = path.rpartition(".")[0] if key else ""
+        rows.append(f"('{path}', '{kind}', '{rule}', '{args}', {isinstance(node, nested.Number) and node.whole}, {isinstance(node, nested.Record)}, '{parent}', '{key}')")
+    needed = [f"('{path}', '{key}')" for path, node in nested.places(schema) if isinstance(node, nested.Record) for key in node.required]
+    return f"""
+WITH place(pattern, kind, rule, args, whole, record, parent, key) AS (VALUES {", ".join(rows)}),
+needed(pattern, key) AS (VALUES {", ".join(needed)}),
+node AS (SELECT object_id, t.id, t.parent, t.key, t.type, t.fullkey AS path, regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[]', 'g') AS pattern, t.value ->> '$' AS text
+         FROM {table}, json_tree(json) t),
+met AS (SELECT n.*, p.kind, p.rule, p.args, p.whole,
+               CASE p.kind WHEN 'ANY' THEN true WHEN 'NUMBER' THEN n.type IN ('BIGINT', 'UBIGINT', 'DOUBLE') ELSE n.type = p.kind END AS fits,
+               TRY_CAST(CASE WHEN n.type IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN n.text END AS DOUBLE) AS number
+        FROM node n JOIN place p ON n.pattern = p.pattern)
+SELECT object_id AS row_id, 'type' AS rule, path FROM met WHERE NOT fits
+UNION ALL SELECT object_id, rule, path FROM met WHERE fits AND (
+    rule = 'non_empty' AND text = '' OR rule = 'member' AND NOT list_contains(string_split(args, '|'), text) OR rule = 'pattern' AND NOT regexp_matches(text, args)
+    OR kind = 'NUMBER' AND (number < CAST(split_part(args, '|', 1) AS DOUBLE) OR number > CAST(split_part(args, '|', 2) AS DOUBLE)))
+UNION ALL SELECT object_id, 'whole', path FROM met WHERE fits AND whole AND number <> floor(number)
+UNION ALL SELECT c.object_id, 'unknown_key', c.path FROM node c JOIN met m ON m.object_id = c.object_id AND m.id = c.parent
+    WHERE m.type = 'OBJECT' AND m.pattern IN (SELECT pattern FROM place WHERE record) AND c.pattern NOT IN (SELECT pattern FROM place)
+UNION ALL SELECT m.object_id, 'required', m.path || '.' || k.key FROM met m JOIN needed k ON k.pattern = m.pattern
+    LEFT JOIN node c ON c.object_id = m.object_id AND c.parent = m.id AND c.key = k.key WHERE m.type = 'OBJECT' AND c.id IS NULL"""
+
+
+@query("q9_nested_objects", _nested_sql("b_whole_documents", nested.OBJECT))
+def nested_objects(t):
+    return nested.object_violations(t.whole_documents)
+
+
 @query("q10_dq_snapshots", sql("snapshot", "b_snapshots", "snapshot_id", ("pattern", "uri", "uri NOT LIKE '%://%'"),
                                empty("content_type"), pattern("content_hash", X.HEX), low("fetched_at")))
 def dq_snapshots(t):

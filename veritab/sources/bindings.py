@@ -660,6 +660,65 @@ def object_documents(d) -> str:
     FROM {d.raw('orders')}"""
 
 
+def _quoted(value: str) -> str:
+    return f"'\"' || {value} || '\"'"
+
+
+def _json(parts: dict[str, str], more: str = "''") -> str:
+    """SQL text of a JSON object: keys, and SQL that gives the JSON of their values; `more` adds raw members."""
+    members = " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in parts.items())
+    return f"'{{' || {members} || {more} || '}}'"
+
+
+def whole_documents(d) -> str:
+    """Whole object documents with all their nested parts, each part broken in some of them."""
+    okey = "CAST(o_orderkey AS STRING)"
+    fixed = lambda text: "'" + text + "'"
+    if_ = lambda test, bad, good: f"CASE WHEN {test} THEN {bad} ELSE {good} END"
+    one_of = lambda test, bad, good: if_(test, fixed(bad), fixed(good))
+    text = lambda value: fixed(f'"{value}"')
+    ref, refs, day = _quoted(f"'r:' || {okey}"), fixed('["a","b"]'), d.ms("o_orderdate")
+    bad_refs = one_of("o_custkey % 7 = 0", '["a","",3]', "[]")
+    millis = f"CAST({day} AS STRING)"
+    identifier = _json(
+        {"scheme": one_of("o_custkey % 5 = 0", '"TICKER"', '"ISIN"'), "value": one_of("o_custkey % 9 = 0", '""', '"US0001"'), "source": ref, "status": text("SOURCED")},
+        one_of("o_custkey % 13 = 0", ',"namespace":null', ""),
+    )
+    claim = _json(
+        {"id": ref, "subject": ref, "property": text("nav"), "value": one_of("o_custkey % 6 = 0", '{"deep":[{"odd":""}]}', "null"),
+         "state": one_of("o_orderpriority = '5-LOW'", '"GUESSED"', '"SOURCED"'), "sourceRefs": refs, "evidenceRefs": bad_refs,
+         "attestationRefs": "'[]'", "createdAt": if_("o_custkey % 8 = 0", "'-5'", millis)},
+        one_of("o_custkey % 10 = 0", ',"confidence":1.5,"weight":1', ',"confidence":0.5'),
+    )
+    parts = {
+        "id": if_("o_orderkey % 61 = 0", "'\"\"'", _quoted(f"'object:' || {okey}")),
+        "version": if_("o_custkey % 12 = 0", "'1.5'", "CAST(o_orderkey % 40 AS STRING)"),
+        "classification": _json({"primary": text("FUND"), "secondary": one_of("o_custkey % 11 = 0", '"x"', '["y",""]'), "confidence": one_of("o_custkey % 14 = 0", '"high"', "0.75"), "claimRef": ref}),
+        "identifiers": f"'[' || {identifier} || ']'",
+        "representations": "'[' || " + _json({"id": ref, "environment": one_of("o_custkey % 15 = 0", '"MAINFRAME"', '"EVM"'), "identifiers": f"'[' || {identifier} || ',' || {identifier} || ']'",
+                                              "relationshipToObject": ref, "status": text("ACTIVE"), "evidence": bad_refs}, one_of("o_custkey % 16 = 0", ',"contract":7', "")) + " || ']'",
+        "relationships": "'[' || " + _json({"id": ref, "subject": ref, "predicate": one_of("o_custkey % 17 = 0", '"RESEMBLES"', '"CLAIM_ON"'), "object": ref, "state": text("SOURCED"),
+                                            "evidence": refs, "attestations": refs}, one_of("o_custkey % 18 = 0", ',"validFrom":2.5,"validUntil":-1', "")) + " || ']'",
+        "parties": "'[' || " + _json({"id": ref, "role": one_of("o_custkey % 20 = 0", "null", '"ISSUER"'), "name": text("A"), "identifiers": f"'[' || {identifier} || ']'", "claimRefs": refs}) + " || ']'",
+        "rights": "'[' || " + _json({"id": ref, "type": text("VOTING"), "terms": one_of("o_custkey % 21 = 0", '["free"]', '{"free":1}'), "claimRefs": refs}) + " || ',3]'",
+        "obligations": "'[' || " + _json({"id": ref, "type": text("FEE"), "terms": "'{}'"}, one_of("o_custkey % 22 = 0", "", ',"claimRefs":[],"obligor":"o"')) + " || ']'",
+        "restrictions": "'[' || " + _json({"id": ref, "type": text("LOCKUP"), "scope": one_of("o_custkey % 23 = 0", '""', '"US"'), "claimRefs": refs, "evidenceRefs": refs}) + " || ']'",
+        "economics": if_("o_custkey % 24 = 0", "'[]'", _json({"asOf": millis, "values": one_of("o_custkey % 25 = 0", "1", '{"nav":1}'), "claimRefs": bad_refs})),
+        "claims": f"'[' || {claim} || {if_('o_totalprice > 100000', chr(39) + ',' + chr(39) + ' || ' + claim, chr(39) * 2)} || ']'",
+        "evidence": "'[' || " + _json({"id": ref, "type": one_of("o_totalprice < 40000", '"RUMOUR"', '"FILING"'), "source": ref, "contentHash": one_of("o_custkey % 26 = 0", '"0xZZ"', '"0xab"'), "observedAt": millis,
+                                       "fetchedAt": millis, "authority": text("PRIMARY_SOURCE"), "metadata": "'{}'"}, one_of("o_custkey % 27 = 0", ',"freshness":"OLD"', "")) + " || ']'",
+        "attestations": "'[' || " + _json({"id": ref, "subject": ref, "claimRef": ref, "schema": text("s"), "attestor": ref, "signature": one_of("o_custkey % 28 = 0", '"ab"', '"0xab"'), "issuedAt": millis, "state": text("ACTIVE")}) + " || ']'",
+        "exceptions": "'[' || " + _json({"id": ref, "objectId": ref, "type": text("EVIDENCE_STALE"), "severity": one_of("o_custkey % 29 = 0", '"LOUD"', '"INFO"'), "affectedClaims": refs, "evidence": refs, "detectedAt": millis,
+                                         "status": text("OPEN")}, one_of("o_custkey % 30 = 0", ',"resolutionOptions":[1]', ',"resolutionOptions":[""]')) + " || ']'",
+        "provenance": "'{\"edges\":[' || " + _json({"id": ref, "from": ref, "to": ref, "relation": one_of("o_custkey % 31 = 0", '""', '"CITES"')}, one_of("o_custkey % 32 = 0", ',"weight":1', "")) + " || ']}'",
+        "status": one_of("o_orderstatus = 'F'", '"OPEN"', '"RESOLVED"'),
+    }
+    check = _json({"id": ref, "type": text("FRESH"), "subject": ref, "result": one_of("o_custkey % 33 = 0", '"MAYBE"', '"PASS"'), "evidence": bad_refs, "ruleVersion": text("1"), "timestamp": millis})
+    last = _json({"status": text("PASS"), "verifierVersion": text("v"), "checks": f"'[' || {check} || ']'"}, one_of("o_custkey % 34 = 0", ',"objectRoot":"none"', ""))
+    tail = if_("o_custkey % 19 = 0", "',\"comment\":\"x\",\"tags\":[]'", f"',\"verification\":' || {last}")
+    return f"""SELECT 'object:' || {okey} AS object_id, {_json(parts, tail)} AS json FROM {d.raw('orders')}"""
+
+
 def _change_lines(d) -> str:
     """Every line of an order as a change of the order's object; `seq` orders them."""
     return f"""(SELECT *, 'object:' || CAST(l_orderkey AS STRING) AS object_id, CAST(l_linenumber AS STRING) || ':' || {_line_key()} AS seq,
@@ -810,7 +869,7 @@ DEFINITIONS = {
         exceptions, mandates, required_claims, required_evidence, assignments, profiles, pairs,
         relationships, group_claims, proposed_claims, documents, feed, cases, runs, changes,
         commit_calls, roles, pauses, stored_versions, version_batch, parties, terms, scopes, economics,
-        reported_checks, drafts, object_documents, object_changes, change_claims, change_evidence,
+        reported_checks, drafts, object_documents, whole_documents, object_changes, change_claims, change_evidence,
         change_attestations, change_exceptions, object_identifiers, object_representations, object_relationships,
         object_parties, object_terms, object_restrictions, object_checks, log_rows, readings,
     )
