@@ -156,6 +156,31 @@ def test_license_scan(spark, edges):
     assert op6_license_scan.scan(edges).count() == 0
 
 
+QUOTES = [
+    ("<p title=it's>First one isn't short at all.</p><p>Second one isn't either, by far.</p><p>Third one, a last paragraph of words.", 3),
+    ("<p title=\"a>b\" class='x>y'>First one is not short at all.</p><p data-x = 'q>r'>Second one is not either, by far.</p>", 2),
+    ("<p title=\"open>First one is not short at all.</p><p it's>Second one isn't either, by far.</p>", 2),
+]
+
+
+@pytest.mark.parametrize("page, count", QUOTES)
+def test_quotes_open_values_after_equals_only(page, count):
+    text = op8_html_text.main_text(page)
+    assert len(text.split("\n\n")) == count and text.startswith("First") and ">" not in text
+
+
+@pytest.mark.parametrize("tag", ["div", "p", "b", "li", "a"])
+def test_deep_and_long_pages_in_linear_time(tag):
+    import time
+
+    body = "A sentence of plain words for this page. "
+    deep = "".join(f"<{tag}>{body}" for _ in range(50_000))
+    flat = "".join(f"<{tag}>{body}</{tag}>" for _ in range(50_000))
+    started = time.process_time()
+    assert op8_html_text.read_blocks(deep + f"</{tag}>" * 50_000) and op8_html_text.read_blocks(flat + "</i>" * 50_000)
+    assert time.process_time() - started < 20
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></ul></nav>
 <div class="cookie-notice"><p>We use cookies on this site to make it better for you and for us.</p></div>
 <main><article><h1>The &amp; title</h1><p>First<br>

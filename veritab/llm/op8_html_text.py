@@ -13,7 +13,7 @@ sees as prose (scripts, styles, forms, hidden parts) never becomes a block.
 Pages are independent rows; nothing is shuffled.
 
 Defined results: null, empty or tagless html gives its text, if any, as one block; unclosed and
-crossed elements end where an enclosing element or the page ends; repeated rows are read one by
+crossed elements end where an enclosing element or the page ends; a page of any depth takes time in proportion to its length; repeated rows are read one by
 one; an empty table gives no rows; other columns are ignored.
 """
 
@@ -59,7 +59,8 @@ IN_ARTICLE, IN_FURNITURE, IN_BAD_NAME, IN_GOOD_NAME, OUTSIDE_ARTICLE = 6.0, -14.
 LINK_SHARE, HEADING, PARAGRAPH, LIST_ITEM, WORD_GAIN, BIAS = -5.0, 0.5, 1.0, -0.5, 0.06, -0.5
 ADJACENT, SIBLING = 1.0, 0.7
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+# A quote opens a value only after `=`; elsewhere a tag ends at its first `>`.
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 
 
@@ -73,6 +74,14 @@ class Element:
     furniture: bool
     bad: bool
     good: bool
+    linked: bool = False
+    owner: Element | None = None
+
+    def __post_init__(self):
+        """Text in inline elements belongs to the element around them, and is link text under an `a` among them."""
+        inline = self.tag in INLINE and self.parent is not None
+        self.owner = self.parent.owner if inline else self
+        self.linked = inline and (self.tag == "a" or self.parent.linked)
 
 
 @dataclass
@@ -107,6 +116,7 @@ def read_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     here = root = Element("#page", None, 0, False, False, False, False, False)
     owner, parts, linked, whole = root, [], 0, 0
+    opened: dict[str, list[Element]] = {}
 
     def flush() -> None:
         nonlocal parts, linked, whole
@@ -120,24 +130,26 @@ def read_blocks(page: str) -> list[Block]:
         if not text or here.unseen:
             return
         if not parts:
-            owner = here
-            while owner.tag in INLINE and owner.parent:
-                owner = owner.parent
+            owner = here.owner
         parts.append(text)
         size = len(text.strip())
         whole += size
-        at = here
-        while at.tag in INLINE and at.parent:
-            if at.tag == "a":
-                linked += size
-                break
-            at = at.parent
+        linked += size if here.linked else 0
+
+    def enter(element: Element) -> None:
+        nonlocal here
+        here = element
+        opened.setdefault(element.tag, []).append(element)
+
+    def leave(element: Element) -> None:
+        """Close an open element with all that is open in it."""
+        nonlocal here
+        while here is not element.parent:
+            opened[here.tag].pop()
+            here = here.parent
 
     def inside(tag: str) -> Element | None:
-        at = here
-        while at and at.tag != tag:
-            at = at.parent
-        return at
+        return opened[tag][-1] if opened.get(tag) else None
 
     place = 0
     while True:
@@ -154,20 +166,20 @@ def read_blocks(page: str) -> list[Block]:
             match = inside(tag)
             if tag not in PHRASING:
                 flush()
-            if match and match.parent:
-                here = match.parent
+            if match:
+                leave(match)
             continue
         if tag not in PHRASING:
             flush()
         if CLOSES_P.fullmatch(tag) and (p := inside("p")):
-            here = p.parent
+            leave(p)
         if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and here.tag == tag:
-            here = here.parent
+            leave(here)
         if tag in VOID:
             if tag == "br":
                 say(" ")
             continue
-        here = _open(tag, m[3] or "", here)
+        enter(_open(tag, m[3] or "", here))
         if tag in RAW_TEXT:
             end = re.compile(rf"</{tag}\b", re.I).search(page, place)
             place = end.start() if end else len(page)
