@@ -40,6 +40,9 @@ DIGESTS = {
 }
 
 
+bag_of = Counter
+
+
 def bag(df):
     return Counter(tuple(r) for r in df.collect())
 
@@ -156,6 +159,29 @@ def test_license_scan(spark, edges):
     assert op6_license_scan.scan(edges).count() == 0
 
 
+def test_license_scan_keeps_rows_of_one_id_apart(spark):
+    notice, other = "Released under the MIT license", "some other words that are long enough to be no part of a notice"
+    notices = [(1, f"{notice}\n{other}"), (1, f"{other}\n{notice}"), (1, f"{other}\n{notice}"), (None, notice), (None, f"{other}\n{notice}")]
+    got = op6_license_scan.scan(spark.createDataFrame(notices, "doc_id long, text string")).collect()
+    assert bag_of((r.doc_id, r.licence, r.place, r.n_units) for r in got) == bag_of([(1, "MIT", 0, 1), (1, "MIT", 1, 1), (None, "MIT", 0, 1), (None, "MIT", 1, 1)])
+
+
+WORKING = ["__slot", "__SIZE", "__none", "__from", "__order", "__id", "__line", "__lines", "__drop", "__kept", "__quality", "__turn", "held_0"]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_columns_named_like_working_columns_survive(spark, edges, stage):
+    import corpus_pipeline
+
+    named = edges.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(c), F.coalesce("doc_id", F.lit(-1))).alias(c) for c in WORKING])
+    function = corpus_pipeline.STAGES[stage][1]
+    got = function(spark, named, "/root/testdata/sf0.001")
+    assert [c for c in got.columns if c in named.columns] == named.columns
+    rows = got.collect()
+    assert rows and all(r[c] == f"{c}{-1 if r.doc_id is None else r.doc_id}" for r in rows for c in WORKING)
+    assert bag_of(r.doc_id for r in rows) == bag_of(r.doc_id for r in function(spark, edges, "/root/testdata/sf0.001").collect())
+
+
 QUOTES = [
     ("<p title=it's>First one isn't short at all.</p><p>Second one isn't either, by far.</p><p>Third one, a last paragraph of words.", 3),
     ("<p title=\"a>b\" class='x>y'>First one is not short at all.</p><p data-x = 'q>r'>Second one is not either, by far.</p>", 2),

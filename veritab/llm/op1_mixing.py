@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .columns import keeps_columns
 from .registry import query, table
 from .text import WORD
 
@@ -70,6 +71,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes:
     )
 
 
+@keeps_columns
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES) -> DataFrame:
     """`docs` with size, source_size, target and taken, the words of the document that the mix takes."""
     rows = _sized(docs)
@@ -109,7 +111,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_P
     limits = placed.withColumns({"__end": end.scalar(), "__first": start.scalar()})
     names = ["size", "source_size", "target", "taken"]
     return limits.select(
-        *[F.col(c) for c in docs.columns if c not in names],
+        *[F.col(c) for c in docs.columns if c.lower() not in names],
         F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import keeps_columns
 from .registry import query, table
 from .text import LOWER, UPPER, Words, lower, mix, raw, slices
 
@@ -155,6 +156,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
     return out
 
 
+@keeps_columns
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The documents that hold no item, all columns."""
     for index in indexes(benchmark, containment):

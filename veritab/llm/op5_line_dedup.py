@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import keeps_columns
 from .registry import query, table
 from .text import LOWER, UPPER
 
@@ -59,6 +60,7 @@ def mark_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     )
 
 
+@keeps_columns
 def drop_common_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The same documents and columns with the lines gone from `text`, and `n_chars` (if there) counted anew."""
     marked = mark_common_lines(docs, min_docs, min_chars)

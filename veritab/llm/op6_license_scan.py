@@ -13,7 +13,7 @@ template has are shuffled.
 
 Defined results: null or wordless text matches nothing; a unit of one word has no bigrams; equal best
 scores take the first unit in the order line, paragraph, text; rows that repeat a doc_id with the
-same text are reported once; an empty table gives no rows; other columns are ignored.
+same text are reported once, with other texts each on its own (texts are told apart by 64-bit hashes), null ids alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -90,24 +90,24 @@ def scan(docs: DataFrame, min_dice: float = MIN_DICE, templates=TEMPLATES) -> Da
     unit is line, paragraph or text, place its number from 0, n_units the number of units that match.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text").cast("string")).alias("text"))
-    rows = rows.select("doc_id", "text", F.split("text", "\n *\n", -1).alias("parts"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), normalised(F.col("text").cast("string")).alias("text"))
+    rows = rows.select("doc_id", "row", "text", F.split("text", "\n *\n", -1).alias("parts"))
     unit = lambda kind: lambda body, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), body.alias("body"))
     lines, paragraphs = F.transform(F.split("text", "\n", -1), unit(0)), F.transform(F.filter("parts", lambda p: p.contains("\n")), unit(1))
     whole = F.transform(F.when(F.size("parts") > 1, F.array("text")).otherwise(F.array().cast("array<string>")), unit(2))
     low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
     sizes = template_sizes(spark, templates)
-    units = rows.select("doc_id", F.explode(F.concat(lines, paragraphs, whole)).alias("unit")).select("doc_id", "unit.*")
+    units = rows.select("doc_id", "row", F.explode(F.concat(lines, paragraphs, whole)).alias("unit")).select("doc_id", "row", "unit.*")
     units = with_bigrams(units, "body", "all")
     # not a filter: that would be moved below the column and cut every text twice
     fits = F.size("all").between(min(sizes, default=0) * low, max(sizes, default=0) * high)
-    probes = units.select("doc_id", "kind", "place", F.coalesce(F.size("all"), F.lit(0)).alias("u_size"), F.explode(F.when(fits, F.col("all"))).alias("bigram"))
+    probes = units.select("doc_id", "row", "kind", "place", F.coalesce(F.size("all"), F.lit(0)).alias("u_size"), F.explode(F.when(fits, F.col("all"))).alias("bigram"))
     index = F.broadcast(template_bigrams(spark, templates))
     bound = (F.col("u_size") >= F.col("t_size") * low) & (F.col("u_size") <= F.col("t_size") * high)
     met = probes.join(index, (probes["bigram"] == index["bigram"]) & bound)
-    shared = met.groupBy("doc_id", "kind", "place", "u_size", "template", "licence", "t_size").agg(F.count_distinct(probes["bigram"]).alias("shared"))
+    shared = met.groupBy("doc_id", "row", "kind", "place", "u_size", "template", "licence", "t_size").agg(F.count_distinct(probes["bigram"]).alias("shared"))
     scored = shared.withColumn("dice", F.lit(2.0) * F.col("shared") / (F.col("u_size") + F.col("t_size"))).filter(F.col("dice") >= min_dice)
-    best = scored.groupBy("doc_id", "licence").agg(
+    best = scored.groupBy("doc_id", "row", "licence").agg(
         F.max("dice").alias("dice"),
         F.max_by(F.struct("kind", "place"), F.struct("dice", -F.col("kind"), -F.col("place"))).alias("at"),
         F.count_distinct("kind", "place").alias("n_units"),
@@ -133,24 +133,24 @@ ORACLE = f"""
         SELECT template, licence, {_BIGRAMS} AS b
         FROM (SELECT template, licence, {_WORDS % (_NORMAL % 'body')} AS w FROM (VALUES {_VALUES}) v(template, licence, body))
     ), d AS (
-        SELECT doc_id, {_NORMAL % 'text'} AS body FROM documents WHERE text IS NOT NULL
+        SELECT DISTINCT doc_id, md5(text) AS src, {_NORMAL % 'text'} AS body FROM documents WHERE text IS NOT NULL
     ), parts AS (
-        SELECT doc_id, body, string_split(body, chr(10)) AS ls, regexp_split_to_array(body, '\\n *\\n') AS ps FROM d
+        SELECT doc_id, src, body, string_split(body, chr(10)) AS ls, regexp_split_to_array(body, '\\n *\\n') AS ps FROM d
     ), units AS (
-        SELECT doc_id, 0 AS kind, unnest(range(len(ls))) AS place, unnest(ls) AS body FROM parts
-        UNION ALL SELECT doc_id, 1, unnest(range(len(ls))) AS place, unnest(ls) FROM (SELECT doc_id, list_filter(ps, lambda p: contains(p, chr(10))) AS ls FROM parts)
-        UNION ALL SELECT doc_id, 2, 0, body FROM parts WHERE len(ps) > 1
+        SELECT doc_id, src, 0 AS kind, unnest(range(len(ls))) AS place, unnest(ls) AS body FROM parts
+        UNION ALL SELECT doc_id, src, 1, unnest(range(len(ls))) AS place, unnest(ls) FROM (SELECT doc_id, src, list_filter(ps, lambda p: contains(p, chr(10))) AS ls FROM parts)
+        UNION ALL SELECT doc_id, src, 2, 0, body FROM parts WHERE len(ps) > 1
     ), u AS (
-        SELECT doc_id, kind, place, {_BIGRAMS} AS b FROM (SELECT doc_id, kind, place, {_WORDS % 'body'} AS w FROM units)
+        SELECT doc_id, src, kind, place, {_BIGRAMS} AS b FROM (SELECT doc_id, src, kind, place, {_WORDS % 'body'} AS w FROM units)
     ), scored AS (
-        SELECT doc_id, kind, place, licence, 2.0::DOUBLE * len(list_intersect(u.b, t.b)) / (len(u.b) + len(t.b)) AS dice
+        SELECT doc_id, src, kind, place, licence, 2.0::DOUBLE * len(list_intersect(u.b, t.b)) / (len(u.b) + len(t.b)) AS dice
         FROM u, t WHERE len(u.b) BETWEEN len(t.b) * {MIN_DICE / (2 - MIN_DICE)} AND len(t.b) * {(2 - MIN_DICE) / MIN_DICE}
     ), kept AS (SELECT * FROM scored WHERE dice >= {MIN_DICE}),
     ranked AS (
-        SELECT *, row_number() OVER (PARTITION BY doc_id, licence ORDER BY dice DESC, kind, place) AS r FROM kept
+        SELECT *, row_number() OVER (PARTITION BY doc_id, src, licence ORDER BY dice DESC, kind, place) AS r FROM kept
     )
     SELECT doc_id, licence, dice, ['line', 'paragraph', 'text'][kind + 1] AS unit, place::BIGINT AS place,
-           (SELECT count(DISTINCT kind * 1000000 + place) FROM kept k WHERE k.doc_id IS NOT DISTINCT FROM ranked.doc_id AND k.licence = ranked.licence) AS n_units
+           (SELECT count(DISTINCT kind * 1000000 + place) FROM kept k WHERE k.doc_id IS NOT DISTINCT FROM ranked.doc_id AND k.src = ranked.src AND k.licence = ranked.licence) AS n_units
     FROM ranked WHERE r = 1
 """
 

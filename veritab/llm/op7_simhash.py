@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import pin, scratch_path
 from .components import components
+from .columns import keeps_columns
 from .registry import query, table
 from .text import mix
 
@@ -382,6 +383,7 @@ def near_copy_roots(docs: DataFrame, size: int, similarity: float) -> tuple[Data
     return rows, components(links.union(stored(alike(rest, wanted_sets(docs, rows, rest, size), similarity), "links")))
 
 
+@keeps_columns
 def drop_near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """The document with the smallest doc_id of every group of near copies, all columns."""
     rows, roots = near_copy_roots(docs, size, similarity)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import keeps_columns
 from .registry import query, table
 from .text import Rolling, Words, cover, mix, raw, slices
 
@@ -221,6 +222,7 @@ def mark_quality(docs: DataFrame, model: Model | None = None, threshold: float =
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
+@keeps_columns
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of good documents, all columns."""
     return mark_quality(docs).filter("__kept").select(*docs.columns)
