@@ -140,6 +140,58 @@ def base_scores(docs):
     return Counter((i, held(i), len(w), sum(counts[x] > 0 for x in w), total, round(score(w), 6)) for i, w in tokens)
 
 
+def trained_tree(docs, depth, least, divergence, z, heavy=5):
+    """Counts of n-grams, followers of contexts, contexts that are retained."""
+    counts, follow = Counter(), defaultdict(Counter)
+    for i, t in docs:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 == 1:
+            continue
+        w = (*words((t or "").translate(LOWER)), None)
+        for k in range(len(w)):
+            counts[()] += 1
+            for n in range(min(depth, k) + 1):
+                counts[w[k - n : k + 1]] += 1
+                follow[w[k - n : k]][w[k]] += 1
+    kept = set()
+    for context, followers in follow.items():
+        total = sum(followers.values())
+        if not context or total < least:
+            continue
+        shorter = context[1:]
+        gain = seen = expected = alone = 0
+        for x, c in followers.items():
+            e = total * counts[(*shorter, x)] / (sum(follow[shorter].values()) if shorter else counts[()])
+            if e >= 1 or c >= heavy:
+                gain, seen, expected, alone = gain + c * math.log(c / e), seen + c, expected + e, alone + 1
+        others = total - seen
+        gain += others * math.log(max(others, 1) / max(total - expected, 1))
+        free = max(alone, 1)
+        limit = free * (1 - 2 / (9 * free) + z * math.sqrt(2 / (9 * free))) ** 3
+        if 2 * gain > limit and gain - free / 2 >= divergence * total:
+            kept.add(context)
+    return counts, follow, kept
+
+
+def tree_scores(docs, depth, least, divergence, z):
+    counts, follow, kept = trained_tree(docs, depth, least, divergence, z)
+    types = len(follow[()])
+
+    def chance(context, x):
+        if not context:
+            return (counts[(x,)] + 0.5) / (counts[()] + 0.5 * (types + 1))
+        under = chance(context[1:], x)
+        if context not in kept:
+            return under
+        kinds = len(follow[context])
+        return (counts[(*context, x)] + kinds * under) / (sum(follow[context].values()) + kinds)
+
+    out = []
+    for i, t in docs:
+        w = (*words((t or "").translate(LOWER)), None)
+        out.append((i, round(sum(math.log10(chance(w[max(0, k - depth) : k], w[k])) for k in range(len(w))), 4)))
+    return Counter(out)
+
+
 def jaccard(a, b, size=5):
     cut = lambda t: {tuple(w[k : k + size]) for w in [words((t or "").translate(LOWER))] for k in range(max(1, len(w) - size + 1)) if w}
     x, y = cut(a), cut(b)

@@ -135,18 +135,22 @@ def test_scores_beat_the_base_on_held_out_documents(spark):
     assert score > base + 0.02 * abs(base)
 
 
-def test_contexts_of_two_words_are_retained(spark):
-    text = "the cat sat on the mat the cat ran to the mat "
-    docs = spark.createDataFrame([(k, text * 20) for k in range(8)], "doc_id long, text string")
-    tree = op4_suffix_tree.fit(docs, 12)
-    assert len(tree.first.keys) and len(tree.second.keys)
-    rows = op4_suffix_tree.score_documents(docs).collect()
-    assert all(r.score > r.base_score for r in rows)
-    vocabulary = sorted(set(text.split()))
-    tests = docs.union(spark.createDataFrame([(1_000_001 + k, f"cat {w}") for k, w in enumerate([*vocabulary, "unseen"])], "doc_id long, text string"))
-    held = {i for i in range(1_000_001, 1_000_001 + len(vocabulary) + 1) if op4_suffix_tree.held_out(i)}
-    got = {r.doc_id: r.score for r in op4_suffix_tree.score_documents(tests, tree).collect()}
-    assert held and all(got[i] < 0 for i in held)
+LIMITS = [op4_suffix_tree.DEPTH, op4_suffix_tree.MIN_COUNT, op4_suffix_tree.MIN_DIVERGENCE, op4_suffix_tree.Z]
+
+
+def test_tree_scores_equal_the_plain_version(spark, edges, edge_rows, document_rows):
+    text = "the cat sat on the mat the cat ran to the mat as we see one red old big fish and two red old big birds "
+    rows = edge_rows + document_rows + [(1000 + k, text * (1 + k % 7)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = bag_of((r.doc_id, round(r.score, 4)) for r in op4_suffix_tree.score_documents(docs).collect())
+    assert {len(c) for c in brute.trained_tree(rows, *LIMITS)[2]} == {1, 2, 3, 4}
+    assert got == brute.tree_scores(rows, *LIMITS)
+
+
+def test_contexts_grow_with_the_corpus(spark, document_rows):
+    larger = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    few, many = (len(brute.trained_tree(rows, *LIMITS)[2]) for rows in (document_rows, larger))
+    assert many > 2 * few > 0
 
 
 def test_license_scan(spark, edges):

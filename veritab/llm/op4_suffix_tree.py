@@ -1,21 +1,23 @@
 """Operator 4: language-model scores from a probabilistic suffix tree over words.
 
-The root holds every token's count. A context (the previous word, or the previous two) is a
-candidate if it makes up at least `MIN_SHARE` of the training tokens, the usual floor of such
-trees; that bounds candidates at 1 / MIN_SHARE a level whatever the corpus, and only they reach
-the driver. A candidate is retained if its next-symbol distribution diverges from its parent's:
-the Kullback-Leibler divergence, with the expected excess of an estimate from finite counts taken
-off, must reach `MIN_DIVERGENCE`. The test compares distributions over candidate symbols and one
-class for all others (over frequent followers of the parent at the second level). A retained
-context keeps its suffix.
+The root holds every token's count. A context (the one to `DEPTH` words before a token) is a candidate
+if training documents hold it at least `MIN_COUNT` times, whatever the size of the corpus, so
+candidates grow with it. A candidate is retained if its next-symbol distribution diverges from that
+of its suffix: the likelihood-ratio statistic over full follower counts must pass the chi-square
+quantile of `Z`, and the Kullback-Leibler divergence, less its expected excess, `MIN_DIVERGENCE`.
+Followers with an expected count under 1 and a count under `HEAVY`, and those never seen, are one
+class in the test.
 
 Every token is scored in its longest retained suffix. A state's distribution is its counts over all
-following tokens, smoothed towards its parent by its number of different followers (followers
-outside the test's symbols count as different); the root is smoothed by 0.5 a token. All
-distributions sum to one over known tokens and one unknown.
+followers, smoothed towards its suffix by its number of different followers; a node that is not
+retained, but lies on the way to a longer one, has its suffix's distribution. The root is smoothed
+by 0.5 a token. All distributions sum to one over known tokens and one unknown.
 
-The counts of n-grams stay distributed: chunks of documents ask for the n-grams they hold
-(`packed`), so what moves grows with the corpus. Counting covers all training documents.
+No part of the tree reaches the driver or one task. Chunks of documents ask (`packed`) for the counts
+of the n-grams they hold: up to three words first, then four and five where all runs of three words
+before the last are candidates. Of the chunks that hold an n-gram the lowest owns it and adds its
+share of the divergence to its context; sums per context are whole numbers, so reruns agree. A chunk
+sends a key once, so a frequent context is never a hot one. Counting covers all training documents.
 
 Defined results: null text is empty and has one token, its end; a null doc_id is a training document;
 rows that repeat a doc_id count once each; an empty table gives no rows; other columns are ignored.
@@ -25,23 +27,30 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import pin
 from . import packed
 from .registry import query, table
-from .text import WordHashes, mix, slices
+from .text import Rolling, WordHashes, slices
 
-MIN_SHARE = 1e-4
+DEPTH = 4
+MIN_COUNT = 32
 MIN_DIVERGENCE = 0.005
+Z = 3.09
+HEAVY = 5
 FOLDS, HELD_OUT = 5, 1
 CHUNK_BYTES = 4 << 20
 END = np.uint64(0x5851F42D4C957F2D)
+UNIT = 1 << 10
+
+# n-grams counted and contexts tested in each pass over the chunks
+COUNTED = [(1, 2, 3), (4, 5), ()]
+TESTED = [(), (1, 2), (3, 4)]
+TESTS = 100
 
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -68,265 +77,207 @@ class _Tokens:
         self.train = ~self.held[self.row]
         self.ids = ids
 
-    def before(self, steps: int) -> np.ndarray:
-        """The token `steps` earlier in the row; the end mark where there is none."""
-        out = np.full(len(self.tokens), END)
-        if steps:
-            out[steps:] = self.tokens[:-steps]
-            out[self.place < steps] = END
-        return out
-
-
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
-
-
-@dataclass
-class Level:
-    """Contexts of one length, sorted: key, training count, smoothing weight."""
-
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Place of each key, or -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-    def only(self, chosen: np.ndarray) -> Level:
-        return Level(self.keys[chosen], self.counts[chosen], self.weights[chosen])
-
-
-@dataclass
-class Tree:
-    tokens: int
-    types: int
-    first: Level
-    second: Level
-
-
-def _tally(docs: DataFrame, buckets: int, keys_of: Callable, reduce: Callable, schema: str) -> DataFrame:
-    """Training counts of the keys that `keys_of` finds in a batch, reduced in buckets of the key range."""
+def corpus_size(docs: DataFrame, buckets: int) -> tuple[int, int]:
+    """Training tokens, and the different ones among them."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(pa.Table.from_batches([batch]), limit=CHUNK_BYTES):
-                keys, counts = np.unique(keys_of(_Tokens(part)), return_counts=True)
+                tokens = _Tokens(part)
+                keys, counts = np.unique(tokens.tokens[tokens.train], return_counts=True)
                 yield from packed.ask_rows(0, 0, buckets, keys, [counts.astype(np.int64)]).to_batches()
 
-    def run(rows: pa.Table) -> pa.Table:
+    def count(rows: pa.Table) -> pa.Table:
         sent = [packed.read_ask(r) for r in rows.to_pylist()]
-        keys, place, _ = packed.pool(sent)
-        counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, place, np.concatenate([s[1] for s in sent]))
-        return reduce(keys, counts)
-
-    return docs.mapInArrow(ask, packed.ASKS).groupBy("bucket").applyInArrow(run, schema)
-
-
-def _signed(keys: np.ndarray) -> pa.Array:
-    return pa.array(keys.view(np.int64))
-
-
-def _level(rows: list) -> Level:
-    keys = np.array([r.key for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return Level(keys[order], np.array([float(r.count_) for r in rows])[order], np.zeros(len(rows)))
-
-
-def _frequent(tallied: DataFrame, floor: float) -> Level:
-    return _level(tallied.filter(F.col("count_") >= floor).collect())
-
-
-def _divergence(level: Level, parts: DataFrame, all_tokens: np.ndarray) -> np.ndarray:
-    """Divergence of each context from per-bucket sums of count * log ratio; sets the smoothing weights.
-
-    `all_tokens` is the parent's share of symbols outside the test.
-    """
-    sums = parts.groupBy("context").agg(F.sum("gain").alias("gain"), F.sum("seen").alias("seen"), F.sum("kinds").alias("kinds")).collect()
-    gain, seen, kinds = np.zeros(len(level.keys)), np.zeros(len(level.keys)), np.zeros(len(level.keys))
-    for r in sums:
-        gain[r.context], seen[r.context], kinds[r.context] = r.gain, r.seen, r.kinds
-    rest = np.maximum(level.counts - seen, 0)
-    expected = np.maximum(level.counts * all_tokens, 1e-9)
-    gain = gain + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-9) / expected), 0.0)
-    level.weights = kinds + rest + 1.0
-    return (gain - (kinds + (rest > 0) - 1) / 2) / np.maximum(level.counts, 1)
-
-
-def _reducer(context_of: Callable, expected_of: Callable) -> Callable:
-    """Per-context sums over a bucket of n-gram counts."""
-
-    def reduce(keys: np.ndarray, counts: np.ndarray) -> pa.Table:
-        context, symbol = context_of(keys)
-        gain = counts * np.log(counts / expected_of(context, symbol))
-        owners, place = np.unique(context, return_inverse=True)
-        sums = [np.bincount(place, weights=w, minlength=len(owners)) for w in (gain, counts, np.ones(len(counts)))]
-        return pa.table([pa.array(owners, pa.int32()), *[pa.array(s) for s in sums]], names=["context", "gain", "seen", "kinds"])
-
-    return reduce
-
-
-_SUMS = "context int, gain double, seen double, kinds double"
-
-
-def fit(docs: DataFrame, buckets: int, min_share: float = MIN_SHARE, min_divergence: float = MIN_DIVERGENCE) -> Tree:
-    """The retained contexts. `docs` has doc_id and text."""
-
-    def count_tokens(keys: np.ndarray, counts: np.ndarray) -> pa.Table:
-        total = int(counts.sum())
-        head = counts >= min_share * total
-        key = np.concatenate([np.zeros(1, np.uint64), keys[head]])
-        pad = np.zeros(int(head.sum()), np.int64)
-        return pa.table(
-            [_signed(key), pa.array(np.concatenate([[0], counts[head]])), pa.array(np.concatenate([[total], pad])), pa.array(np.concatenate([[len(keys)], pad]))],
-            names=["key", "count_", "total", "types"],
-        )
-
-    schema = "key long, count_ long, total long, types long"
-    tallied = pin(_tally(docs, buckets, lambda t: t.tokens[t.train], count_tokens, schema))
-    sizes = tallied.agg(F.sum("total"), F.sum("types")).first()
-    tokens, types = sizes[0] or 0, sizes[1] or 0
-    floor = max(min_share * tokens, 2)
-    symbols = _frequent(tallied, floor)
-    words = symbols.only(symbols.keys != END)
-    n_words, n_symbols = len(words.keys), len(symbols.keys)
-    if not n_words:
-        return Tree(tokens, types, Level(), Level())
-
-    # first level: (word, symbol), numbered so that a key tells both
-    def pairs(t: _Tokens) -> np.ndarray:
-        word, symbol = words.find(t.before(1)), symbols.find(t.tokens)
-        held = t.train & (t.place > 0) & (word >= 0) & (symbol >= 0)
-        return (word[held] * n_symbols + symbol[held]).astype(np.uint64) << np.uint64(_shift(n_words * n_symbols))
-
-    def split(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        code = (keys >> np.uint64(_shift(n_words * n_symbols))).astype(np.int64)
-        return code // n_symbols, code % n_symbols
-
-    share = symbols.counts / tokens
-    sums = _reducer(split, lambda context, symbol: words.counts[context] * share[symbol])
-
-    def sums_and_pairs(keys: np.ndarray, counts: np.ndarray) -> pa.Table:
-        out = sums(keys, counts).append_column("code", pa.nulls(0, pa.int64()) if not len(keys) else pa.nulls(len(np.unique(split(keys)[0])), pa.int64()))
-        context, symbol = split(keys)
-        heavy = counts >= floor
-        zeros = pa.array(np.zeros(int(heavy.sum())))
-        frequent = pa.table(
-            [pa.nulls(int(heavy.sum()), pa.int32()), zeros, pa.array(counts[heavy].astype(float)), zeros, pa.array(context[heavy] * n_symbols + symbol[heavy], pa.int64())],
-            names=["context", "gain", "seen", "kinds", "code"],
-        )
-        return pa.concat_tables([out, frequent])
-
-    counted = pin(_tally(docs, buckets, pairs, sums_and_pairs, _SUMS + ", code long"))
-    rest = np.full(n_words, max(1 - share.sum(), 1e-12))
-    diverges = _divergence(words, counted.filter("code IS NULL"), rest)
-    keep_first = diverges >= min_divergence
-
-    # second level: contexts are the frequent pairs of words, symbols the frequent followers of the second word
-    found = counted.filter("code IS NOT NULL").select("code", "seen").collect()
-    code = np.array(sorted(r.code for r in found), np.int64)
-    seen = np.array([r.seen for r in sorted(found, key=lambda r: r.code)])
-    inner = symbols.keys[code % n_symbols] != END
-    left, right = words.keys[code // n_symbols], symbols.keys[code % n_symbols]
-    followers = Level(*_sorted(pair(left, right), seen))
-    contexts = Level(*_sorted(pair(left, right)[inner], seen[inner]))
-    parent = words.find(_sorted(pair(left, right)[inner], right[inner])[1])
-    if not len(contexts.keys):
-        return Tree(tokens, types, words.only(keep_first), Level())
-    n_follow = len(followers.keys)
-
-    def triples(t: _Tokens) -> np.ndarray:
-        context, follow = contexts.find(pair(t.before(2), t.before(1))), followers.find(pair(t.before(1), t.tokens))
-        held = t.train & (t.place > 1) & (context >= 0) & (follow >= 0)
-        return (context[held] * n_follow + follow[held]).astype(np.uint64) << np.uint64(_shift(len(contexts.keys) * n_follow))
-
-    def split_triples(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        code = (keys >> np.uint64(_shift(len(contexts.keys) * n_follow))).astype(np.int64)
-        return code // n_follow, code % n_follow
-
-    reference = words.counts[parent]
-    tested = _tally(docs, buckets, triples, _reducer(split_triples, lambda c, f: contexts.counts[c] * followers.counts[f] / reference[c]), _SUMS)
-    covered = np.zeros(n_words)
-    np.add.at(covered, code // n_symbols, seen)
-    keep_second = _divergence(contexts, tested, np.maximum(1 - covered[parent] / reference, 1e-12)) >= min_divergence
-    keep_first[np.unique(parent[keep_second])] = True
-    return Tree(tokens, types, words.only(keep_first), contexts.only(keep_second))
-
-
-def _shift(kinds: int) -> int:
-    """Moves codes below `kinds` to the top of 64 bits, so that buckets of the key range share them."""
-    return 64 - max(int(kinds - 1).bit_length(), 1)
-
-
-def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
-    return keys[order], values[order], np.zeros(len(keys))
-
-
-class _Asked:
-    """The n-grams a chunk needs: every token, and what follows a retained context."""
-
-    def __init__(self, texts: pa.Table, tree: Tree):
-        self.tokens = t = _Tokens(texts)
-        one, two = t.before(1), pair(t.before(2), t.before(1))
-        self.first = np.where(t.place > 0, tree.first.find(one), -1)
-        self.second = np.where(t.place > 1, tree.second.find(two), -1)
-        self.in_first, self.in_second = np.flatnonzero(self.first >= 0), np.flatnonzero(self.second >= 0)
-        parts = [mix(t.tokens ^ np.uint64(1)), pair(one, t.tokens)[self.in_first], pair(two ^ np.uint64(2), t.tokens)[self.in_second]]
-        trains = np.concatenate([t.train, t.train[self.in_first], t.train[self.in_second]])
-        self.keys, self.place = packed.distinct(np.concatenate(parts))
-        self.counts = np.bincount(self.place[trains], minlength=len(self.keys)).astype(np.int64)
-
-    def scores(self, replies: pa.Table, buckets: int, tree: Tree) -> pa.Table:
+        types = len(np.unique(np.concatenate([s[0] for s in sent])))
+        return pa.table({"tokens": [int(sum(s[1].sum() for s in sent))], "types": [types]})
+
+    counted = docs.mapInArrow(ask, packed.ASKS).groupBy("bucket").applyInArrow(count, "tokens long, types long")
+    row = counted.agg(F.sum("tokens"), F.sum("types")).first()
+    return row[0] or 0, row[1] or 0
+
+
+class _Grams:
+    """The n-grams of one length in a chunk: last token of each, sorted distinct keys, place of each among them."""
+
+    def __init__(self, at: np.ndarray, hashes: np.ndarray, total: int):
+        self.at = at
+        self.keys, place = packed.distinct(hashes)
+        self.place = np.full(total, -1)
+        self.place[at] = place
+        self.sample = np.zeros(len(self.keys), np.int64)
+        self.sample[place] = at
+        self.count = self.owned = None
+
+    def read(self, reply: np.ndarray) -> None:
+        self.count, self.owned = reply >> 1, (reply & 1).astype(bool)
+
+    def counts(self, at: np.ndarray) -> np.ndarray:
+        return self.count[self.place[at]]
+
+
+class _Chunk:
+    """A chunk of texts with what the first `passes` passes found for it."""
+
+    def __init__(self, texts: pa.Table, replies: pa.Table | None, buckets: int, passes: int, total: int):
+        self.tokens, self.buckets, self.total = _Tokens(texts), buckets, total
+        self.rolling = Rolling(self.tokens.tokens)
+        self.grams: dict[int, _Grams] = {}
+        self.weights: dict[int, np.ndarray] = {}
+        for done in range(passes):
+            self.count(COUNTED[done])
+            for n in COUNTED[done]:
+                self.grams[n].read(packed.read_replies(replies, n, self.grams[n].keys, buckets, 0))
+        for done in range(passes):
+            for n in TESTED[done]:
+                chosen = self.candidates(n)
+                self.weights[n] = np.zeros(len(chosen), np.int64)
+                self.weights[n][chosen] = packed.read_replies(replies, TESTS + n, self.grams[n].keys[chosen], buckets, 0)
+
+    def count(self, lengths: tuple[int, ...]) -> None:
+        """Cut n-grams; those of four words and more only after runs of three candidate words."""
+        t = self.tokens
+        for n in lengths:
+            held = t.place >= n - 1
+            if n > 3:
+                inner = self.grams[3]
+                often = np.append(inner.count >= MIN_COUNT, False)[inner.place]
+                for back in range(1, n - 2):
+                    held[back:] &= often[:-back]
+            at = np.flatnonzero(held)
+            self.grams[n] = _Grams(at, self.rolling.of(at - n + 1, at + 1), len(t.tokens))
+
+    def candidates(self, n: int) -> np.ndarray:
+        """Which n-grams are candidate contexts: frequent, and not the end of a text."""
+        g = self.grams[n]
+        return (g.count >= MIN_COUNT) & (self.tokens.tokens[g.sample] != END)
+
+    def shares(self, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Candidate contexts of n words, and sums over those followers of each that this chunk owns."""
+        inner, outer = self.grams[n], self.grams[n + 1]
+        chosen = self.candidates(n)
+        last = outer.sample[outer.owned]
+        context = inner.place[last - 1]
+        kept = np.append(chosen, False)[context]
+        last, context = last[kept], context[kept]
+        seen = outer.counts(last).astype(float)
+        suffix = self.grams[n - 1].counts(last - 1) if n > 1 else self.total
+        expected = inner.count[context] * (inner.counts(last) / suffix)
+        alone = (expected >= 1) | (seen >= HEAVY)
+        owner = (np.cumsum(chosen) - 1)[context]
+
+        def summed(values: np.ndarray) -> np.ndarray:
+            return np.rint(np.bincount(owner, values, int(chosen.sum()))).astype(np.int64)
+
+        gain = np.rint(UNIT * seen * np.log(seen / expected))
+        parts = [gain * alone, seen * alone, np.rint(UNIT * expected) * alone, alone, np.ones(len(seen)), seen]
+        return inner.keys[chosen], [summed(p) for p in parts]
+
+    def asks(self, chunk: int, number: int) -> pa.Table:
+        self.count(COUNTED[number])
+        out = []
+        for n in COUNTED[number]:
+            g = self.grams[n]
+            trained = g.place[g.at[self.tokens.train[g.at]]]
+            local = np.bincount(trained, minlength=len(g.keys)).astype(np.int64)
+            out.append(packed.ask_rows(chunk, n, self.buckets, g.keys, [local]))
+        for n in TESTED[number]:
+            out.append(packed.ask_rows(chunk, TESTS + n, self.buckets, *self.shares(n)))
+        return pa.concat_tables(out)
+
+    def scores(self, types: int) -> pa.Table:
         t, rows = self.tokens, len(self.tokens.ids)
-        counts = packed.read_replies(replies, 1, self.keys, buckets, 0)[self.place].astype(float)
-        n = len(t.tokens)
-        base = (counts[:n] + 0.5) / (tree.tokens + 0.5 * (tree.types + 1))
-        one = base.copy()
-        at, level = self.first[self.in_first], tree.first
-        one[self.in_first] = (counts[n : n + len(at)] + level.weights[at] * base[self.in_first]) / (level.counts[at] + level.weights[at])
-        best = one.copy()
-        at, level = self.second[self.in_second], tree.second
-        best[self.in_second] = (counts[n + len(self.in_first) :] + level.weights[at] * one[self.in_second]) / (level.counts[at] + level.weights[at])
+        every = np.arange(len(t.tokens))
+        counts = self.grams[1].counts(every)
+        base = (counts + 0.5) / (self.total + 0.5 * (types + 1))
+        best = base.copy()
+        for n, weights in self.weights.items():
+            g = self.grams[n]
+            at = np.flatnonzero(t.place >= n)
+            weight = np.append(weights, 0)[g.place[at - 1]]
+            at, weight = at[weight > 0], weight[weight > 0]
+            best[at] = (self.grams[n + 1].counts(at) + weight * best[at]) / (g.counts(at - 1) + weight)
         total = lambda values: np.bincount(t.row, weights=values, minlength=rows)
         return pa.table({
             "doc_id": pa.array(t.ids, pa.int64()),
             "held_out": pa.array(t.held),
             "n_tokens": pa.array(t.counts.astype(np.int64)),
-            "n_known": pa.array(total(counts[:n] > 0).astype(np.int64)),
-            "train_tokens": pa.array(np.full(rows, tree.tokens, np.int64)),
+            "n_known": pa.array(total(counts > 0).astype(np.int64)),
+            "train_tokens": pa.array(np.full(rows, self.total, np.int64)),
             "base_score": pa.array(total(np.log10(base))),
             "score": pa.array(total(np.log10(best))),
         })
 
 
-def _sums(sent):
+def _totals(sent: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Twice the count of each n-gram, and one for the first chunk that sent it."""
     keys, place, ends = packed.pool(sent)
     total = np.zeros(len(keys), np.int64)
     np.add.at(total, place, np.concatenate([s[1] for s in sent]))
-    return packed.per_sender(total, place, ends)
+    reply = 2 * total[place]
+    first = np.full(len(keys), len(place))
+    np.minimum.at(first, place, np.arange(len(place)))
+    reply[first[total > 0]] += 1
+    return np.split(reply, ends[:-1])
 
 
-def score_documents(docs: DataFrame, tree: Tree | None = None) -> DataFrame:
+def significant(statistic: np.ndarray, freedom: np.ndarray) -> np.ndarray:
+    """Whether statistics pass the chi-square quantile of `Z` (Wilson and Hilferty)."""
+    part = 2 / (9 * freedom)
+    return statistic > freedom * (1 - part + Z * np.sqrt(part)) ** 3
+
+
+def retained(gain, seen, expected, alone, total) -> np.ndarray:
+    """The test of contexts: sums over followers that stand alone, against one class for the others."""
+    others, left = total - seen, np.maximum(total - expected, 1)
+    gain = gain + others * np.log(np.maximum(others, 1) / left)
+    freedom = np.maximum(alone, 1)
+    return significant(2 * gain, freedom) & (gain - freedom / 2 >= MIN_DIVERGENCE * total)
+
+
+def _tests(sent: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The different followers of each context that is retained, 0 for others."""
+    keys, place, ends = packed.pool(sent)
+    sums = [np.zeros(len(keys), np.int64) for _ in range(6)]
+    for k, total in enumerate(sums):
+        np.add.at(total, place, np.concatenate([s[k + 1] for s in sent]))
+    gain, seen, expected, alone, kinds, total = sums
+    keep = retained(gain / UNIT, seen, expected / UNIT, alone, total)
+    return packed.per_sender(np.where(keep, kinds, 0), place, ends)
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
     """Scores of every document under the tree of the training documents among them."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts, buckets = packed.chunked(docs, CHUNK_BYTES)
-    tree = tree or fit(docs, buckets)
+    tokens, types = corpus_size(docs, buckets)
     parts = texts.groupBy("chunk")
 
-    def ask(key, rows):
-        asked = _Asked(rows, tree)
-        return packed.ask_rows(key[0].as_py(), 1, buckets, asked.keys, [asked.counts])
+    def first(key, rows):
+        return _Chunk(rows, None, buckets, 0, tokens).asks(key[0].as_py(), 0)
+
+    def further(number: int) -> Callable:
+        def ask(key, rows, replies):
+            return _Chunk(rows, replies, buckets, number, tokens).asks(key[0].as_py(), number)
+
+        return ask
 
     def finish(key, rows, replies):
-        return _Asked(rows, tree).scores(replies, buckets, tree)
+        return _Chunk(rows, replies, buckets, len(COUNTED), tokens).scores(types)
+
+    replies = _answers(parts.applyInArrow(first, packed.ASKS))
+    for number in range(1, len(COUNTED)):
+        asks = parts.cogroup(replies.groupBy("chunk")).applyInArrow(further(number), packed.ASKS)
+        replies = replies.union(_answers(asks))
+    return parts.cogroup(replies.groupBy("chunk")).applyInArrow(finish, SCORES)
+
+
+def _answers(asks: DataFrame) -> DataFrame:
+    def run(key, rows):
+        return packed.reply_rows(rows.sort_by("chunk").to_pylist(), _tests if key[1].as_py() > TESTS else _totals)
 
-    counts = packed.answers(parts.applyInArrow(ask, packed.ASKS), _sums)
-    return parts.cogroup(counts.groupBy("chunk")).applyInArrow(finish, SCORES)
+    return asks.groupBy("bucket", "round").applyInArrow(run, packed.REPLIES)
 
 
 @query("op4_suffix_tree")

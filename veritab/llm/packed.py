@@ -82,19 +82,23 @@ def read_ask(row: dict) -> list[np.ndarray]:
     return out
 
 
+def reply_rows(rows: list[dict], decide: Callable[[list[list[np.ndarray]]], list[np.ndarray]]) -> pa.Table:
+    """Rows of REPLIES to the rows of ASKS that one bucket got."""
+    out = []
+    for row, reply in zip(rows, decide([read_ask(r) for r in rows])):
+        width = reply.dtype.itemsize if reply.dtype != bool else 0
+        body = pa.compress(np.packbits(reply).tobytes(), codec="zstd", asbytes=True) if width == 0 else squeeze(reply)
+        out.append((row["chunk"], row["bucket"], row["round"], width, body))
+    kinds = [pa.int32()] * 4 + [pa.binary()]
+    columns = zip(*out) if out else [[]] * 5
+    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["chunk", "bucket", "round", "width", "body"])
+
+
 def answers(asks: DataFrame, decide: Callable[[list[list[np.ndarray]]], list[np.ndarray]]) -> DataFrame:
     """Replies: `decide` gets what each chunk sent to a bucket and gives numbers for each key of each."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = []
-        for row, reply in zip(rows, decide([read_ask(r) for r in rows])):
-            width = reply.dtype.itemsize if reply.dtype != bool else 0
-            body = pa.compress(np.packbits(reply).tobytes(), codec="zstd", asbytes=True) if width == 0 else squeeze(reply)
-            out.append((row["chunk"], row["bucket"], row["round"], width, body))
-        kinds = [pa.int32()] * 4 + [pa.binary()]
-        columns = zip(*out) if out else [[]] * 5
-        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["chunk", "bucket", "round", "width", "body"])
+        return reply_rows(table.to_pylist(), decide)
 
     return asks.groupBy("bucket").applyInArrow(run, REPLIES)
 
