@@ -14,7 +14,7 @@ retained, but lies on the way to a longer one, has its suffix's distribution. Th
 by 0.5 a token. All distributions sum to one over known tokens and one unknown.
 
 No part of the tree reaches the driver or one task. Chunks of documents ask (`packed`) for the counts
-of the n-grams they hold: up to three words first, then four and five where all runs of three words
+of the n-grams they hold: words and pairs first, then three and four words where all pairs of words
 before the last are candidates. Of the chunks that hold an n-gram the lowest owns it and adds its
 share of the divergence to its context; sums per context are whole numbers, so reruns agree. A chunk
 sends a key once, so a frequent context is never a hot one. Counting covers all training documents.
@@ -37,19 +37,20 @@ from . import packed
 from .registry import query, table
 from .text import Rolling, WordHashes, slices
 
-DEPTH = 4
-MIN_COUNT = 32
+DEPTH = 3
+MIN_COUNT = 64
 MIN_DIVERGENCE = 0.005
 Z = 3.09
 HEAVY = 5
 FOLDS, HELD_OUT = 5, 1
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 6 << 20
+TALLY_BYTES = 16 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 UNIT = 1 << 10
 
 # n-grams counted and contexts tested in each pass over the chunks
-COUNTED = [(1, 2, 3), (4, 5), ()]
-TESTED = [(), (1, 2), (3, 4)]
+COUNTED = [(1, 2), (3, 4), ()]
+TESTED = [(), (1,), (2, 3)]
 TESTS = 100
 
 SCORES = (
@@ -83,7 +84,7 @@ def corpus_size(docs: DataFrame, buckets: int) -> tuple[int, int]:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(pa.Table.from_batches([batch]), limit=CHUNK_BYTES):
+            for part in slices(pa.Table.from_batches([batch]), limit=TALLY_BYTES):
                 tokens = _Tokens(part)
                 keys, counts = np.unique(tokens.tokens[tokens.train], return_counts=True)
                 yield from packed.ask_rows(0, 0, buckets, keys, [counts.astype(np.int64)]).to_batches()
@@ -136,14 +137,14 @@ class _Chunk:
                 self.weights[n][chosen] = packed.read_replies(replies, TESTS + n, self.grams[n].keys[chosen], buckets, 0)
 
     def count(self, lengths: tuple[int, ...]) -> None:
-        """Cut n-grams; those of four words and more only after runs of three candidate words."""
+        """Cut n-grams; those of three words and more only where all pairs before the last word are candidates."""
         t = self.tokens
         for n in lengths:
             held = t.place >= n - 1
-            if n > 3:
-                inner = self.grams[3]
+            if n > 2:
+                inner = self.grams[2]
                 often = np.append(inner.count >= MIN_COUNT, False)[inner.place]
-                for back in range(1, n - 2):
+                for back in range(1, n - 1):
                     held[back:] &= often[:-back]
             at = np.flatnonzero(held)
             self.grams[n] = _Grams(at, self.rolling.of(at - n + 1, at + 1), len(t.tokens))
