@@ -44,7 +44,8 @@ Z = 3.09
 HEAVY = 5
 FOLDS, HELD_OUT = 5, 1
 CHUNK_BYTES = 6 << 20
-TALLY_BYTES = 16 << 20
+BOX_BYTES = 16 << 20
+HELD_KEYS = 1 << 21
 END = np.uint64(0x5851F42D4C957F2D)
 UNIT = 1 << 10
 
@@ -79,15 +80,43 @@ class _Tokens:
         self.ids = ids
 
 
+def boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (chunk, doc_id, text) as one compressed Arrow stream for each chunk, so that texts move small."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))
+    for batch in batches:
+        for part in slices(pa.Table.from_batches([batch]), limit=BOX_BYTES):
+            part = part.sort_by("chunk")
+            chunk = part.column("chunk").to_numpy()
+            starts = np.flatnonzero(np.diff(chunk, prepend=-1))
+            bodies = []
+            for start, end in zip(starts, np.append(starts[1:], len(chunk))):
+                sink = pa.BufferOutputStream()
+                rows = part.select(["doc_id", "text"]).slice(start, end - start).combine_chunks()
+                with pa.ipc.new_stream(sink, rows.schema, options=options) as stream:
+                    stream.write_table(rows)
+                bodies.append(sink.getvalue().to_pybytes())
+            yield pa.record_batch([pa.array(chunk[starts], pa.int32()), pa.array(bodies, pa.binary())], names=["chunk", "body"])
+
+
+def unboxed(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables(pa.ipc.open_stream(body.as_buffer()).read_all() for body in rows.column("body"))
+
+
 def corpus_size(docs: DataFrame, buckets: int) -> tuple[int, int]:
     """Training tokens, and the different ones among them."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(pa.Table.from_batches([batch]), limit=TALLY_BYTES):
+            for part in slices(pa.Table.from_batches([batch]), limit=CHUNK_BYTES):
                 tokens = _Tokens(part)
-                keys, counts = np.unique(tokens.tokens[tokens.train], return_counts=True)
-                yield from packed.ask_rows(0, 0, buckets, keys, [counts.astype(np.int64)]).to_batches()
+                more, number = np.unique(tokens.tokens[tokens.train], return_counts=True)
+                keys, place = packed.distinct(np.concatenate([keys, more]))
+                counts = np.bincount(place, np.concatenate([counts, number])).astype(np.int64)
+                if len(keys) > HELD_KEYS:
+                    yield from packed.ask_rows(0, 0, buckets, keys, [counts]).to_batches()
+                    keys, counts = keys[:0], counts[:0]
+        yield from packed.ask_rows(0, 0, buckets, keys, [counts]).to_batches()
 
     def count(rows: pa.Table) -> pa.Table:
         sent = [packed.read_ask(r) for r in rows.to_pylist()]
@@ -119,10 +148,10 @@ class _Grams:
 
 
 class _Chunk:
-    """A chunk of texts with what the first `passes` passes found for it."""
+    """A chunk of boxed texts with what the first `passes` passes found for it."""
 
     def __init__(self, texts: pa.Table, replies: pa.Table | None, buckets: int, passes: int, total: int):
-        self.tokens, self.buckets, self.total = _Tokens(texts), buckets, total
+        self.tokens, self.buckets, self.total = _Tokens(unboxed(texts)), buckets, total
         self.rolling = Rolling(self.tokens.tokens)
         self.grams: dict[int, _Grams] = {}
         self.weights: dict[int, np.ndarray] = {}
@@ -253,7 +282,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts, buckets = packed.chunked(docs, CHUNK_BYTES)
     tokens, types = corpus_size(docs, buckets)
-    parts = texts.groupBy("chunk")
+    parts = texts.mapInArrow(boxed, "chunk int, body binary").groupBy("chunk")
 
     def first(key, rows):
         return _Chunk(rows, None, buckets, 0, tokens).asks(key[0].as_py(), 0)
