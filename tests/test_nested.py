@@ -105,3 +105,39 @@ def test_one_pass(spark):
     rows = spark.createDataFrame([("a", "[]")], "object_id string, json string")
     plan = nested.object_violations(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "Python" not in plan
+
+
+def test_numbers_text_and_ends_of_documents(spark):
+    schema = nested.Record({"n": nested.Number(0, 9e18, whole=True)}, {"h": nested.HEX, "t": nested.REF})
+    texts = {
+        "whole": '{"n":1.0}', "half": '{"n":1.5}', "wide": '{"n":1e19}', "huge": '{"n":1e999}', "low": '{"n":-0.5}', "flag": '{"n":true}', "none": '{"n":null}',
+        "twice": '{"n":1,"n":2}', "more": ' {"n":1} and more', "nan": '{"n":NaN}', "break": '{"n":1,"h":"0xab\\r"}', "breaks": '{"n":1,"h":"0xab\\r\\r"}',
+        "lone": '{"n":1,"\\ud800":1}', "long": '{"n":' + "9" * 400 + "}", "tab": '{"n":1,"t":"\t"}',
+    }
+    rows = spark.createDataFrame(list(texts.items()), "object_id string, json string")
+    got = {name: set() for name in texts}
+    for r in nested.violations(rows, "object_id", "json", schema).collect():
+        got[r.row_id].add((r.rule, r.path))
+    over = {("range", "$.n"), ("whole", "$.n")}
+    assert got == {
+        "whole": set(), "half": {("whole", "$.n")}, "wide": over, "huge": over, "low": over, "flag": {("type", "$.n")}, "none": {("type", "$.n")},
+        "twice": {("not_json", "$")}, "more": set(), "nan": {("not_json", "$")}, "break": set(), "breaks": {("pattern", "$.h")},
+        "lone": {("unknown_key", "$.?")}, "long": over, "tab": {("not_json", "$")},
+    }
+
+
+def test_a_table_in_one_piece_is_checked_by_all_cores(spark, tmp_path):
+    from veritab.sources.bindings import Tables
+
+    spark.range(8).selectExpr("id AS o_orderkey", "id AS o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    assert Tables(spark, str(tmp_path)).raw("orders").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_documents_are_walked_once(spark):
+    import time
+
+    text = json.dumps(sample(nested.OBJECT)).encode()
+    start = time.process_time()
+    for _ in range(200):
+        assert not list(nested.document_violations(nested.OBJECT, text))
+    assert time.process_time() - start < 2
