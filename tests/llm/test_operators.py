@@ -344,3 +344,23 @@ def test_components_of_long_paths(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {k: -60 if k <= 10 else 11 for k in range(-60, 61)}
     assert components(links.limit(0)).count() == 0
+
+
+def test_near_copies_start_from_fingerprints(monkeypatch, spark):
+    """Sets whose fingerprints are near form families before any key is joined, and pairs are formed only between families."""
+    nodes = spark.createDataFrame([(5, 0), (3, 0), (9, 3), (2, 1 << 40), (7, -1), (8, -1)], "id long, hi long")
+    from veritab.llm.components import components
+
+    roots = {r.node: r.root for r in components(op7_simhash.simhash_pairs(nodes)).collect()}
+    assert roots == {2: 2, 3: 2, 5: 2, 9: 2, 7: 7, 8: 7}
+    seen, formed, real = [], [], op7_simhash.set_pairs
+    monkeypatch.setattr(op7_simhash, "simhash_pairs", lambda n, of=op7_simhash.simhash_pairs: seen.append(n) or of(n))
+    monkeypatch.setattr(op7_simhash, "set_pairs", lambda *a: formed.append(real(*a)) or formed[-1])
+    long = prose(3, 3000).split()
+    rows = [(k, " ".join([*long[: 200 * k], f"edit{k}", *long[200 * k + 1 :]])) for k in range(1, 9)] + [(50, prose(4, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in op7_simhash.drop_near_copies(docs).collect()} == {1, 50}
+    sets = [op7_simhash.shingle_set(t.encode(), 5) for _, t in rows[:-1]]
+    prints = [op7_simhash.set_print(s) for s in sets]
+    families = set(brute.groups(prints, lambda a, b: (a ^ b).bit_count() <= 2))
+    assert len(seen) == 1 and len(families) < len(rows) - 1

@@ -12,11 +12,13 @@ each other, so a star to the smallest member keeps every link. That costs 65 row
 at any size of the bucket and forms no pairs.
 
 `drop_near_copies` (the pipeline stage) finds all documents whose sets of five-word shingles have a
-Jaccard similarity of at least 0.8. No fingerprint decides that: with its shingles in one order, a
-set has one among its first fifth in common with every set that similar (prefix filtering), so pairs
-come from an equality join on those, and the shingles of each are then compared. The order puts
-shingles that are common in a sample last, which keeps their buckets small; the sample decides
-nothing else.
+Jaccard similarity of at least 0.8. SimHash comes first: sets whose fingerprints are at most two bits
+apart are paired by the same deletion variants, and those that reach the similarity form families.
+Fingerprints miss some sets that similar, so the rest is found between families: with its shingles in
+one order, a set has one among its first fifth in common with every set that similar (prefix
+filtering), pairs come from an equality join on those, and the shingles of each are then compared. No
+pair inside a family is formed. The order puts shingles that are common in a sample last, which keeps
+their buckets small; the sample decides nothing else.
 
 Defined results: null or wordless text has fingerprint zero and is linked like any other, and the
 empty set of shingles; exact copies share a fingerprint and a set; a null doc_id is larger than any
@@ -231,8 +233,14 @@ def sketch(shingle_hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def set_print(shingle_hashes: np.ndarray) -> int:
+    """SimHash fingerprint of a shingle set."""
+    bits = majority(shingle_hashes.tobytes(), len(shingle_hashes)) if len(shingle_hashes) else bytes(8)
+    return int(np.frombuffer(bits, np.int64)[0])
+
+
 def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(doc_id, id, size, keys, sketch): the first shingles of every text, rare ones before those common in a sample."""
+    """(doc_id, id, size, keys, sketch, hi): the first shingles of every text, rare ones before those common in a sample, and its fingerprint."""
     common, counts = common_shingles(docs, size)
 
     def prefix(found: np.ndarray) -> np.ndarray:
@@ -247,9 +255,10 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
         sketches = pa.array([sketch(f) for f in found], pa.list_(pa.int64()))
-        return [ids, pa.array([set_id(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int32()), lists, sketches]
+        numbers = [pa.array([of(f) for f in found], kind) for of, kind in ((set_id, pa.int64()), (len, pa.int32()), (set_print, pa.int64()))]
+        return [ids, *numbers[:2], lists, sketches, numbers[2]]
 
-    return _sets(docs, size, emit, "doc_id long, id long, size int, keys array<long>, sketch array<long>")
+    return _sets(docs, size, emit, "doc_id long, id long, size int, keys array<long>, sketch array<long>, hi long")
 
 
 def may_be_alike(left: Column, right: Column, similarity: float) -> Column:
@@ -259,12 +268,24 @@ def may_be_alike(left: Column, right: Column, similarity: float) -> Column:
 
 
 def set_pairs(left: DataFrame, right: DataFrame, similarity: float, more: Column | None = None) -> DataFrame:
-    """(a, b) distinct pairs of ids that share a key and can be alike; left has (key, l), right (key, r)."""
-    fits = (F.col("l.id") != F.col("r.id")) & may_be_alike(F.col("l"), F.col("r"), similarity)
+    """(a, b) distinct pairs of ids of no common family that share a key and can be alike; left has (key, l), right (key, r)."""
+    kin = F.coalesce(F.col("l.family") == F.col("r.family"), F.lit(False))
+    fits = (F.col("l.id") != F.col("r.id")) & ~kin & may_be_alike(F.col("l"), F.col("r"), similarity)
     met = left.join(right.withColumnRenamed("key", "other"), (F.col("key") == F.col("other")) & fits & (F.lit(True) if more is None else more))
     return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) pairs of ids that link all sets with fingerprints (column hi) at most two bits apart, over one set for each fingerprint."""
+    heads = nodes.groupBy("hi").agg(F.min("id").alias("head"))
+    side = lambda hi, name: heads.select(F.col("hi").alias(hi), F.col("head").alias(name))
+    near = fingerprint_links(heads.select("hi")).select(F.col("l.hi").alias("x"), F.col("r.hi").alias("y"))
+    across = near.join(side("x", "a"), "x").join(side("y", "b"), "y").select("a", "b")
+    within = nodes.join(heads, "hi").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    both = across.union(within)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def discard(stored: DataFrame) -> None:
     """Delete the files of a table that nothing will read again."""
     spark = stored.sparkSession
@@ -336,9 +357,10 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def near_copy_roots(docs: DataFrame, size: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, id) of every row, and (node, root): the components of sets at least so similar. No link is lost.
 
-    Members of a key's bucket up to SET_BUCKET are paired. In larger ones each member is paired with REPRESENTATIVES
-    first, under its most crowded keys; pairs inside a component found by then are not needed, and all
-    others of the bucket are formed. Stored tables are deleted when what follows from them is stored.
+    Families are the components of the SimHash links that hold. Members of a key's bucket up to SET_BUCKET are
+    paired across families. In larger ones each member is paired with REPRESENTATIVES first, under its most crowded
+    keys; pairs inside a component found by then are not needed, and all others of the bucket are formed.
+    Stored tables are deleted when what follows from them is stored.
     """
     spark = docs.sparkSession
 
@@ -347,12 +369,19 @@ def near_copy_roots(docs: DataFrame, size: int, similarity: float) -> tuple[Data
         return spark.read.parquet(path)
 
     first = stored(prefixes(docs, size, similarity), "prefixes")
+    rows = stored(first.drop("keys", "hi"), "rows")
+    candidates = simhash_pairs(first.groupBy("id").agg(F.first("hi").alias("hi")))
+    candidates = stored(sketched(candidates, rows, similarity), "candidates")
+    held = stored(alike(candidates, wanted_sets(docs, rows, candidates, size), similarity), "held")
+    families = components(held).select("node", F.col("root").alias("family"))
     nodes = first.groupBy("id").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
-    placed = nodes.select("id", "size", F.posexplode("keys").alias("place", "key"))
-    narrow = placed.select("key", "id", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("at"))
-    place = F.struct("id", F.shiftright("at", 32).cast("int").alias("size"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
+    nodes = nodes.join(families, nodes["id"] == families["node"], "left")
+    placed = nodes.select("id", "size", "family", F.posexplode("keys").alias("place", "key"))
+    narrow = placed.select("key", "id", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("at"), "family")
+    place = F.struct(
+        "id", F.shiftright("at", 32).cast("int").alias("size"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"), "family"
+    )
     members = stored(crowded(narrow).select("key", place.alias("m"), "n"), "members")
-    rows = stored(first.drop("keys"), "rows")
     discard(first)
     side = lambda df, name: df.select("key", F.col("m").alias(name))
     few, many = members.filter(F.col("n") <= SET_BUCKET), members.filter(F.col("n") > SET_BUCKET)
@@ -364,7 +393,7 @@ def near_copy_roots(docs: DataFrame, size: int, similarity: float) -> tuple[Data
     most = many.withColumn("turn", turn).filter(F.col("turn") <= CROWDED_KEYS)
     pairs = stored(small.union(set_pairs(picks, side(most, "r"), similarity)).distinct(), "pairs")
     close = stored(sketched(pairs, rows, similarity), "close")
-    links = stored(alike(close, wanted_sets(docs, rows, close, size), similarity), "links")
+    links = stored(held.union(alike(close, wanted_sets(docs, rows, close, size), similarity)), "links")
     roots = components(links)
     if many.isEmpty():
         discard(members)
