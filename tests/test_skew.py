@@ -125,6 +125,23 @@ def test_conflicts_have_one_shape_at_every_size(spark):
         assert conflicts.claims_in_conflict(df).count() == size
 
 
+def test_crowded_groups_of_claims_give_the_same_conflicts(spark):
+    rng = random.Random(8)
+    claims = [
+        (rng.choice(["s", "t", None]), rng.choice(["nav", "shareClass"]), f"c{i % 70:03d}", rng.choice(["number", "string"]), rng.choice([None, 1.0, 2.0]),
+         rng.choice(["a", " A", "b"]), "x", rng.choice([[], [f"e{i % 7}"]]))
+        for i in range(90)
+    ]
+    claims.append(("alone", "nav", "c0", "number", 1.0, None, "1", []))
+    df = spark.createDataFrame(claims, CLAIM)
+    evidence = spark.createDataFrame([(f"e{i}", "STALE" if i == 2 else "FRESH", f"authority {i}") for i in range(6)], "evidence_id string, freshness string, authority string")
+    whole, split = (collected(conflicts.conflict_profile(df, evidence, limit=limit)) for limit in (1000, 2))
+    assert whole and whole == split
+    assert collected(conflicts.conflict_profile(df, evidence, refs=False)) == collected(conflicts.conflict_profile(df, evidence).drop("evidence_refs", "witness_refs"))
+    assert collected(conflicts.claims_in_conflict(df)) == collected(conflicts.claims_in_conflict(df, limit=2))
+    assert conflicts._shared(df, 1000)[0].filter("subject = 'alone'").count() == 0
+
+
 def test_sections_follow_id_order(spark):
     items = spark.range(20_500).selectExpr("'o' AS object_id", "'claims' AS collection", "lpad(cast(id AS string), 6, '0') AS item_id", "'{}' AS json")
     rows = sorted(digests.assemble_sections(items).selectExpr("section", "size(items) AS n", "items[0].item_id AS first").collect())
