@@ -133,12 +133,15 @@ def test_crowded_groups_of_claims_give_the_same_conflicts(spark):
         for i in range(90)
     ]
     claims.append(("alone", "nav", "c0", "number", 1.0, None, "1", []))
+    claims += [("unnamed", "nav", name, "number", value, None, "1", []) for name, value in ((None, 1.0), ("c1", 2.0))]
     df = spark.createDataFrame(claims, CLAIM)
     evidence = spark.createDataFrame([(f"e{i}", "STALE" if i == 2 else "FRESH", f"authority {i}") for i in range(6)], "evidence_id string, freshness string, authority string")
     whole, split = (collected(conflicts.conflict_profile(df, evidence, limit=limit)) for limit in (1000, 2))
     assert whole and whole == split
     assert collected(conflicts.conflict_profile(df, evidence, refs=False)) == collected(conflicts.conflict_profile(df, evidence).drop("evidence_refs", "witness_refs"))
     assert collected(conflicts.claims_in_conflict(df)) == collected(conflicts.claims_in_conflict(df, limit=2))
+    # a claim without an id is no witness
+    assert [r[2] for r in whole if r[0] == "unnamed"] == [None]
     assert conflicts._shared(df, 1000)[0].filter("subject = 'alone'").count() == 0
 
 
